@@ -88,3 +88,10 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amounts: dict
     on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__bucket") == F.col("__b")]
     joined = local.join(base, on, "left")
     return joined.select(*df.columns, *[(F.col(f"__local_{n}") + F.col(f"__base_{n}")).alias(n) for n in amounts])
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", nulls: tuple[str, ...] = ("source",)) -> DataFrame:
+    """left joined with right on keys of the same name, which stay once; keys in `nulls` match null with null."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) if k in nulls else F.col(k) == F.col(f"__r_{k}") for k in keys]
+    return left.join(named, on, how).drop(*[f"__r_{k}" for k in keys])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, packing, quality_rules
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -33,9 +33,9 @@ wins AS (
 rep AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM wins) WHERE n > 1),
 cov AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM rep GROUP BY doc_id),
 c AS (
-  SELECT d.doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, x -> length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT d.doc_id, t, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN cov USING (doc_id)
 ),
 f AS (
@@ -46,3 +46,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 2 * len(regexp_extract_all(t, '!')) > n_words OR word_chars > 16 * n_words OR 5 * len(regexp_extract_all(t, '[0-9]')) > 2 * word_chars) AS kept
 FROM f
 """
+
+
+@query
+def op3_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
