@@ -130,6 +130,25 @@ class Chunk:
         return _mixed(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate((values[:1] == values[:1], values[1:] != values[:-1]))]
+
+
+def repeated(values: np.ndarray) -> np.ndarray:
+    """The values that occur twice or more, in order."""
+    values = np.sort(values)
+    return distinct(values[1:][values[1:] == values[:-1]])
+
+
+def contains(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     salted = hashes if row == 0 else _mixed(hashes ^ np.uint64(0x5851F42D4C957F2D * row & (1 << 64) - 1))
     return salted >> np.uint64(64 - bits)
@@ -175,9 +194,9 @@ def _by_range(values: np.ndarray, top_bits: int, bits: int) -> Iterator[tuple[in
 
 def _sketch(table: pa.Table, bits: int, top: int) -> pa.Table:
     chunk = table.column("chunk")[0].as_py()
-    hashes, kinds = np.unique(Chunk(table).hash1), []
+    hashes, kinds = distinct(Chunk(table).hash1), []
     for row in range(ROWS):
-        cells = np.unique(cells_of(hashes, row, bits))
+        cells = distinct(cells_of(hashes, row, bits))
         kinds += [(row, r, pack_cells(cells[a:b])) for r, a, b in _by_range(cells, top, bits)]
     return _blobs(chunk, kinds)
 
@@ -186,20 +205,11 @@ def _merge(table: pa.Table) -> pa.Table:
     """For one range of a row of the sketch: the cells that several chunks have, for each of these chunks."""
     chunks, row, at = table.column("chunk").to_pylist(), table.column("row")[0].as_py(), table.column("range")[0].as_py()
     cells = [unpack_cells(b) for b in table.column("blob").to_pylist()]
-    values, counts = np.unique(np.concatenate(cells), return_counts=True)
-    again = values[counts > 1]
-    found = [(c, both) for c, own in zip(chunks, cells) if len(both := np.intersect1d(own, again, assume_unique=True))]
+    again = repeated(np.concatenate(cells))
+    found = [(c, both) for c, own in zip(chunks, cells) if len(both := own[contains(again, own)])]
     return pa.table({"chunk": pa.array([c for c, _ in found], pa.int32()), "row": pa.array([row] * len(found), pa.int32()), "range": pa.array([at] * len(found), pa.int32()), "blob": pa.array([pack_cells(x) for _, x in found], pa.binary())})
 
 
-def _members(values: np.ndarray, blobs: list[bytes]) -> np.ndarray:
-    if not blobs:
-        return np.zeros(len(values), dtype=bool)
-    known = np.sort(np.concatenate([unpack_cells(b) for b in blobs]))
-    i = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[i] == values
-
-
 _PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
@@ -211,13 +221,21 @@ def _candidates(docs: pa.Table, cells: pa.Table, bits: int, top: int) -> pa.Tabl
     likely = np.ones(len(chunk.hash1), dtype=bool)
     rows, blobs = cells.column("row").to_pylist(), cells.column("blob").to_pylist()
     for row in range(ROWS):
-        likely &= _members(cells_of(chunk.hash1, row, bits), [b for r, b in zip(rows, blobs) if r == row])
+        back = [unpack_cells(b) for r, b in zip(rows, blobs) if r == row]
+        likely &= contains(np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *back])), cells_of(chunk.hash1, row, bits))
     pairs = np.empty(int(likely.sum()), dtype=_PAIR)
     pairs["a"], pairs["b"] = chunk.hash1[likely], chunk.hash2[likely]
-    pairs = np.unique(pairs)
+    pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+    pairs = pairs[_starts(pairs)]
     return _blobs(docs.column("chunk")[0].as_py(), [(0, r, pairs[a:b].tobytes()) for r, a, b in _by_range(pairs["a"], top, 64)])
 
 
+def _starts(pairs: np.ndarray) -> np.ndarray:
+    """Where a new pair starts among sorted pairs."""
+    a, b = pairs["a"], pairs["b"]
+    return np.concatenate((a[:1] == a[:1], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+
+
 def _told(table: pa.Table, null_from: int) -> pa.Table:
     """For one range of hashes: the windows that a smaller chunk has, for each chunk; chunks from null_from don't count as smaller."""
     rows = sorted(zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()))
@@ -227,7 +245,7 @@ def _told(table: pa.Table, null_from: int) -> pa.Table:
     owner = np.repeat(np.array([min(c, null_from) for c, _ in rows]), [len(p) for p in pairs])
     order = np.lexsort((owner, whole["b"], whole["a"]))
     whole, owner = whole[order], owner[order]
-    fresh = np.concatenate(([True], whole[1:] != whole[:-1]))
+    fresh = _starts(whole)
     first = owner[fresh][np.cumsum(fresh) - 1]
     late = np.empty(len(order), dtype=bool)
     late[order] = first < owner
@@ -242,24 +260,25 @@ def _told(table: pa.Table, null_from: int) -> pa.Table:
 def removed_words(docs: pa.Table, told: pa.Table) -> tuple[Chunk, list[np.ndarray]]:
     """The chunk and, for each of its documents, which words go."""
     chunk = Chunk(docs, both=True)
-    pairs = np.empty(len(chunk.window), dtype=_PAIR)
-    pairs["a"], pairs["b"] = chunk.hash1, chunk.hash2
-    gone = np.zeros(len(pairs), dtype=bool)
-    if len(pairs):
-        order = np.lexsort((chunk.doc, pairs["b"], pairs["a"]))
-        ranked = pairs[order]
-        fresh = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        group = np.cumsum(fresh) - 1
-        # documents are numbered in order of id; equal ids (and null ids) count as one document here
-        same = [0]
-        for a, b in zip(chunk.ids, chunk.ids[1:]):
-            same.append(same[-1] + (a != b))
-        number = np.array(same)[chunk.doc]
-        gone[order] = number[order][fresh][group] < number[order]
-        if told.num_rows:
-            known = np.sort(np.concatenate([np.frombuffer(b, dtype=_PAIR) for b in told.column("blob").to_pylist()]), order=("a", "b"))
-            i = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
-            gone |= known[i] == pairs
+    gone = np.zeros(len(chunk.window), dtype=bool)
+    # documents are numbered in order of id; equal ids (and null ids) have one number
+    number = np.cumsum([a != b for a, b in zip(chunk.ids, chunk.ids[:1] + chunk.ids)])
+    again = np.flatnonzero(contains(repeated(chunk.hash1), chunk.hash1))
+    if len(again):
+        pairs = np.empty(len(again), dtype=_PAIR)
+        pairs["a"], pairs["b"] = chunk.hash1[again], chunk.hash2[again]
+        order = np.lexsort((again, pairs["b"], pairs["a"]))
+        fresh, owner = _starts(pairs[order]), number[chunk.doc[again[order]]]
+        gone[again[order]] = owner[fresh][np.cumsum(fresh) - 1] < owner
+    if told.num_rows:
+        known = np.concatenate([np.frombuffer(b, dtype=_PAIR) for b in told.column("blob").to_pylist()])
+        known = known[np.argsort(known["a"], kind="stable")]
+        firsts, seconds = np.ascontiguousarray(known["a"]), known["b"]
+        at, end = np.searchsorted(firsts, chunk.hash1), np.searchsorted(firsts, chunk.hash1, side="right")
+        hit = np.flatnonzero(end > at)
+        gone[hit] |= seconds[at[hit]] == chunk.hash2[hit]
+        for i in np.flatnonzero(end - at > 1).tolist():  # first hashes that collide
+            gone[i] |= (seconds[at[i] : end[i]] == chunk.hash2[i]).any()
     steps = np.zeros(int(chunk.bounds[-1]) + 1, dtype=np.int32)
     np.add.at(steps, chunk.window[gone], 1)
     np.add.at(steps, chunk.window[gone] + WINDOW, -1)
@@ -285,10 +304,10 @@ def _with_chunk(lean: DataFrame, bounds: list[int], null_from: int) -> DataFrame
     """lean with the number of the range that an id falls into, by binary search of the ranges' least ids."""
     from pyspark.ml.feature import Bucketizer
 
-    splits = sorted({float("-inf"), *map(float, bounds), float("inf")})
+    splits = sorted({float("-inf"), *map(float, bounds or [0]), float("inf")})
     placed = Bucketizer(splits=splits, inputCol="__id", outputCol="__bucket", handleInvalid="keep").transform(lean.withColumn("__id", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
     spread = null_from + F.pmod(F.xxhash64("text"), F.lit(NULL_CHUNKS))
-    return placed.withColumn("chunk", F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("__bucket")).cast("int")).drop("__id", "__bucket")
+    return placed.withColumn("chunk", F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("__bucket") if bounds else F.lit(0)).cast("int")).drop("__id", "__bucket")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
