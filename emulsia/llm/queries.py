@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, packing, quality_rules, simhash, substrings, warc
+from . import decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -121,3 +121,8 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest, C
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM k
 """
+
+
+@query
+def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
