@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, warc
+from . import decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -126,3 +126,8 @@ FROM k
 @query
 def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(table(spark, sf_dir, "documents"), key="production")
