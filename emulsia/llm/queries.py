@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
+from . import cotraining, decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -131,3 +131,8 @@ def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.report(table(spark, sf_dir, "documents"), key="production")
+
+
+@query
+def op5_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
