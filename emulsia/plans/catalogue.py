@@ -1,6 +1,11 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries over the stand-in tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
+from . import boxes, ledgers, measures, runs
+
 QUERIES: dict = {}
 SQL: dict = {}
+for part in (ledgers, boxes, measures, runs):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
