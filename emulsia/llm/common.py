@@ -69,7 +69,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: list[str], amounts: dict[str, str], per_bucket: int = 65_536, rows: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], amounts: dict[str, str], per_bucket: int = 4096, rows: int | None = None) -> DataFrame:
     """df with, for each `name: amount`, the sum of amount over the earlier rows of the group in hash order.
 
     The order is that of a 64-bit hash of `order`, ties by `order` itself, so it doesn't depend on the partitioning.
@@ -86,7 +86,7 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amounts: dict
     inside = Window.partitionBy(*group, "__bucket").orderBy("__key", *order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranked.select("*", *[F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__local_{n}") for n, a in amounts.items()])
     on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__bucket") == F.col("__b")]
-    joined = local.join(base, on, "left")
+    joined = local.join(base.hint("merge"), on, "left")
     return joined.select(*df.columns, *[(F.col(f"__local_{n}") + F.col(f"__base_{n}")).alias(n) for n in amounts])
 
 

@@ -86,7 +86,7 @@ def plan(slim: DataFrame, rows: int, seed: int = 11) -> tuple[DataFrame, DataFra
     slots = slots.join(F.broadcast(per_shard), F.lit(True))
     drawn = F.pmod(F.xxhash64(F.lit("shard"), F.lit(seed), "source", "slot"), F.col("shards")).cast("int")
     slots = slots.withColumns({"index": F.col("slot") % F.col("n_blocks"), "out_shard": drawn, "round": F.expr("slot div n_blocks")})
-    joined = common.join_same(slots, blocks.drop("is_last"), ["source", "index"])
+    joined = common.join_same(slots, blocks.drop("is_last").hint("merge"), ["source", "index"])
     before = F.col("index") * BLOCK - F.when(F.col("index") > F.col("last_index"), BLOCK - F.col("last_words")).otherwise(0)
     part = F.greatest(F.lit(0), F.least("block_words", F.col("rest") - before))
     taken = F.when(F.col("round") < F.col("passes"), F.col("block_words")).otherwise(part)
@@ -104,7 +104,7 @@ def _taken(slots: DataFrame, pieces: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("round") < F.col("passes"), 1).otherwise(0)).cast("long").alias("whole"),
         F.max(F.when(F.col("round") >= F.col("passes"), F.col("words"))).alias("reach"),
     )
-    joined = common.join_same(pieces, uses, ["source", "block"], "left")
+    joined = common.join_same(pieces, uses.hint("merge"), ["source", "block"], "left")
     part = F.greatest(F.lit(0).cast("long"), F.least("high", F.coalesce("reach", F.lit(0))) - F.col("low"))
     return joined.withColumns({"whole": F.coalesce("whole", F.lit(0)), "part": part}).drop("reach")
 
