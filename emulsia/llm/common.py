@@ -79,13 +79,13 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], amounts: dict
     n = rows if rows is not None else df.count()
     buckets = max(1, -(-n // per_bucket))
     key = F.xxhash64(F.lit("order"), *order)
-    ranked = df.withColumn("__key", key).withColumn("__bucket", F.pmod(F.shiftrightunsigned("__key", 1), F.lit(buckets)))
-    sums = ranked.groupBy(*group, "__bucket").agg(*[F.sum(a).alias(f"__sum_{n}") for n, a in amounts.items()])
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__bucket").alias("__b"), *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__base_{n}") for n in amounts])
-    inside = Window.partitionBy(*group, "__bucket").orderBy("__key", *order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = df.withColumn("__rank", key).withColumn("__range", F.pmod(F.shiftrightunsigned("__rank", 1), F.lit(buckets)))
+    sums = ranked.groupBy(*group, "__range").agg(*[F.sum(a).alias(f"__sum_{n}") for n, a in amounts.items()])
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__b"), *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__base_{n}") for n in amounts])
+    inside = Window.partitionBy(*group, "__range").orderBy("__rank", *order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranked.select("*", *[F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__local_{n}") for n, a in amounts.items()])
-    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__bucket") == F.col("__b")]
+    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__range") == F.col("__b")]
     joined = local.join(base.hint("merge"), on, "left")
     return joined.select(*df.columns, *[(F.col(f"__local_{n}") + F.col(f"__base_{n}")).alias(n) for n in amounts])
 

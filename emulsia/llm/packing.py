@@ -81,7 +81,7 @@ def make_plan(slim: DataFrame, shards: int, size: str, tokens: str, digest: str,
     cells = shards * CELLS
     sums = lambda: [F.sum(F.col(size).cast("double")).alias("b"), F.sum(F.col(tokens).cast("double")).alias("t"), F.count("*").cast("double").alias("r")]
     total = slim.agg(*sums()).first()
-    load = F.greatest(F.lit(0.0), *[F.col(c) / F.lit(total[c]) for c in "btr" if total[c]])
+    load = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(c) / F.lit(total[c]) for c in "btr" if total[c]])
     # loads of all groups add up to 3 at most, so fewer than 3 * cells groups are large
     large = slim.groupBy(digest).agg(*sums()).filter(load * cells > 1).select(F.col(digest).alias("d"), F.ceil(load * cells).cast("int").alias("n"))
     plan = Plan(slim.sparkSession, cells, sorted((r["d"], r["n"]) for r in large.collect()), [])
