@@ -142,12 +142,15 @@ def co_train(text: Sparse, meta: Sparse, y: np.ndarray, pool_text: Sparse, pool_
     if len(set(y[held])) < 2 or len(set(y[train])) < 2:
         train = held = np.arange(len(y))
     sets = {"text": (text.take(train), y[train]), "meta": (meta.take(train), y[train])}
+    views = {"text": text, "meta": meta}
     pools, sizes = {"text": pool_text, "meta": pool_meta}, {"text": 1 << BITS, "meta": 1 << META_BITS}
     fitted = {v: fit_logistic(*sets[v], sizes[v]) for v in sets}
     free = {v: np.ones(len(pool_text.sizes), dtype=bool) for v in sets}
     for _ in range(ROUNDS):
         for teacher, pupil in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(pools[teacher].dot(fitted[teacher]))
+            # sure by its probability on held-out labels: a view that can't tell the classes apart teaches nothing
+            line = fit_line(views[teacher].take(held).dot(fitted[teacher])[:, None], y[held])
+            p = _sigmoid(pools[teacher].dot(fitted[teacher]) * line[0] + line[1])
             sure = np.flatnonzero(free[pupil] & (np.maximum(p, 1 - p) >= SURE))
             sure = sure[np.argsort(-np.maximum(p, 1 - p)[sure], kind="stable")][: int(TAKE * len(p))]
             free[pupil][sure] = False
