@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import boxes, ledgers, measures, runs
+from . import boxes, clips, ledgers, measures, runs
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (ledgers, boxes, measures, runs):
+for part in (ledgers, boxes, measures, clips, runs):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
