@@ -100,7 +100,7 @@ def production_rules() -> list[Rule]:
         Rule("few_words", lambda t, w: F.size(w) < MIN_WORDS),
         Rule("repeats", lambda t, w: 100 * repeat_words(w) > MAX_REPEAT_PERCENT * F.size(w)),
         Rule("symbols", lambda t, w: 100 * symbols(t) > 20 * F.size(w)),
-        Rule("duplicate_lines", lambda t, w: 10 * duplicate_lines(t) > 3 * F.size(F.split(common.text_of(t), "\n"))),
+        Rule("duplicate_lines", lambda t, w: 2 * duplicate_lines(t) > F.size(F.split(common.text_of(t), "\n"))),
         Rule("shouting", lambda t, w: 2 * F.regexp_count(common.text_of(t), F.lit("!")) > F.size(w)),
         Rule("long_words", lambda t, w: _word_chars(w) > 16 * F.size(w)),
         Rule("digits", lambda t, w: 5 * digits(t) > 2 * _word_chars(w)),
