@@ -63,3 +63,18 @@ def size_text(n: Column) -> Column:
 def notice(processed: Column, ok: Column, failed: Column) -> Column:
     """What a cycle says: nothing when idle, problems first."""
     return F.when(F.coalesce(processed, F.lit(0)) == 0, "silent").when(failed > 0, "problem").otherwise("done")
+
+
+def table_text(diff: Column, value: Column, delta: Column, digits: int = 3) -> Column:
+    """A cell of a comparison: the value, then its signed change in brackets, NEW or GONE; blank where not measured."""
+    number = F.when(value.isNull(), "").otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+    change = F.when(delta.isNull(), "").otherwise(F.format_string(f" (%+.{digits}f)", delta.cast("double")))
+    return F.when(diff == "NEW", F.concat(number, F.lit(" NEW"))).when(diff == "GONE", F.lit("GONE")).otherwise(F.concat(number, change))
+
+
+def duration_text(seconds: Column) -> Column:
+    """m:ss, or h:mm:ss from an hour on."""
+    s = F.floor(seconds).cast("long")
+    minutes = F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60)
+    hours = F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
+    return F.when(s >= 3600, hours).otherwise(minutes)
