@@ -94,7 +94,7 @@ def score_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("min"), F.count("*").alias("frames"))
     # only values that can hold the wanted rank are ranked: those up to an upper bound of the hundredth part
     bound = events.groupBy("event_type").agg(F.percentile_approx("value", 0.02, 1000).alias("bound"))
-    low = events.join(F.broadcast(bound), "event_type").filter("value <= bound")
+    low = events.join(bound, "event_type").filter("value <= bound")
     ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("value")))
     wanted = counts.withColumn("n", F.greatest(F.lit(1), F.floor(F.col("frames") / 100)).cast("int"))
     p1 = ranked.join(wanted.select("event_type", "n"), ["event_type", "n"]).select("event_type", F.col("value").alias("p1"))
