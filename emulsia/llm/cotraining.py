@@ -76,6 +76,12 @@ class Sparse:
     def of(rows: list[Row]) -> Sparse:
         return Sparse(np.array([i for r in rows for i in r[0]], dtype=np.int64), np.array([v for r in rows for v in r[1]]), np.array([len(r[0]) for r in rows], dtype=np.int64))
 
+    @staticmethod
+    def of_lists(indices: pa.ChunkedArray, values: pa.ChunkedArray) -> Sparse:
+        a, b = ([c for c in x.chunks if len(c)] for x in (indices, values))
+        flat = lambda chunks, kind: np.concatenate([np.zeros(0, dtype=kind), *[c.flatten().to_numpy(zero_copy_only=False).astype(kind) for c in chunks]])
+        return Sparse(flat(a, np.int64), flat(b, np.float64), np.concatenate([np.zeros(0, dtype=np.int64), *[np.diff(c.offsets.to_numpy()).astype(np.int64) for c in a]]))
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
         starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
         return np.add.reduceat(weights[self.indices] * self.values, starts) if len(self.sizes) else np.zeros(0)
@@ -174,7 +180,7 @@ def _rows(b: pa.RecordBatch) -> tuple[list[Row], list[Row]]:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         text, meta = _rows(b)
-        yield pa.RecordBatch.from_arrays([b.column("good"), *[pa.array([r[k] for r in v], pa.list_(t)) for v in (text, meta) for k, t in ((0, pa.int32()), (1, pa.float32()))]], names=["good", "ti", "tv", "mi", "mv"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("good"), *[pa.array([r[k] for r in v], pa.list_(t)) for v in (text, meta) for k, t in ((0, pa.int32()), (1, pa.float32()))]], names=["doc_id", "good", "ti", "tv", "mi", "mv"])
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -194,11 +200,15 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 40
     rest = docs.select("doc_id").filter("doc_id IS NOT NULL").join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool).withColumn("good", F.lit(None).cast("double"))
     # at most `labelled` + `pool` ids
     sample = docs.join(F.broadcast(chosen.unionByName(rest).withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
-    rows = sample.select("doc_id", "good", *_NEEDED).mapInArrow(_featured, "good double, ti array<int>, tv array<float>, mi array<int>, mv array<float>").toArrow()
-    table = sorted(zip(*(rows.column(c).to_pylist() for c in ("good", "ti", "tv", "mi", "mv"))), key=lambda r: (r[0] is None, zlib.crc32(repr(r[1:3]).encode())))
-    marked, free = [r for r in table if r[0] is not None], [r for r in table if r[0] is None]
-    sparse = lambda rs, i: Sparse.of([(r[i], r[i + 1]) for r in rs])
-    return co_train(sparse(marked, 1), sparse(marked, 3), np.array([r[0] for r in marked]), sparse(free, 1), sparse(free, 3))
+    key = docs.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "good", *_NEEDED).mapInArrow(_featured, f"doc_id {key}, good double, ti array<int>, tv array<float>, mi array<int>, mv array<float>").toArrow()
+    ids, good_of = rows.column("doc_id").to_pylist(), rows.column("good").to_pylist()
+    ranked = sorted(range(len(ids)), key=lambda i: (zlib.crc32(repr(ids[i]).encode()), repr(ids[i])))
+    marked = np.array([i for i in ranked if good_of[i] is not None], dtype=np.int64)
+    free = np.array([i for i in ranked if good_of[i] is None], dtype=np.int64)
+    text, meta = (Sparse.of_lists(rows.column(f"{v}i"), rows.column(f"{v}v")) for v in "tm")
+    y = np.array([good_of[i] for i in marked])
+    return co_train(text.take(marked), meta.take(marked), y, text.take(free), meta.take(free))
 
 
 def score(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 4000, text: str = "text", key: str = "doc_id", lang: str = "lang", source: str = "source", length: str = "n_chars") -> DataFrame:
