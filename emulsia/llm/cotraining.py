@@ -102,7 +102,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, n: int, steps: int = 120, l2: float = 1e-4, rate: float = 0.3) -> np.ndarray:
+def fit_logistic(x: Sparse, y: np.ndarray, n: int, steps: int = 300, l2: float = 3e-4, rate: float = 0.3) -> np.ndarray:
     """Weights by Adagrad on the whole sample; both classes weigh the same."""
     w, seen = np.zeros(n), np.full(n, 1e-8)
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
