@@ -22,6 +22,7 @@ table. Windows are judged on the input, not on what is left.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
-
 WINDOW = 13
 ROWS = 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 NULL_CHUNKS = 64  # documents without an id: nothing is smaller within them, so any cut will do
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -41,6 +40,7 @@ _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BYTE_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _WORD_BASES = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _PIECE = 1 << 20
+_HEAD = struct.Struct("<IBQ")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -155,29 +155,34 @@ def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def pack_cells(cells: np.ndarray) -> bytes:
-    """Sorted distinct numbers as gaps, in bytes of seven bits."""
-    gaps = np.diff(cells, prepend=np.uint64(0))
-    if not len(gaps):
+    """Sorted distinct numbers in the Elias-Fano form: about two bits each besides the bits that tell neighbours apart."""
+    n = len(cells)
+    if not n:
         return b""
-    longest = max(1, -(-int(gaps.max()).bit_length() // 7))
-    parts = np.empty((len(gaps), longest), dtype=np.uint8)
-    keep = np.empty((len(gaps), longest), dtype=bool)
-    for k in range(longest):
-        rest = gaps >> np.uint64(7 * (k + 1))
-        parts[:, k] = (gaps >> np.uint64(7 * k)).astype(np.uint8) & 127 | ((rest > 0).astype(np.uint8) << 7)
-        keep[:, k] = gaps >> np.uint64(7 * k) > 0 if k else True
-    return parts[keep].tobytes()
+    base = int(cells[0])
+    rest = cells - np.uint64(base)
+    low = max(0, ((int(rest[-1]) + 1) // n).bit_length() - 1)
+    high = (rest >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    marks = np.zeros(int(high[-1]) + 1, dtype=np.uint8)
+    marks[high] = 1
+    lows = np.empty((n, low), dtype=np.uint8)
+    for k in range(low):
+        lows[:, k] = (rest >> np.uint64(k)) & np.uint64(1)
+    return _HEAD.pack(n, low, base) + np.packbits(lows.ravel()).tobytes() + np.packbits(marks).tobytes()
 
 
 def unpack_cells(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, dtype=np.uint8)
-    if not len(raw):
+    if not blob:
         return np.zeros(0, dtype=np.uint64)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)
-    values = (raw & 127).astype(np.uint64) << (place * 7).astype(np.uint64)
-    return np.cumsum(np.add.reduceat(values, starts))
+    n, low, base = _HEAD.unpack_from(blob)
+    middle = _HEAD.size + (n * low + 7) // 8
+    raw = np.frombuffer(blob, dtype=np.uint8)
+    lows = np.unpackbits(raw[_HEAD.size : middle], count=n * low).reshape(n, low)
+    high = np.flatnonzero(np.unpackbits(raw[middle:]))[:n] - np.arange(n)
+    out = high.astype(np.uint64) << np.uint64(low)
+    for k in range(low):
+        out |= lows[:, k].astype(np.uint64) << np.uint64(k)
+    return out + np.uint64(base)
 
 
 def _blobs(chunk: int, kinds: list[tuple[int, int, bytes]]) -> pa.Table:
