@@ -145,9 +145,10 @@ g AS (SELECT p_partkey, w, h, x, unnest(range(0, h)) AS y FROM (SELECT p_partkey
 SELECT p_partkey, round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(y, h - 1 - y, x, w - 1 - x) / 8.0::DOUBLE))), 6) AS mass FROM g GROUP BY p_partkey""")
 def soft_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed weight of the feathered mask of a crop."""
-    b = parts(spark, sf_dir).filter("p_partkey <= 200").select("p_partkey", (20 + F.col("p_size")).alias("w"), (20 + F.col("p_size") % 7).alias("h"))
-    grid = b.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
-    return grid.groupBy("p_partkey").agg(F.round(F.sum(P.soft_mask(F.col("x"), F.col("y"), F.col("w"), F.col("h"), 8.0)), 6).alias("mass"))
+    b = parts(spark, sf_dir).select("p_partkey", (20 + F.col("p_size")).alias("w"), (20 + F.col("p_size") % 7).alias("h"))
+    total = lambda n, f: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + f(i))
+    mass = total(F.col("w"), lambda x: total(F.col("h"), lambda y: P.soft_mask(x, y, F.col("w"), F.col("h"), 8.0)))
+    return b.select("p_partkey", F.round(mass, 6).alias("mass"))
 
 
 @query("""WITH v AS (SELECT p_partkey, (p_partkey % 101) / 100.0::DOUBLE AS v FROM part), l AS (SELECT p_partkey, v, CASE WHEN v <= 0.04045::DOUBLE THEN v / 12.92::DOUBLE ELSE pow((v + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS lin FROM v),
