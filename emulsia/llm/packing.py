@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Groups of equal texts are placed whole, each where the dot product of its (bytes, tokens, rows) with the residual
-capacity of the shard is highest, the largest first. Two things keep that placement bounded. Small groups are placed
-by the cell that their digest falls into (CELLS cells a shard, whatever the number of groups), and a group that
-outweighs a cell's fair share is an item of its own, split into pieces of at most that share by a hash of the ids, so
-that a group with a third of all rows doesn't unbalance the shards. The items, at most a few times shards * CELLS
-of them by construction, are placed on the driver; rows find their shard by a broadcast of that table.
+Items are placed where the dot product of their (bytes, tokens, rows) with the residual capacity of the shard is
+highest, the largest first. A group of equal texts that outweighs a cell's fair share (1 / (shards * CELLS) of the
+table) is an item of its own. Smaller groups stay whole too but aren't placed one by one: the item is the cell that
+their digest falls into, whatever the number of groups. Only a group over SPLIT of a shard's fair share is split, into
+pieces of at most a cell's share by a hash of the ids, so that a group with a third of all rows doesn't unbalance the
+shards. The items, at most a few times shards * CELLS of them by construction, are placed on the driver; rows find
+their shard by a broadcast of that table.
 
 Defined results: a null text has no bytes and no tokens and is in the group of empty texts; null ids are hashed like
 any value; equal rows share a group; an empty table gives an empty table. Rows that are equal in every column used get
@@ -24,6 +25,8 @@ from . import common
 from .quality_rules import split_words
 
 CELLS = 256
+#: The part of a shard's fair share up to which a group stays whole; shards differ by about that much at most.
+SPLIT = 0.25
 
 
 def place(items: np.ndarray, shards: int) -> np.ndarray:
@@ -54,7 +57,7 @@ def measured(docs: DataFrame, text: str, names: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """pieces: digest of each large group to its number of pieces; shards: (item, piece) to shard."""
+    """pieces: digest of each group over a cell's share to its number of pieces (1: whole); shards: (item, piece) to shard."""
 
     spark: SparkSession
     cells: int
@@ -83,7 +86,8 @@ def make_plan(slim: DataFrame, shards: int, size: str, tokens: str, digest: str,
     total = slim.agg(*sums()).first()
     load = F.greatest(F.lit(0.0), F.lit(0.0), *[F.col(c) / F.lit(total[c]) for c in "btr" if total[c]])
     # loads of all groups add up to 3 at most, so fewer than 3 * cells groups are large
-    large = slim.groupBy(digest).agg(*sums()).filter(load * cells > 1).select(F.col(digest).alias("d"), F.ceil(load * cells).cast("int").alias("n"))
+    n = F.when(load * shards > SPLIT, F.ceil(load * cells)).otherwise(1).cast("int")
+    large = slim.groupBy(digest).agg(*sums()).filter(load * cells > 1).select(F.col(digest).alias("d"), n.alias("n"))
     plan = Plan(slim.sparkSession, cells, sorted((r["d"], r["n"]) for r in large.collect()), [])
     loads = sorted(plan.items(slim, digest, key).groupBy("__item", "__piece").agg(*sums()).collect(), key=lambda r: (r["__item"], r["__piece"]))
     at = place(np.array([[r["b"], r["t"], r["r"]] for r in loads]).reshape(-1, 3), shards)
