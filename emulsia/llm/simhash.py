@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graphs
+from . import common, graphs, similar
 
 SHINGLE = 3
 SEED = 42
@@ -178,14 +178,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def alike(docs: DataFrame, text: str, key: str, shingle: int, similarity: float, digest: Column) -> DataFrame:
+    """Per row of docs: doc_id, digest and component_id (the least id of the texts linked at the similarity)."""
+    slim = docs.select(F.col(key).alias("doc_id"), digest.alias("digest"), similar.point_of(F.col(text)).alias("point"))
+    points = slim.groupBy("point").agg(F.min("doc_id").alias("first"))
+    roots = similar.roots(docs, F.col(text), shingle, similarity)
+    joined = common.stored(common.join_same(points, roots, ["point"], "left").withColumn("root", F.coalesce("root", "point")), "alike")
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = common.join_same(joined.select("point", "root"), least, ["root"]).select("point", "component_id")
+    return common.join_same(slim, named, ["point"])
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The row of each group with the group's least id, once, with the columns of docs.
 
-    Rows without an id stay unless their group has one with an id.
+    Groups are those of the fingerprints or, with a similarity, of the exact Jaccard similarity of shingles. Rows without an id stay unless their group has one with an id.
     """
     (digest,) = common.fresh(docs, "__digest")
     hashed = F.xxhash64(F.sha2(common.text_of(text), 256))
-    found = grouped(docs, text, key, {"digest": hashed}).filter("doc_id <=> component_id").groupBy("doc_id", "digest").count()
+    groups = grouped(docs, text, key, {"digest": hashed}) if similarity is None else alike(docs, text, key, shingle, similarity, hashed)
+    found = groups.filter("doc_id <=> component_id").groupBy("doc_id", "digest").count()
     found = common.stored(found, "first")
     keyed = docs.withColumn(digest, hashed)
     keyed = keyed.withColumnsRenamed({key: "doc_id"}) if key != "doc_id" else keyed

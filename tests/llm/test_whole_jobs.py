@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 from emulsia.llm import packing
 
 
@@ -18,3 +20,22 @@ def test_packing_splits_only_groups_too_heavy_for_a_shard(spark):
         load[r["shard"]] += 1
     assert all(len(at[t]) == 1 for _, t in pairs + middle)
     assert len(at[heavy[0][1]]) > 1 and max(load.values()) < 1.25 * len(rows) / 8
+
+
+def test_near_dedup_stage_takes_all_near_copies(spark, empty):
+    rng = random.Random(7)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, near = [], []
+    for _ in range(40):
+        base = made(120)
+        texts.append(base)
+        for at in (30, 60, 90):
+            near.append([*base[:at], *made(1), *base[at + 1 :]])
+    for _ in range(40):
+        base = made(120)
+        texts += [base, [x if i % 12 else f"z{rng.randrange(10**6)}" for i, x in enumerate(base)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, *near])]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(len(texts)))
+    assert stage(spark, empty, "").count() == 0
