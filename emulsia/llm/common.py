@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,11 +18,13 @@ WORD = rf"[^{BLANKS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="emulsia-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
@@ -69,25 +73,51 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """At most n rows in an Arrow batch of the plans that are run inside: for rows with large values."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], amounts: dict[str, str], per_bucket: int = 4096, rows: int | None = None) -> DataFrame:
     """df with, for each `name: amount`, the sum of amount over the earlier rows of the group in hash order.
 
     The order is that of a 64-bit hash of `order`, ties by `order` itself, so it doesn't depend on the partitioning.
-    No task gets a whole group: hash ranges of about per_bucket rows are summed first, and the sums of the ranges
-    are added up (a table smaller by that factor). Rows equal in group and order get consecutive sums.
+    No task gets a whole group: hash ranges of about per_bucket rows are summed first, then the sums within runs of
+    per_bucket ranges, then those of the runs. Rows equal in group and order get consecutive sums. `rows` is the number
+    of rows of df, if it is known; columns of df may have any names.
     """
     n = rows if rows is not None else df.count()
     buckets = max(1, -(-n // per_bucket))
-    key = F.xxhash64(F.lit("order"), *order)
-    ranked = df.withColumn("__rank", key).withColumn("__range", F.pmod(F.shiftrightunsigned("__rank", 1), F.lit(buckets)))
-    sums = ranked.groupBy(*group, "__range").agg(*[F.sum(a).alias(f"__sum_{n}") for n, a in amounts.items()])
-    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__range").alias("__b"), *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__base_{n}") for n in amounts])
-    inside = Window.partitionBy(*group, "__range").orderBy("__rank", *order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranked.select("*", *[F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"__local_{n}") for n, a in amounts.items()])
-    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)] + [F.col("__range") == F.col("__b")]
-    joined = local.join(base.hint("merge"), on, "left")
-    return joined.select(*df.columns, *[(F.col(f"__local_{n}") + F.col(f"__base_{n}")).alias(n) for n in amounts])
+    rank, at, run = fresh(df, "__rank", "__range", "__run")
+    taken = fresh(df, *[f"__{kind}_{i}" for kind in ("sum", "base", "local", "run_sum", "run_base") for i in range(len(amounts))], *[f"__g{i}" for i in range(len(group))], "__at", "__of")
+    k = len(amounts)
+    sums, bases, locals_, run_sums, run_bases = (taken[i * k : (i + 1) * k] for i in range(5))
+    keys, (own, of) = taken[5 * k : 5 * k + len(group)], taken[-2:]
+    ranked = df.withColumn(rank, F.xxhash64(F.lit("order"), *order))
+    ranked = ranked.withColumn(at, F.pmod(F.shiftrightunsigned(rank, 1), F.lit(buckets)))
+    earlier = lambda *c: Window.partitionBy(*c[:-1]).orderBy(c[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda x, w, out: F.coalesce(F.sum(x).over(w), F.lit(0)).alias(out)
+
+    ranges = ranked.groupBy(*group, at).agg(*[F.sum(a).alias(s) for a, s in zip(amounts.values(), sums)])
+    ranges = ranges.select(*[F.col(g).alias(x) for g, x in zip(group, keys)], F.col(at).alias(own), F.floor(F.col(at) / per_bucket).alias(run), *sums)
+    runs = ranges.groupBy(*keys, run).agg(*[F.sum(s).alias(r) for s, r in zip(sums, run_sums)])
+    runs = runs.select(*[F.col(x).alias(f"{x}r") for x in keys], F.col(run).alias(of), *[so_far(r, earlier(*keys, run), b) for r, b in zip(run_sums, run_bases)])
+    ranges = ranges.select(*keys, own, run, *[so_far(s, earlier(*keys, run, own), b) for s, b in zip(sums, bases)])
+    ranges = ranges.join(runs, [F.col(x).eqNullSafe(F.col(f"{x}r")) for x in keys] + [F.col(run) == F.col(of)])
+    ranges = ranges.select(*keys, own, *[(F.col(b) + F.col(r)).alias(b) for b, r in zip(bases, run_bases)])
+
+    inside = Window.partitionBy(*group, at).orderBy(rank, *order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranked.select("*", *[so_far(a, inside, x) for a, x in zip(amounts.values(), locals_)])
+    on = [F.col(g).eqNullSafe(F.col(x)) for g, x in zip(group, keys)] + [F.col(at) == F.col(own)]
+    joined = local.join(ranges.hint("merge"), on, "left")
+    return joined.select(*df.columns, *[(F.col(x) + F.col(b)).alias(name) for name, x, b in zip(amounts, locals_, bases)])
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", nulls: tuple[str, ...] = ("source",)) -> DataFrame:
