@@ -1,22 +1,25 @@
 """Substring dedup: windows of 13 words that start in an earlier document go, found behind a count-min prefilter.
 
 Documents are cut into chunks, ranges of ids in order, so that a window which some smaller chunk has also starts in a
-document with a smaller id, and only a window shared within a chunk needs ids. Four steps, each keyed by chunk or by
-hash range:
+document with a smaller id, and only a window shared within a chunk needs ids. Ranges are cut by bytes; a single id, or
+the rows without one, that outweighs a chunk is spread over several chunks of one rank, none of which is smaller than
+another. Four steps, each keyed by chunk or by hash range:
 
 1. Sketch. Each chunk hashes its distinct windows into ROWS rows of a count-min sketch with 2**bits cells. bits grows
    with the text, to 8 or more cells a window, so a sketch of a chunk is mostly zeros and is kept as its sorted cells.
 2. Merge. The chunks' sketches are added up by ranges of cells. A cell that two chunks have is handed back to both. A
    window's estimate is the least count of its cells: it may be too high, never too low, so no repeat is lost.
-3. Exact groups. Chunks send 128-bit hashes of the windows whose cells all came back, and those are grouped exactly:
-   each chunk but the first that has a window is told so.
-4. Removal. A chunk removes windows it was told of and those of a smaller id within it.
+3. Exact groups. Chunks send the windows whose cells all came back, each as the SHA-256 of its words cut to 96 bits and
+   32 bits of another hash, and those are grouped: each chunk but the first that has a window is told so.
+4. Removal. A chunk removes windows it was told of and, by the same digests, those of a smaller id within it.
 
-The texts move once, to their chunk; the three reads of a chunk reuse that exchange.
+Words are hashed by XXH64 and windows by their words' hashes only to choose candidates; what is removed rests on digests
+of the words themselves. The texts move once, to their chunk; the three reads of a chunk reuse that exchange.
 
-Defined results: a null text has no words; a document of fewer than 13 words keeps them all; a null id is larger than
-every id and no null id is larger than another; repeated rows keep what the other has; an empty table gives an empty
-table. Windows are judged on the input, not on what is left.
+Defined results: a null text has no words; a document of fewer than 13 words keeps them all; a very long text is in one
+chunk, which may then be larger than others; ids are numbers, a null id is larger than every id and no null id is larger
+than another; repeated rows keep what the other has; columns besides the id and the text aren't read; an empty table
+gives an empty table. Windows are judged on the input, not on what is left.
 """
 
 from __future__ import annotations
@@ -27,19 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW = 13
 ROWS = 2
-CHUNK_BYTES = 8 << 20
-NULL_CHUNKS = 64  # documents without an id: nothing is smaller within them, so any cut will do
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+CHUNK_BYTES = 8 << 20  # of text, up to GROW_FROM of it; chunks grow with the root of the text beyond, to MOST times this
+GROW_FROM = 1 << 30
+MOST = 4
+MERGE_CELLS = 4 << 20  # cells that one range of a sketch's row brings together
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_BYTE_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-_WORD_BASES = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_PIECE = 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_TAG = np.uint64(0xFFFFFFFF00000000)
+_VOCABULARY = 1 << 18
 _HEAD = struct.Struct("<IBQ")
 
 
@@ -50,84 +56,65 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, base, dtype=np.uint64)) if n else np.zeros(0, dtype=np.uint64)
-
-
-class _Tables:
-    """Powers of a byte base and of its inverse, and random values of the bytes."""
-
-    def __init__(self, base: np.uint64, salt: int):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.values = _mixed(np.arange(1 + 256 * salt, 257 + 256 * salt, dtype=np.uint64))
-        self.size = 0
+class _Words(dict):
+    """XXH64 of words; frequent ones are remembered."""
 
-    def grow(self, n: int) -> None:
-        if n > self.size:
-            self.size = max(n, 1 << 16)
-            self.up, self.down = _powers(self.base, self.size), _powers(self.inverse, self.size)
-
-
-_TABLES: list[_Tables] = []
-
-
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """A 64-bit hash of each raw[start:end], from prefix sums of a polynomial; starts and ends ascend."""
-    if not _TABLES:
-        _TABLES.extend(_Tables(b, i) for i, b in enumerate(_BYTE_BASES))
-    tables, out, i = _TABLES[which], np.empty(len(starts), dtype=np.uint64), 0
-    with np.errstate(over="ignore"):
-        while i < len(starts):
-            low = int(starts[i])
-            j = max(i + 1, int(np.searchsorted(ends, low + _PIECE, side="right")))
-            n = int(ends[j - 1]) - low
-            tables.grow(n)
-            sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(tables.values[raw[low : low + n]] * tables.up[:n])))
-            a, b = starts[i:j] - low, ends[i:j] - low
-            out[i:j] = (sums[b] - sums[a]) * tables.down[a] + (b - a).astype(np.uint64)
-            i = j
-    return _mixed(out)
-
-
-def split_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a byte array."""
-    solid = np.concatenate(([False], ~_BLANK[raw], [False]))
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    return edges[::2], edges[1::2]
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _VOCABULARY:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, 13)
+        return out
 
 
 class Chunk:
-    """The documents of a chunk in order of id, with their words as offsets into one byte array.
+    """The documents of a chunk in order of id, their words joined by blanks in one byte string.
 
-    window: the first word of each window; hash1 and hash2 its two hashes.
+    window: the first word of each window; hashes: a 64-bit hash of it; doc: its document's number.
     """
 
-    def __init__(self, table: pa.Table, both: bool = False):
-        self.ids = table.column("doc_id").to_pylist()
-        texts = [t.encode() if t else b"" for t in table.column("text").to_pylist()]
-        self.order = sorted(range(len(texts)), key=lambda i: (self.ids[i] is None, self.ids[i] if self.ids[i] is not None else 0))
-        self.texts = [texts[i] for i in self.order]
-        self.ids = [self.ids[i] for i in self.order]
-        raw = np.frombuffer(b"\n".join([*self.texts, b""]), dtype=np.uint8)
-        starts, ends = split_bytes(raw)
-        limits = np.cumsum([len(t) + 1 for t in self.texts]) if self.texts else np.zeros(0, dtype=np.int64)
-        self.bounds = np.concatenate(([0], np.searchsorted(starts, limits)))  # word numbers of the documents
-        doc = np.repeat(np.arange(len(self.texts)), np.diff(self.bounds))
-        n = max(0, len(starts) - WINDOW + 1)
-        self.window = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :]) if n else np.zeros(0, dtype=np.int64)
+    def __init__(self, table: pa.Table):
+        ids = table.column("doc_id").to_pylist()
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
+        self.ids = [ids[i] for i in self.order]
+        texts, known = table.column("text"), _Words()
+        joined, sizes, words, counts = [], [], [], []
+        for i in self.order:
+            found = (texts[i].as_py() or "").encode().split()
+            joined.append(b" ".join(found))
+            sizes.append(np.fromiter(map(len, found), dtype=np.int32, count=len(found)))
+            words.append(np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found)))
+            counts.append(len(found))
+        none = np.zeros(0, dtype=np.int64)
+        self.texts, self.n_words = joined, np.array(counts, dtype=np.int64)
+        self.bounds = np.concatenate(([0], np.cumsum(self.n_words)))  # word numbers of the documents
+        self.sizes = np.concatenate([none, *sizes])
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.n_words)
+        n = max(0, len(doc) - WINDOW + 1)
+        self.window = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :]) if n else none
         self.doc = doc[self.window]
-        self.n_words = np.diff(self.bounds)
-        self.hash1 = self._windows(raw, starts, ends, 0)
-        self.hash2 = self._windows(raw, starts, ends, 1) if both else None
-
-    def _windows(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-        words = _word_hashes(raw, starts, ends, which)
-        out = np.zeros(len(self.window), dtype=np.uint64)
+        words = np.concatenate([none.astype(np.uint64), *words])
+        self.hashes = np.zeros(len(self.window), dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k in range(WINDOW):
-                out = out * _WORD_BASES[which] + words[self.window + k]
-        return _mixed(out)
+                self.hashes = self.hashes * _BASE + words[self.window + k]
+        self.hashes = _mixed(self.hashes)
+
+    def pairs(self, which: np.ndarray) -> np.ndarray:
+        """Of these windows (ascending), the top of the hash with 96 bits of the SHA-256 of the words."""
+        out = np.empty(len(which), dtype=_PAIR)
+        digests, sha = [], hashlib.sha256
+        docs, firsts = self.doc[which], self.window[which]
+        edges = [0, *(np.flatnonzero(docs[1:] != docs[:-1]) + 1).tolist(), len(docs)] if len(docs) else []
+        for x, y in zip(edges, edges[1:]):
+            d = int(docs[x])
+            low, text = int(self.bounds[d]), self.texts[d]
+            ends = np.cumsum(self.sizes[low : self.bounds[d + 1]] + 1)
+            at = firsts[x:y] - low
+            begins = np.where(at > 0, ends[at - 1], 0)
+            digests += [sha(text[i:j]).digest()[:12] for i, j in zip(begins.tolist(), (ends[at + WINDOW - 1] - 1).tolist())]
+        raw = np.frombuffer(b"".join(digests), dtype=np.dtype([("a", "<u4"), ("b", "<u8")]))
+        out["a"], out["b"] = (self.hashes[which] & _TAG) | raw["a"], raw["b"]
+        return out
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
@@ -199,7 +186,7 @@ def _by_range(values: np.ndarray, top_bits: int, bits: int) -> Iterator[tuple[in
 
 def _sketch(table: pa.Table, bits: int, top: int) -> pa.Table:
     chunk = table.column("chunk")[0].as_py()
-    hashes, kinds = distinct(Chunk(table).hash1), []
+    hashes, kinds = distinct(Chunk(table).hashes), []
     for row in range(ROWS):
         cells = distinct(cells_of(hashes, row, bits))
         kinds += [(row, r, pack_cells(cells[a:b])) for r, a, b in _by_range(cells, top, bits)]
@@ -219,17 +206,16 @@ _PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _candidates(docs: pa.Table, cells: pa.Table, bits: int, top: int) -> pa.Table:
-    """Both hashes of the windows whose cells all were handed back, by range of the first hash."""
+    """Pairs of the windows whose cells all were handed back, by range of the hash."""
     if not docs.num_rows or not cells.num_rows:
         return _blobs(0, [])
-    chunk = Chunk(docs, both=True)
-    likely = np.ones(len(chunk.hash1), dtype=bool)
+    chunk = Chunk(docs)
+    likely = np.ones(len(chunk.hashes), dtype=bool)
     rows, blobs = cells.column("row").to_pylist(), cells.column("blob").to_pylist()
     for row in range(ROWS):
         back = [unpack_cells(b) for r, b in zip(rows, blobs) if r == row]
-        likely &= contains(np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *back])), cells_of(chunk.hash1, row, bits))
-    pairs = np.empty(int(likely.sum()), dtype=_PAIR)
-    pairs["a"], pairs["b"] = chunk.hash1[likely], chunk.hash2[likely]
+        likely &= contains(np.sort(np.concatenate([np.zeros(0, dtype=np.uint64), *back])), cells_of(chunk.hashes, row, bits))
+    pairs = chunk.pairs(np.flatnonzero(likely))
     pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
     pairs = pairs[_starts(pairs)]
     return _blobs(docs.column("chunk")[0].as_py(), [(0, r, pairs[a:b].tobytes()) for r, a, b in _by_range(pairs["a"], top, 64)])
@@ -241,13 +227,13 @@ def _starts(pairs: np.ndarray) -> np.ndarray:
     return np.concatenate((a[:1] == a[:1], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
 
-def _told(table: pa.Table, null_from: int) -> pa.Table:
-    """For one range of hashes: the windows that a smaller chunk has, for each chunk; chunks from null_from don't count as smaller."""
+def _told(table: pa.Table, ranks: int) -> pa.Table:
+    """For one range of hashes: the windows that a chunk of smaller rank has, for each chunk; the rank is the number modulo ranks."""
     rows = sorted(zip(table.column("chunk").to_pylist(), table.column("blob").to_pylist()))
     at = table.column("range")[0].as_py()
     pairs = [np.frombuffer(b, dtype=_PAIR) for _, b in rows]
     whole = np.concatenate(pairs)
-    owner = np.repeat(np.array([min(c, null_from) for c, _ in rows]), [len(p) for p in pairs])
+    owner = np.repeat(np.array([c % ranks for c, _ in rows]), [len(p) for p in pairs])
     order = np.lexsort((owner, whole["b"], whole["a"]))
     whole, owner = whole[order], owner[order]
     fresh = _starts(whole)
@@ -264,26 +250,21 @@ def _told(table: pa.Table, null_from: int) -> pa.Table:
 
 def removed_words(docs: pa.Table, told: pa.Table) -> tuple[Chunk, list[np.ndarray]]:
     """The chunk and, for each of its documents, which words go."""
-    chunk = Chunk(docs, both=True)
+    chunk = Chunk(docs)
     gone = np.zeros(len(chunk.window), dtype=bool)
     # documents are numbered in order of id; equal ids (and null ids) have one number
     number = np.cumsum([a != b for a, b in zip(chunk.ids, chunk.ids[:1] + chunk.ids)])
-    again = np.flatnonzero(contains(repeated(chunk.hash1), chunk.hash1))
-    if len(again):
-        pairs = np.empty(len(again), dtype=_PAIR)
-        pairs["a"], pairs["b"] = chunk.hash1[again], chunk.hash2[again]
-        order = np.lexsort((again, pairs["b"], pairs["a"]))
-        fresh, owner = _starts(pairs[order]), number[chunk.doc[again[order]]]
-        gone[again[order]] = owner[fresh][np.cumsum(fresh) - 1] < owner
-    if told.num_rows:
-        known = np.concatenate([np.frombuffer(b, dtype=_PAIR) for b in told.column("blob").to_pylist()])
-        known = known[np.argsort(known["a"], kind="stable")]
-        firsts, seconds = np.ascontiguousarray(known["a"]), known["b"]
-        at, end = np.searchsorted(firsts, chunk.hash1), np.searchsorted(firsts, chunk.hash1, side="right")
-        hit = np.flatnonzero(end > at)
-        gone[hit] |= seconds[at[hit]] == chunk.hash2[hit]
-        for i in np.flatnonzero(end - at > 1).tolist():  # first hashes that collide
-            gone[i] |= (seconds[at[i] : end[i]] == chunk.hash2[i]).any()
+    known = np.concatenate([np.zeros(0, dtype=_PAIR), *[np.frombuffer(b, dtype=_PAIR) for b in told.column("blob").to_pylist()]])
+    maybe = np.flatnonzero(contains(repeated(chunk.hashes), chunk.hashes) | contains(distinct(known["a"] & _TAG), chunk.hashes & _TAG))
+    if len(maybe):
+        # a told window has the number -1, smaller than every document's
+        pairs = np.concatenate((known, chunk.pairs(maybe)))
+        owner = np.concatenate((np.full(len(known), -1, dtype=np.int64), number[chunk.doc[maybe]]))
+        order = np.lexsort((owner, pairs["b"], pairs["a"]))
+        owner = owner[order]
+        late = np.empty(len(order), dtype=bool)
+        late[order] = owner[np.flatnonzero(fresh := _starts(pairs[order]))][np.cumsum(fresh) - 1] < owner
+        gone[maybe] = late[len(known) :]
     steps = np.zeros(int(chunk.bounds[-1]) + 1, dtype=np.int32)
     np.add.at(steps, chunk.window[gone], 1)
     np.add.at(steps, chunk.window[gone] + WINDOW, -1)
@@ -296,46 +277,84 @@ def _removal(docs: pa.Table, told: pa.Table, key_type: pa.DataType, texts: bool)
         return pa.table({"doc_id": pa.array([], key_type), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())})
     chunk, gone = removed_words(docs, told)
     kept = []
-    for text, mask in zip(chunk.texts, gone):
-        words = text.split()
+    for joined, mask in zip(chunk.texts, gone):
         if mask.any():
-            words = [w for w, g in zip(words, mask.tolist()) if not g]
-        joined = b" ".join(words)
+            joined = b" ".join([w for w, g in zip(joined.split(), mask.tolist()) if not g])
         kept.append(joined.decode() if texts else hashlib.sha256(joined).hexdigest())
     return pa.table({"doc_id": pa.array(chunk.ids, key_type), "n_words": pa.array(chunk.n_words, pa.int64()), "n_removed": pa.array([int(m.sum()) for m in gone], pa.int64()), "kept": pa.array(kept, pa.string())})
 
 
-def _with_chunk(lean: DataFrame, bounds: list[int], null_from: int) -> DataFrame:
-    """lean with the number of the range that an id falls into, by binary search of the ranges' least ids."""
+def _bucketed(df: DataFrame, edges: list[float], out: str) -> DataFrame:
+    """df with the number of the range that `id` falls into; edges are the least ids of all ranges but the first."""
     from pyspark.ml.feature import Bucketizer
 
-    splits = sorted({float("-inf"), *map(float, bounds or [0]), float("inf")})
-    placed = Bucketizer(splits=splits, inputCol="__id", outputCol="__bucket", handleInvalid="keep").transform(lean.withColumn("__id", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0))))
-    spread = null_from + F.pmod(F.xxhash64("text"), F.lit(NULL_CHUNKS))
-    return placed.withColumn("chunk", F.when(F.col("doc_id").isNull(), spread).otherwise(F.col("__bucket") if bounds else F.lit(0)).cast("int")).drop("__id", "__bucket")
+    if not edges:
+        return df.withColumn(out, F.lit(0))
+    ranges = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="id", outputCol=out)
+    return ranges.transform(df).withColumn(out, F.col(out).cast("int"))
+
+
+def chunk_edges(sizes: DataFrame, chunk_bytes: int) -> tuple[list[float], dict[int, int]]:
+    """Edges between chunks of about chunk_bytes, and the number of chunks over which a range of one id is spread.
+
+    sizes: doc_id, id (double) and n (bytes) of the rows with an id. The histogram is refined where a range holds more
+    than a chunk, until it holds one id; it has a few ranges for each chunk.
+    """
+    whole = sizes.agg(F.sum("n").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    if not whole["n"]:
+        return [], {}
+    cut = lambda low, high, n: np.linspace(low, high, 2 * max(1, -(-n // chunk_bytes)) + 1).tolist()
+    edges, found = set(cut(whole["low"], whole["high"], whole["n"])[1:]), []
+    for _ in range(64):
+        rows = _bucketed(sizes, sorted(edges), "range").groupBy("range").agg(
+            F.sum("n").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), (F.min("doc_id") == F.max("doc_id")).alias("one")
+        )
+        found = sorted(rows.collect(), key=lambda r: r["range"])
+        more = {e for r in found if r["n"] > chunk_bytes and r["low"] < r["high"] for e in cut(r["low"], r["high"], r["n"])} - edges
+        if not more:
+            break
+        edges |= more
+    bounds, spread, held = [], {}, 0
+    for i, r in enumerate(found):
+        if i and held + r["n"] > chunk_bytes:
+            bounds.append(r["low"])
+            held = 0
+        held += r["n"]
+        if r["one"] and r["n"] > chunk_bytes:
+            spread[len(bounds)] = -(-r["n"] // chunk_bytes)
+    return bounds, spread
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", texts: bool = False) -> DataFrame:
     """Per row of docs: key, n_words, n_removed and kept, the SHA-256 of the kept words or (texts) the words themselves."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    lean = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    total = lean.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
-    n = max(1, -(-total // CHUNK_BYTES))
+    lean = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).withColumn("id", F.col("doc_id").cast("double"))
+    sizes = common.stored(lean.select("doc_id", "id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("n")), "text-sizes")
+    weights = {r["missing"]: r["n"] for r in sizes.groupBy(F.col("id").isNull().alias("missing")).agg(F.sum("n").alias("n")).collect()}
+    total = sum(weights.values())
+    chunk_bytes = int(CHUNK_BYTES * min(MOST, max(1.0, total / GROW_FROM) ** 0.5))
+    bounds, spread = chunk_edges(sizes.filter("id IS NOT NULL"), chunk_bytes)
+    ranks = len(bounds) + 2
+    spread[ranks - 1] = -(-weights.get(True, 0) // chunk_bytes)
+    n = ranks + sum(spread.values())
     bits = max(16, min(62, (max(1, total // 4)).bit_length() + 3))
-    top = max(0, (n - 1).bit_length())
-    shares = [i / n for i in range(1, n)]
-    bounds = sorted(set(lean.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", shares, 100 * n).alias("q")).first()["q"] or [])) if shares else []
-    null_from = len(bounds) + 1
-    chunked = _with_chunk(lean, bounds, null_from)
+    top = max(0, (total // 6 // MERGE_CELLS).bit_length())
+    parts, ranges = 2 * n, 2 << top
+
+    over: Column = F.create_map(*[F.lit(x) for k, v in spread.items() for x in (k, max(1, v))])
+    chunked = _bucketed(lean, bounds, "rank").withColumn("rank", F.when(F.col("id").isNull(), ranks - 1).otherwise(F.col("rank")))
+    pieces = F.coalesce(F.try_element_at(over, F.col("rank")), F.lit(1))
+    chunked = chunked.withColumn("chunk", (F.col("rank") + ranks * F.pmod(F.xxhash64("text"), pieces)).cast("int"))
+    chunked = chunked.select("doc_id", "text", "chunk").repartition(parts, "chunk")
     own = chunked.groupBy("chunk")
     blob = "chunk int, row int, range int, blob binary"
     key_type = to_arrow_type(lean.schema["doc_id"].dataType)
     sketches = own.applyInArrow(lambda t: _sketch(t, bits, top), blob)
-    heavy = sketches.groupBy("row", "range").applyInArrow(_merge, blob)
-    likely = own.cogroup(heavy.groupBy("chunk")).applyInArrow(lambda d, c: _candidates(d, c, bits, top), blob)
-    told = likely.groupBy("range").applyInArrow(lambda t: _told(t, null_from), blob)
-    out = own.cogroup(told.groupBy("chunk")).applyInArrow(lambda d, t: _removal(d, t, key_type, texts), f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    heavy = sketches.repartition(ROWS * ranges, "row", "range").groupBy("row", "range").applyInArrow(_merge, blob)
+    likely = own.cogroup(heavy.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(lambda d, c: _candidates(d, c, bits, top), blob)
+    told = likely.repartition(ranges, "range").groupBy("range").applyInArrow(lambda t: _told(t, ranks), blob)
+    out = own.cogroup(told.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(lambda d, t: _removal(d, t, key_type, texts), f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
     return out.withColumnsRenamed({"doc_id": key})
 
 
