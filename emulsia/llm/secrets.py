@@ -1,17 +1,21 @@
 """Secret scan: three base patterns, and a battery of randomness tests on other tokens.
 
-Base spans are assignments, access keys and hexadecimal runs. Other candidates are the whole runs of key characters of
-MIN_TOKEN or more with letters and digits in them. For each, the encoding is inferred from its characters (hex, base32,
-base62, base64), and three tests ask whether it could be uniform over that alphabet: a chi-squared test of the counts of
-the alphabet's classes, a runs test about the middle of the alphabet, and the correlation of neighbours. The p-values
-are combined by Holm's rule. A token that isn't random is a discovery, and discoveries are made under a false-discovery
-rate of FDR within each class of length over all tokens of the corpus, since a short token has less power than a long
-one; tokens that aren't discovered to be ordinary, and are long enough for the tests to have told them, are secrets.
-The thresholds come from counts of p-values in BINS bins a length class, so nothing is ranked row by row.
-
-Defined results: a null text is empty and has no spans; columns besides doc_id and text aren't read; equal rows give
-equal results; an empty table gives an empty table. Offsets are code points, the end exclusive. Built-in expressions
-only, nothing but the bins is shuffled.
+Base spans are assignments, access keys and hexadecimal runs. Other candidates are the whole runs of MIN_TOKEN or more
+key characters. A candidate's encoding, the smallest alphabet that holds it, is inferred, and three tests ask whether it
+could be a uniform draw from that alphabet: a chi-squared test of the counts of all its symbols, a runs test about its
+middle, and the serial correlation of neighbours' places in it. Fisher's rule combines them; a token under UNIFORM_P
+isn't random.
+
+Tokens that could be random are secrets where they can't be ordinary. An ordinary token is described by the classes of
+neighbouring characters and the frequencies of letters; the uniform probability of a token over its ordinary one is
+an e-value, whose inverse is a p-value of "ordinary" (Markov's inequality). It falls with every character, so that length
+counts by itself, and secrets are discovered among all tokens of the corpus under a false-discovery rate of FDR within
+each class of length (Benjamini and Hochberg). The thresholds come from counts of p-values in BINS bins a class, so
+nothing is ranked row by row.
+
+Defined results: a null text is empty and has no spans; a very long text or token is judged whole; columns besides
+doc_id and text aren't read; equal rows give equal results; an empty table gives an empty table. Offsets are code
+points, the end exclusive. Built-in expressions only, nothing but the bins is shuffled.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "random")
 TOKEN = "[A-Za-z0-9+/_=-]"
-MIN_TOKEN = 20
+MIN_TOKEN = 16
 FDR = 0.05
+UNIFORM_P = 0.002
 BINS = 200
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -59,14 +64,27 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
+#: The alphabets, the smaller first; frequencies of the letters a to z in English, in percent.
+ALPHABETS = {
+    "[0-9a-f]": "0123456789abcdef", "[0-9A-F]": "0123456789ABCDEF", "[A-Z2-7]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "[a-z0-9]": "abcdefghijklmnopqrstuvwxyz0123456789", "[A-Z0-9]": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "[A-Za-z0-9]": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "[A-Za-z0-9+/]": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "[A-Za-z0-9_-]": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "[A-Za-z0-9+/_=-]": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+}
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Shares of the next class (lower, upper, digit, other) after each of them and, last, at the start of an ordinary token.
+NEXT = ((0.86, 0.05, 0.04, 0.05), (0.40, 0.50, 0.05, 0.05), (0.08, 0.05, 0.75, 0.12), (0.60, 0.15, 0.20, 0.05), (0.50, 0.30, 0.15, 0.05))
+
+
 def token_spans(text: Column) -> Column:
-    """Spans of candidate tokens: whole runs of key characters with a letter and a digit."""
+    """Spans of candidate tokens: whole runs of key characters."""
     whole = rf"(?<!{TOKEN}){TOKEN}{{{MIN_TOKEN},}}"
-    spans = _spans(text, whole, 3, f"^{TOKEN}{{{MIN_TOKEN},}}$")
-    return F.filter(spans, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike("[0-9]") & F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike("[A-Za-z]"))
+    return _spans(text, whole, 3, f"^{TOKEN}{{{MIN_TOKEN},}}$")
 
 
-def _upper_tail(z: Column) -> Column:
+def _two_tails(z: Column) -> Column:
     """P(|Z| > z) of a normal Z, by a formula of Abramowitz and Stegun (7.1.26), to about 1e-7."""
     x = F.abs(z) / math.sqrt(2)
     t = 1 / (1 + 0.3275911 * x)
@@ -74,58 +92,74 @@ def _upper_tail(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
-def encoding(token: Column) -> Column:
+def _chars(token: Column) -> Column:
+    return F.filter(F.split(token, ""), lambda c: c != "")
+
+
+def alphabet(token: Column) -> Column:
     """The smallest of the alphabets that holds all characters."""
-    return (
-        F.when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), "hex").when(token.rlike("^[A-Z2-7]+=*$"), "base32")
-        .when(token.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
-    )
+    out = F.lit(list(ALPHABETS.values())[-1])
+    for pattern, symbols in reversed(list(ALPHABETS.items())[:-1]):
+        out = F.when(token.rlike(f"^{pattern}+$"), symbols).otherwise(out)
+    return out
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _neighbours(values: Column, f) -> Column:
+    n = F.size(values) - 1
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(2), n), f)
+
+
+def uniformity(token: Column) -> Column:
+    """The combined p-value of "drawn uniformly from its alphabet"; small where the token isn't random."""
+
+    def tests(symbols: Column) -> Column:
+        k, n = F.length(symbols).cast("double"), F.length(token).cast("double")
+        counts = F.transform(_chars(symbols), lambda s: (F.length(token) - F.length(F.replace(token, s, F.lit("")))).cast("double"))
+        chi = _sum(F.transform(counts, lambda c: c * c)) * k / n - n
+        # the cube-root transform of a chi-squared is close to normal
+        z = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), 1 / 3) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
+        p_chi = F.when(z > 0, _two_tails(z) / 2).otherwise(1 - _two_tails(z) / 2)
+        places = F.transform(_chars(token), lambda c: F.instr(symbols, c) - (k + 1) / 2)
+
+        def ordered(v: Column) -> Column:
+            changes = _sum(_neighbours(v, lambda x, y: F.when(x * y < 0, 1.0).otherwise(0.0)))
+            lag = _sum(_neighbours(v, lambda x, y: x * y)) / ((k * k - 1) / 12)
+            return F.struct(_two_tails((2 * changes - (n - 1)) / F.sqrt(n - 1)).alias("runs"), _two_tails(lag / F.sqrt(n - 1)).alias("lag"))
+
+        def combined(p: Column) -> Column:
+            floor = lambda x: F.log(F.greatest(x, F.lit(1e-200)))
+            y = -(floor(p_chi) + floor(p["runs"]) + floor(p["lag"]))
+            return common.bind(y, lambda t: F.exp(-t) * (1 + t + t * t / 2))
+
+        return common.bind(common.bind(places, ordered), combined)
+
+    return common.bind(alphabet(token), tests)
+
+
+def ordinary(token: Column) -> Column:
+    """A p-value of "an ordinary token": the ordinary over the uniform probability, 1 at most."""
+    letters = [math.log(x / sum(LETTERS)) for x in LETTERS]
+    kind = [0 if chr(i).islower() else 1 if chr(i).isupper() else 2 if chr(i).isdigit() else 3 for i in range(128)]
+    within = [letters[ord(chr(i).lower()) - 97] if kind[i] < 2 else math.log(0.1 if kind[i] == 2 else 0.2) for i in range(128)]
+    kinds, logs, steps = (F.array(*map(F.lit, x)) for x in (kind, within, [math.log(x) for row in NEXT for x in row]))
 
+    def step(a: Column, c: Column) -> Column:
+        now = F.get(kinds, c)
+        return F.struct(now.alias("kind"), (a["log"] + F.get(steps, a["kind"] * 4 + now) + F.get(logs, c)).alias("log"))
 
-#: For each encoding, the shares of upper case, lower case, digits and other characters.
-SHARES = {"hex": (0.0, 6 / 16, 10 / 16, 0.0), "base32": (26 / 32, 0.0, 6 / 32, 0.0), "base62": (26 / 62, 26 / 62, 10 / 62, 0.0), "base64": (26 / 64, 26 / 64, 10 / 64, 2 / 64)}
+    codes = F.transform(_chars(token), lambda c: F.ascii(c))
+    log = F.aggregate(codes, F.struct(F.lit(len(NEXT) - 1).alias("kind"), F.lit(0.0).alias("log")), step)["log"]
+    return F.least(F.lit(1.0), F.exp(log + F.length(token) * F.log(F.length(alphabet(token)).cast("double"))))
 
 
-def randomness(token: Column) -> Column:
-    """The combined p-value of a token under its encoding; small where the token isn't random."""
+def secrecy(token: Column) -> Column:
+    """The p-value of "ordinary" for a token that could be random, else 1."""
     body = F.regexp_replace(token, "=+$", "")
-    n = F.length(body).cast("double")
-    kind = encoding(token)
-    counts = [F.length(F.regexp_replace(body, f"[^{c}]", "")).cast("double") for c in ("A-Z", "a-z", "0-9")]
-    counts = [F.when(kind == "hex", 0.0).otherwise(counts[0]), F.when(kind == "hex", counts[0] + counts[1]).otherwise(counts[1]), counts[2]]
-    counts.append(n - counts[0] - counts[1] - counts[2])
-    share = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in SHARES.items() for x in (k, v[i])]), kind)
-    chi = sum((F.when(share(i) > 0, F.pow(c - n * share(i), 2) / (n * share(i))).otherwise(F.when(c > 0, 1e6).otherwise(0.0)) for i, c in enumerate(counts)), F.lit(0.0))
-    df = sum((F.when(share(i) > 0, 1.0).otherwise(0.0) for i in range(4)), F.lit(-1.0))
-    # the cube-root transform of a chi-squared is close to normal; its upper tail only
-    z_chi = (F.pow(chi / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    p_chi = F.when(z_chi > 0, _upper_tail(z_chi)).otherwise(1.0)
-    codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("double"))
-
-    def tests(v: Column) -> Column:
-        mean = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
-        high = F.transform(v, lambda x: (x > mean).cast("int"))
-
-        def with_mean(m: Column) -> Column:
-            dev = F.transform(v, lambda x: x - m)
-            var = F.aggregate(dev, F.lit(0.0), lambda a, x: a + x * x)
-            lag = F.aggregate(F.zip_with(F.slice(dev, F.lit(1), F.size(dev) - 1), F.slice(dev, F.lit(2), F.size(dev) - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-            return F.when(var > 0, (lag / var + 1 / n) * F.sqrt(n)).otherwise(1e3)
-
-        z_lag = common.bind(mean, with_mean)
-
-        def runs(h: Column) -> Column:
-            up = F.aggregate(h, F.lit(0), lambda a, x: a + x).cast("double")
-            changes = F.aggregate(F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda x, y: F.abs(x - y)), F.lit(0), lambda a, x: a + x).cast("double")
-            pairs = 2 * up * (n - up)
-            spread = pairs * (pairs - n) / (n * n * (n - 1))
-            return F.when(spread > 0, (changes + 1 - (pairs / n + 1)) / F.sqrt(spread)).otherwise(1e3)
-
-        return F.struct(_upper_tail(z_lag).alias("lag"), _upper_tail(common.bind(high, runs)).alias("runs"))
-
-    both = common.bind(codes, tests)
-    ranked = F.array_sort(F.array(p_chi, both["lag"], both["runs"]))
-    return common.bind(ranked, lambda p: F.least(F.lit(1.0), 3 * p[0], 2 * F.greatest(p[1], p[0]), F.greatest(p[2], p[1])))
+    return common.bind(body, lambda t: F.when(F.length(t) < MIN_TOKEN, 1.0).when(common.bind(uniformity(t), lambda p: p < UNIFORM_P), 1.0).otherwise(ordinary(t)))
 
 
 def _length_class(n: Column) -> Column:
@@ -152,13 +186,13 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     lean = docs.select(F.col(key).alias("doc_id"), t.alias("text"))
     found = lean.select("doc_id", base_spans(F.col("text")).alias("base"), F.transform(token_spans(F.col("text")), lambda s: F.struct(s.alias("span"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("token"))).alias("tokens"))
     free = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
-    judged = found.select("doc_id", "base", F.transform(free, lambda x: F.struct(x["span"].alias("span"), _length_class(F.length(x["token"])).alias("klass"), _bin(randomness(x["token"])).alias("bin"))).alias("tokens"))
+    judged = found.select("doc_id", "base", F.transform(free, lambda x: F.struct(x["span"].alias("span"), _length_class(F.length(x["token"])).alias("klass"), _bin(secrecy(x["token"])).alias("bin"))).alias("tokens"))
     judged = common.stored(judged, "secret-tokens")
     limits = thresholds(judged.select(F.explode("tokens").alias("t")).select("t.klass", "t.bin"))
     # at most nine length classes
     table = limits.agg(F.map_from_entries(F.collect_list(F.struct("klass", "last"))).alias("limits"))
-    joined = judged.join(F.broadcast(table), F.lit(True), "left")
-    random = F.transform(F.filter("tokens", lambda x: x["bin"] > F.coalesce(F.try_element_at("limits", x["klass"]), F.lit(-1))), lambda x: x["span"])
+    joined = judged.withColumn("limits", table.scalar())
+    random = F.transform(F.filter("tokens", lambda x: x["bin"] <= F.coalesce(F.try_element_at("limits", x["klass"]), F.lit(-1))), lambda x: x["span"])
     return joined.select(F.col("doc_id").alias(key), "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
