@@ -130,7 +130,8 @@ def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.report(table(spark, sf_dir, "documents"), key="production")
+    """The key comes from spark.emulsia.surrogates.key; without one, a key for tests is used."""
+    return surrogates.report(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.emulsia.surrogates.key", "a key for tests"))
 
 
 @query

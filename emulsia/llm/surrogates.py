@@ -2,16 +2,22 @@
 
 One pattern finds e-mail addresses, IPv4 addresses, card, account and social security numbers, phone numbers, and names
 behind a title. Mentions are brought to a canonical form (digits of a phone number, lower case of an address), so that
-all spellings of an entity get the same surrogate; a name's last word has its own, so that "Mr. Lee" stays the Lee of
-"Mr. Kim Lee". A surrogate is drawn by a hash of the key, type, canonical form and attempt: digits become digits, letters
-letters of the same case, octets octets of as many digits, cards that pass the Luhn check pass it again, and names take
-syllables of their script with an ending for the gender of the title. Surrogates are then compared over the corpus:
-where two entities of a type share one, or it is itself an entity of the corpus, all but the least entity draw again,
-until none do. The map is joined to the mentions, never collected.
-
-Defined results: a null text stays null and has no mentions; repeated rows are rows of their own and get equal texts; an
-empty table gives an empty table. Built-in expressions only. Texts with a mention are written once to the shared folder;
-other texts don't move.
+all spellings of an entity get the same surrogate. A name is made of entities of its own: its last word is a surname,
+the others are given names, and each word keeps its surrogate in all names, so that "Mr. Lee" stays the Lee of "Mr. Kim
+Lee" and two names that differ in a word still differ. A given name has the gender of its title; behind a title without
+one, that of the titles it has elsewhere in the corpus, if they agree.
+
+A surrogate is drawn by a hash of the key, type, canonical form and attempt: digits become digits, letters letters of
+the same case, octets octets of as many digits, cards that pass the Luhn check pass it again, and names take syllables of
+their script with an ending for the gender. Surrogates are then compared over the corpus: where two entities of a type
+share one, or it is itself an entity of the corpus, all but the least entity draw again, until none do. From attempt
+WIDE on, a form whose class may be used up gives way: one more character an attempt, or octets of any length, and from
+attempt WIDEST octets that no address has. The map is joined to the mentions, never collected.
+
+Defined results: a null text stays null and has no mentions; a very long text is searched whole; repeated rows are rows
+of their own and get equal texts; columns of docs may have any names, but `also` replaces one of its name; an empty
+table gives an empty table. Built-in expressions only. Texts with a mention are written once to the shared folder; other
+texts don't move.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: A word of a name: Smith, Anne-Marie, O'Neil.
+NAME = r"\p{Lu}(?:\p{L}+|['’]\p{L}+)(?:[-'’]\p{L}+)*"
 #: The patterns, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -29,7 +37,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "person": r"\b(?:Mr|Mrs|Ms|Miss|Sir|Dr|Prof|Herr|Frau|Señora|Señor|Madame|Monsieur|г-н|г-жа)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,2}",
+    "person": r"\b(?:Mr|Mrs|Ms|Miss|Sir|Dr|Prof|Herr|Frau|Señora|Señor|Madame|Monsieur|г-н|г-жа)\.? " + NAME + "(?: " + NAME + ")*",
 }
 MALE, FEMALE = r"^(?:Mr|Sir|Herr|Señor|Monsieur|г-н)\b", r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|г-жа)\b"
 SYLLABLES = {
@@ -40,7 +48,7 @@ ENDINGS = {"m": {"latin": "o", "cyrillic": "ов"}, "f": {"latin": "a", "cyrilli
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention but a name has, and a name's title: a text without either isn't searched.
 SIGNS = r"[0-9@]|\b(?:Mr|Mrs|Ms|Miss|Sir|Dr|Prof|Herr|Frau|Señora|Señor|Madame|Monsieur|г-н|г-жа)\.? \p{Lu}"
-MAX_ATTEMPTS = 64
+WIDE, WIDEST = 8, 24
 TITLE = r"^(?:\S+?)\.? (?=\p{Lu})"
 
 
@@ -52,11 +60,15 @@ def kind_of(hit: Column) -> Column:
     return F.when(out == "person", person).otherwise(out)
 
 
-def canonical(hit: Column, kind: Column) -> Column:
-    return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(hit, "[^0-9]", "")).when(kind == "iban", F.lower(F.regexp_replace(hit, " ", "")))
-        .when(kind.startswith("person"), F.lower(F.regexp_replace(hit, TITLE, ""))).otherwise(F.lower(hit))
-    )
+def parts_of(hit: Column, kind: Column) -> Column:
+    """The entities of a mention, as an array of (kind, word, canon): the words of a name, or the whole."""
+    digits = F.regexp_replace(hit, "[^0-9]", "")
+    whole = F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", F.lower(F.regexp_replace(hit, " ", ""))).otherwise(F.lower(hit))
+    words = F.split(F.regexp_replace(hit, TITLE, ""), " ")
+    given = F.concat(F.lit("given"), F.substring(kind, -2, 2))
+    part = lambda k, w, c: F.struct(k.alias("kind"), w.alias("word"), c.alias("canon"))
+    named = common.bind(words, lambda ws: F.transform(ws, lambda w, i: part(F.when(i == F.size(ws) - 1, "surname").otherwise(given), w, F.lower(w))))
+    return F.when(kind.startswith("person"), named).otherwise(F.array(part(kind, hit, whole)))
 
 
 def _draw(seed: Column, i: Column, n: int) -> Column:
@@ -89,8 +101,11 @@ def _card(canon: Column, seed: Column) -> Column:
     return F.concat(drawn, last)
 
 
-def _octets(canon: Column, seed: Column) -> Column:
-    pick = lambda o, i: F.when(F.length(o) == 1, 1 + _draw(seed, i, 9)).when(F.length(o) == 2, 10 + _draw(seed, i, 90)).otherwise(100 + _draw(seed, i, 155)).cast("string")
+def _octets(canon: Column, seed: Column, attempt: Column) -> Column:
+    def pick(o: Column, i: Column) -> Column:
+        same = F.when(F.length(o) == 1, 1 + _draw(seed, i, 9)).when(F.length(o) == 2, 10 + _draw(seed, i, 90)).otherwise(100 + _draw(seed, i, 155))
+        return F.when(attempt < WIDE, same).when(attempt < WIDEST, 1 + _draw(seed, i, 254)).otherwise(256 + _draw(seed, i, 744)).cast("string")
+
     return F.array_join(F.transform(F.split(canon, r"\."), pick), ".")
 
 
@@ -99,85 +114,108 @@ def _email(canon: Column, seed: Column) -> Column:
     return F.concat(_letters(F.substring(canon, F.lit(1), F.length(canon) - F.length(top)), seed), top)
 
 
-def _name(canon: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """A word for each word; all but the last are drawn by the whole name, the last by itself while it has no collision."""
+def _word(canon: Column, kind: Column, seed: Column, attempt: Column) -> Column:
+    """A word of a name: a stem for each of its hyphenated parts, an apostrophe behind the first letter where it had one."""
     gender = F.substring(kind, -1, 1)
 
-    def word(w: Column, i: Column, n: Column) -> Column:
-        seed = F.sha2(F.concat_ws("\x1f", F.lit(key), F.when(i < n - 1, canon).otherwise(F.lit("surname")), w, F.when(i < n - 1, attempt).otherwise(attempt.cast("int") * (n == 1).cast("int")).cast("string")), 256)
-        script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    def of(script: str) -> Column:
+        options = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+        ending = F.create_map(*[F.lit(x) for g, e in ENDINGS.items() for x in (g, e[script])])
 
-        def of(name: str) -> Column:
-            options = F.array(*[F.lit(s) for s in SYLLABLES[name]])
-            stem = F.array_join(F.transform(F.sequence(F.lit(1), 3 + (attempt / 4).cast("int")), lambda k: F.get(options, _draw(seed, k, len(SYLLABLES[name])))), "")
-            ending = F.create_map(*[F.lit(x) for g, e in ENDINGS.items() for x in (g, e[name])])
-            return F.initcap(F.concat(stem, F.when(i < n - 1, F.element_at(ending, gender)).otherwise("")))
+        def stem(part: Column, i: Column) -> Column:
+            syllables = F.transform(F.sequence(F.lit(1), 3 + (attempt / 4).cast("int")), lambda k: F.get(options, _draw(seed, i * 100 + k, len(SYLLABLES[script]))))
+            name = common.bind(F.array_join(syllables, ""), lambda n: F.when(part.rlike("^.['’]"), F.concat(F.substring(n, 1, 1), F.lit("'"), F.initcap(F.substring(n, F.lit(2), F.length(n))))).otherwise(n))
+            return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
 
-        return F.when(script == "cyrillic", of("cyrillic")).otherwise(of("latin"))
+        whole = F.array_join(F.transform(F.split(canon, "-"), stem), "-")
+        return F.concat(whole, F.when(kind.startswith("given"), F.element_at(ending, gender)).otherwise(""))
 
-    return common.bind(F.split(canon, " "), lambda ws: F.array_join(F.transform(ws, lambda w, i: word(w, i, F.size(ws))), " "))
+    return F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
 
 
 def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
     """The surrogate of a canonical form, itself in canonical form (names: as written)."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string")), 256)
+    more = F.repeat(F.lit("0"), F.greatest(F.lit(0), attempt - (WIDE - 1)))
+    longer = F.concat(canon, more)
+    named = kind.startswith("given") | (kind == "surname")
     return common.bind(seed, lambda s: (
-        F.when(kind == "email", _email(canon, s)).when(kind == "ip", _octets(canon, s)).when(kind == "card", _card(canon, s))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(_letters(canon, s), F.lit(3), F.length(canon))))
-        .when(kind.startswith("person"), _name(canon, kind, key, attempt)).otherwise(_letters(canon, s))
+        F.when(kind == "email", _email(F.concat(F.translate(more, "0", "a"), canon), s)).when(kind == "ip", _octets(canon, s, attempt)).when(kind == "card", _card(longer, s))
+        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(_letters(longer, s), F.lit(3), F.length(longer))))
+        .when(named, _word(canon, kind, s, attempt)).otherwise(_letters(longer, s))
     ))
 
 
 def entity_map(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, surrogate) for distinct (kind, canon), no two of a kind with one surrogate, none a real entity."""
-    drawn = common.stored(entities.withColumns({"attempt": F.lit(0), "surrogate": surrogate(F.col("kind"), F.col("canon"), key, F.lit(0))}), "surrogates")
-    real = entities.select("kind", F.col("canon").alias("real"))
-    for _ in range(MAX_ATTEMPTS):
-        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n"))
-        taken = first.join(real, (first["kind"] == real["kind"]) & (F.lower("surrogate") == F.col("real")), "left").select(first["kind"], "surrogate", "first", (F.col("real").isNotNull()).alias("is_real"), "n")
+    """(kind, canon, surrogate) for distinct (kind, canon), no two of a type with one surrogate, none a real entity.
+
+    Given names of all genders are one type. Each round redraws the losers of a collision only; forms widen, so that
+    there is always a free one.
+    """
+    typed = entities.withColumn("type", F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind")))
+    start = F.lit(0)
+    drawn = common.stored(typed.withColumns({"attempt": start, "surrogate": surrogate(F.col("kind"), F.col("canon"), key, start)}), "surrogates")
+    real = typed.select("type", F.col("canon").alias("real")).distinct()
+    owner = F.struct("attempt", "canon", "kind")
+    while True:
+        first = drawn.groupBy("type", "surrogate").agg(F.min(owner).alias("first"), F.count("*").alias("n"))
+        taken = first.join(real, (first["type"] == real["type"]) & (F.lower("surrogate") == F.col("real")), "left").select(first["type"], "surrogate", "first", (F.col("real").isNotNull()).alias("is_real"), "n")
         bad = common.stored(taken.filter("n > 1 OR is_real"), "collisions")
         if bad.isEmpty():
-            return drawn.drop("attempt")
-        marked = common.join_same(drawn, bad, ["kind", "surrogate"], "left")
-        again = F.col("is_real") | (F.col("n").isNotNull() & ~F.col("first").eqNullSafe(F.struct("attempt", "canon")))
-        more = F.when(F.coalesce(again, F.lit(False)), F.col("attempt") + 1).otherwise(F.col("attempt"))
-        redrawn = F.when(F.coalesce(again, F.lit(False)), surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt") + 1)).otherwise(F.col("surrogate"))
-        drawn = common.stored(marked.select("kind", "canon", more.alias("attempt"), redrawn.alias("surrogate")), "surrogates")
-    raise RuntimeError(f"surrogates still collide after {MAX_ATTEMPTS} attempts")
+            return drawn.drop("attempt", "type")
+        marked = common.join_same(drawn, bad, ["type", "surrogate"], "left")
+        again = F.coalesce(F.col("is_real") | (F.col("n").isNotNull() & ~F.col("first").eqNullSafe(owner)), F.lit(False))
+        more = F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt"))
+        redrawn = F.when(again, surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt") + 1)).otherwise(F.col("surrogate"))
+        drawn = common.stored(marked.select("kind", "canon", "type", more.alias("attempt"), redrawn.alias("surrogate")), "surrogates")
+
+
+def genders(entities: DataFrame) -> DataFrame:
+    """entities with `as_kind`: a given name without a gender takes that of its other mentions, if they agree."""
+    seen = entities.filter("kind IN ('given_m', 'given_f')").groupBy("canon").agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
+    seen = seen.filter("low = high").select(F.lit("given_n").alias("kind"), "canon", "low")
+    joined = common.join_same(entities, seen, ["kind", "canon"], "left")
+    return joined.select("kind", "canon", F.coalesce("low", "kind").alias("as_kind"))
 
 
-def poured(hit: Column, kind: Column, new: Column) -> Column:
+def poured(word: Column, kind: Column, new: Column) -> Column:
     """The surrogate in the format of the mention."""
-    shown = F.regexp_replace(hit, "[^0-9A-Za-z]", "")
+    shown = F.regexp_replace(word, "[^0-9A-Za-z]", "")
     plain = F.regexp_replace(new, "[^0-9a-z]", "")
     step = lambda a, c: F.struct(
         F.when(c.rlike("^[0-9A-Za-z]$"), a["i"] + 1).otherwise(a["i"]).alias("i"),
         F.concat(a["out"], F.when(c.rlike("^[A-Z]$"), F.upper(F.substring(plain, a["i"] + 1, F.lit(1)))).when(c.rlike("^[0-9a-z]$"), F.substring(plain, a["i"] + 1, F.lit(1))).otherwise(c)).alias("out"),
     )
-    filled = F.aggregate(_chars(hit), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step)["out"]
-    named = F.concat(F.regexp_extract(hit, TITLE, 0), new)
-    return F.when(kind.startswith("person"), named).when(F.length(shown) == F.length(plain), filled).otherwise(new)
+    filled = F.aggregate(_chars(word), F.struct(F.lit(0).alias("i"), F.lit("").alias("out")), step)["out"]
+    named = F.when((F.length(word) > 1) & (F.upper(word) == word), F.upper(new)).otherwise(new)
+    return F.when(kind.startswith("given") | (kind == "surname"), named).when(F.length(shown) == F.length(plain), filled).otherwise(new)
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", also: str = "mentions") -> DataFrame:
     """docs with the texts replaced, and (also) the mentions as an array of (kind, surrogate) in order."""
-    hits, row, pieces = common.fresh(docs, "__hits", "__row", "__pieces")
+    hits, row, other = common.fresh(docs, "__hits", "__row", "__other")
     searched = F.when(common.text_of(text).rlike(SIGNS), F.regexp_extract_all(common.text_of(text), F.lit(ALL), F.lit(0)))
     found = docs.withColumn(hits, F.coalesce(searched, F.array().cast("array<string>")))
-    kinds = F.transform(hits, lambda h: common.bind(kind_of(h), lambda k: F.struct(h.alias("hit"), k.alias("kind"), canonical(h, k).alias("canon"))))
+    kinds = F.transform(hits, lambda h: common.bind(kind_of(h), lambda k: F.struct(h.alias("hit"), k.alias("kind"), parts_of(h, k).alias("parts"))))
     some = common.stored(found.filter(F.size(hits) > 0).withColumn(hits, kinds).withColumn(row, F.monotonically_increasing_id()), "mentions")
-    mentions = some.select(F.col(row).alias("row"), F.posexplode(hits).alias("at", "m")).select("row", "at", "m.*")
-    drawn = entity_map(common.stored(mentions.select("kind", "canon").distinct(), "entities"), key)
-    joined = common.join_same(mentions, drawn, ["kind", "canon"]).select("row", "at", "kind", poured(F.col("hit"), F.col("kind"), F.col("surrogate")).alias("new"))
-    lists = joined.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "new"))).alias("news"))
-    filled = some.join(lists.withColumnRenamed("row", f"{row}2"), F.col(row) == F.col(f"{row}2"))
+    mentions = some.select(F.col(row).alias("row"), F.posexplode(hits).alias("at", "m"))
+    words = mentions.select("row", "at", F.col("m.hit").alias("hit"), F.col("m.kind").alias("is"), F.posexplode("m.parts").alias("nth", "p")).select("row", "at", "hit", "is", "nth", "p.*")
+    entities = genders(common.stored(words.select("kind", "canon").distinct(), "entities"))
+    drawn = entity_map(entities.select(F.col("as_kind").alias("kind"), "canon").distinct(), key).withColumnsRenamed({"kind": "as_kind"})
+    drawn = common.join_same(entities, drawn, ["as_kind", "canon"]).select("kind", "canon", "surrogate")
+    joined = common.join_same(words, drawn, ["kind", "canon"]).select("row", "at", "hit", "is", "nth", poured(F.col("word"), F.col("kind"), F.col("surrogate")).alias("new"))
+    title = F.when(F.col("is").startswith("person"), F.regexp_extract("hit", TITLE, 0)).otherwise("")
+    names = F.concat(title, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "new"))), lambda x: x["new"]), " "))
+    whole = joined.repartition("row").groupBy("row", "at", "hit", "is").agg(names.alias("new"))
+    lists = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.col("is").alias("kind"), "new"))).alias("news"))
+    filled = some.join(lists.withColumnsRenamed({"row": other}), F.col(row) == F.col(other))
     gaps = F.split(common.text_of(text), ALL, -1)
-    whole = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
+    changed = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
     shown = F.transform("news", lambda n: F.struct(n["kind"].alias("kind"), n["new"].alias("surrogate")))
-    own = [c for c in docs.columns if c.lower() not in (text.lower(), also.lower())]
-    changed = filled.select(*own, whole.alias(text), shown.alias(also))
-    same = found.filter(F.size(hits) == 0).select(*own, text, F.array().cast(changed.schema[also].dataType).alias(also))
-    return changed.unionByName(same)
+    own = [F.col(c) for c in docs.columns if c.lower() not in (text.lower(), also.lower())]
+    out = filled.select(*own, changed.alias(text), shown.alias(also))
+    same = found.filter(F.size(hits) == 0).select(*own, text, F.array().cast(out.schema[also].dataType).alias(also))
+    return out.unionByName(same)
 
 
 def report(docs: DataFrame, key: str) -> DataFrame:
