@@ -1,24 +1,26 @@
 """Benchmark decontamination: a broadcast hash set of benchmark n-grams, scanned along the training texts.
 
 A text is lower-cased (A-Z) and cut into words; the windows of an item are its runs of N words, or all of its words if
-it has fewer. The windows' hashes are broadcast; a scan hashes the windows of a document whose words all occur in the
-benchmark, looks them up, and verifies each hit word by word, so a hash collision marks nothing. Documents aren't
-shuffled. Items are broadcast in blocks of at most BLOCK_BYTES of text: a larger benchmark is scanned in several passes
-over the same rows, each in a stage behind the last, with no block larger than that.
+it has fewer. The broadcast set is flat arrays: the items' words in one byte string, a sorted hash a word, and a sorted
+hash and a place a window, about 20 bytes for a word of the benchmark beside the text. A scan hashes the windows of a
+document whose words all occur in the benchmark, looks them up, and verifies each hit on the words themselves, so a hash
+collision marks nothing. Documents aren't shuffled. Items are broadcast in blocks of at most BLOCK_BYTES of text: a
+larger benchmark is scanned in several passes over the same rows, each in a stage behind the last.
 
 Defined results: a null text has no words; an item without words has no windows; a null item id marks words but isn't
-listed; equal ids count once; an empty benchmark marks nothing; an empty table gives an empty table.
+listed; equal ids count once; a very long text is scanned whole; columns of docs may have any names; an empty benchmark
+marks nothing; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ from . import common
 
 N = 10
 BLOCK_BYTES = 16 << 20
+_REMEMBERED = 1 << 18
 #: Fixed value: a word of a lower-cased text; bytes from 0x80 belong to other characters of UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -36,47 +39,77 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
+class _Hashes(dict):
+    """XXH64 of words; frequent ones are remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, 10)
+        return out
+
+
+def hashed(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` word hashes that starts at a place in `at`."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            out = (out ^ (out >> np.uint64(29))) * _BASE + words[at + k]
+    return out
+
+
 class Grams:
-    """Windows of the items, by length and hash."""
+    """Windows of the items, by length: sorted hashes and the places of their first words in the items' words."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int = N):
-        self.vocab: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
+        known, self.names, texts, hashes, counts = _Hashes(), [], [], [], []
         for name, text in items:
-            ids = tuple(self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text))
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                found[size][ids[i : i + size]].add(name)
-        self.windows = {size: dict(w) for size, w in sorted(found.items())}
-        self.hashes = {size: np.unique(hashed(np.array(list(w), dtype=np.uint64).T)) for size, w in self.windows.items()}
-
-    def scan(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, set]]]:
-        """Verified windows in ids (0: no word of the benchmark): (start, length) and (start, items)."""
-        spans, items = [], []
-        for size, known in self.hashes.items():
-            n = len(ids) - size + 1
+            if words := words_of(text):
+                self.names.append(name)
+                texts.append(b" ".join(words))
+                hashes.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+                counts.append(len(words))
+        self.text = b" ".join(texts)
+        self.first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))  # first word of each item
+        words = np.concatenate([np.zeros(0, dtype=np.uint64), *hashes])
+        self.known = np.unique(words)
+        blanks = np.flatnonzero(np.frombuffer(self.text, dtype=np.uint8) == 32)
+        self.ends = np.append(blanks, len(self.text)).astype(np.uint32)  # of the words in text
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = np.minimum(n, counts) if counts else np.zeros(0, dtype=np.int64)
+        for size in np.unique(sizes).tolist():
+            at = np.concatenate([np.arange(self.first[i], self.first[i + 1] - size + 1, dtype=np.uint32) for i in np.flatnonzero(sizes == size).tolist()])
+            keys = hashed(words, at, size)
+            order = np.argsort(keys, kind="stable")
+            self.windows[size] = (keys[order], at[order])
+
+    def words(self, at: int, size: int) -> bytes:
+        return self.text[int(self.ends[at - 1]) + 1 if at else 0 : int(self.ends[at + size - 1])]
+
+    def scan(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int, set]]:
+        """Verified windows: first word, number of words, and names of the items, from words and their hashes (0: a gap)."""
+        inside = _contains(self.known, hashes)
+        gaps = np.concatenate(([0], np.cumsum(~inside)))
+        for size, (keys, places) in self.windows.items():
+            n = len(hashes) - size + 1
             if n <= 0:
                 continue
-            gaps = np.concatenate(([0], np.cumsum(ids == 0)))
             at = np.flatnonzero(gaps[size:] == gaps[:n])
-            if not len(at):
-                continue
-            keys = hashed([ids[at + k].astype(np.uint64) for k in range(size)])
-            windows = self.windows[size]
-            for i in at[np.isin(keys, known)].tolist():
-                who = windows.get(tuple(ids[i : i + size].tolist()))
-                if who is not None:
-                    spans.append((i, size))
-                    items.append((i, who))
-        return spans, items
-
-
-def hashed(columns) -> np.ndarray:
-    out = np.zeros(len(columns[0]), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for c in columns:
-            out = (out ^ (out >> np.uint64(29))) * _BASE + c
-    return out
+            mine = hashed(hashes, at, size)
+            hit = _contains(keys, mine)
+            at, mine = at[hit], mine[hit]
+            low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
+            for i, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+                text = b" ".join(words[i : i + size])
+                where = [p for p in places[a:b].tolist() if self.words(p, size) == text]
+                if where:
+                    yield i, size, {self.names[k] for k in np.searchsorted(self.first, where, side="right") - 1}
+
+
+def _contains(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 SPANS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
@@ -85,16 +118,16 @@ NAMES = pa.list_(pa.string())
 
 def _scan_batches(batches: Iterator[pa.RecordBatch], grams: Grams, text: str, words: str, spans: str, items: str, later: bool) -> Iterator[pa.RecordBatch]:
     """Adds, or on a later pass extends, the number of words, the marked spans and the names of the items."""
-    get = grams.vocab.get
+    get = _Hashes().__getitem__
     for whole in batches:
         for batch in [whole.slice(i, 256) for i in range(0, whole.num_rows, 256)]:
             docs = [words_of(t) for t in batch.column(text).to_pylist()]
             bounds = np.cumsum([0, *[len(w) + 1 for w in docs]])
-            flat = np.fromiter((x for w in docs for x in (*map(get, w, [0] * len(w)), 0)), dtype=np.int64, count=int(bounds[-1]))
+            flat = [x for w in docs for x in (*w, b"")]  # no word is empty: a gap between documents
+            hashes = np.fromiter((get(w) if w else 0 for w in flat), dtype=np.uint64, count=len(flat))
             marked: list[list[dict]] = [[] for _ in docs]
             named: list[set] = [set() for _ in docs]
-            where, who = grams.scan(flat)
-            for (i, size), (_, names) in zip(where, who):
+            for i, size, names in grams.scan(flat, hashes):
                 d = int(np.searchsorted(bounds, i, side="right")) - 1
                 marked[d].append({"at": i - int(bounds[d]), "n": size})
                 named[d] |= {x for x in names if x is not None}
