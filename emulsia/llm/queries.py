@@ -42,7 +42,7 @@ f AS (
   SELECT *, CAST(len(ln) - len(list_distinct(ln)) AS BIGINT) AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 2 * n_dup_lines > len(string_split(t, chr(10)))
+  NOT (base_failed OR 100 * n_symbols > 20 * n_words OR 2 * n_dup_lines > len(ln)
     OR 2 * len(regexp_extract_all(t, '!')) > n_words OR word_chars > 16 * n_words OR 5 * len(regexp_extract_all(t, '[0-9]')) > 2 * word_chars) AS kept
 FROM f
 """
