@@ -1,7 +1,7 @@
 """Detectors as plug-ins: a named factory gives a function from image bytes to boxes, run in Arrow batches.
 
-No image library is installed here, so the built-in names find nothing; an image that can't be read, or a detector
-that fails, gives an empty list and an error beside it, never a failed job.
+No image library is installed here, so a built-in name needs a plug-in to run it (`provide`) and is an error without
+one; an image that can't be read, or a detector that fails, gives an empty list and an error beside it, never a failed job.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emulsia.errors import DetectorError
+
 Detect = Callable[[bytes], list[tuple[int, int, int, int, float]]]
 #: The names that plug-ins may not take.
 BUILT_IN = ("haar", "yunet", "mediapipe")
@@ -20,10 +22,6 @@ _BOX = pa.struct([("x1", pa.int32()), ("y1", pa.int32()), ("x2", pa.int32()), ("
 FOUND = "path string, faces array<struct<x1:int,y1:int,x2:int,y2:int,confidence:double>>, error string"
 
 
-class DetectorError(ValueError):
-    """A plug-in that can't be registered or found."""
-
-
 def register_detector(name: str, factory: Callable[..., Detect]) -> None:
     for bad, why in ((not isinstance(name, str) or not name, "needs a name"), (name in BUILT_IN, "is built in"), (name in _plugins, "is taken"), (not callable(factory), "needs a callable factory")):
         if bad:
@@ -38,19 +36,26 @@ def unregister_detector(name: str) -> None:
 
 
 def registered_detectors() -> tuple[str, ...]:
-    return tuple(sorted(_plugins))
+    return tuple(sorted(n for n in _plugins if n not in BUILT_IN))
 
 
 def known_backends() -> tuple[str, ...]:
     return BUILT_IN + registered_detectors()
 
 
+def provide(name: str, factory: Callable[..., Detect]) -> None:
+    """Gives a built-in name the factory of an installed library."""
+    if name not in BUILT_IN or not callable(factory):
+        raise DetectorError(f"{name!r} isn't a built-in detector, or its factory isn't callable")
+    _plugins[name] = factory
+
+
 def create_detector(name: str, **settings: object) -> Detect:
-    """The plug-in's function, or for a built-in name one that finds nothing."""
+    """The plug-in's function; a built-in name that nothing provides is an error, never a detector that finds nothing."""
     if name in _plugins:
         return _plugins[name](**settings)
     if name in BUILT_IN:
-        return lambda data: []
+        raise DetectorError(f"detector {name!r} needs an image library: install one and call detectors.provide({name!r}, factory), or register a detector of your own")
     raise DetectorError(f"unknown detector {name!r}")
 
 

@@ -113,7 +113,7 @@ def merge_overlapping(boxes: Column, limit: float, passes: Column) -> Column:
     """Boxes merged until no two overlap by limit or more.
 
     A pass lets each box absorb the first kept box that it overlaps; `passes` is the most passes that can change anything
-    (the number of boxes), as each one that does leaves a box less.
+    (the number of boxes), as each one that does leaves a box less. Passes behind one that left no box less do nothing.
     """
 
     def absorb(kept: Column, e: Column) -> Column:
@@ -121,5 +121,26 @@ def merge_overlapping(boxes: Column, limit: float, passes: Column) -> Column:
         joined = F.transform(kept, lambda k, i: F.when(i + 1 == hit, merged(k, e)).otherwise(k))
         return F.when(hit > 0, joined).otherwise(F.concat(kept, F.array(e)))
 
-    once = lambda a: F.aggregate(a, F.array().cast(BOXES), absorb)
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), passes)), boxes, lambda a, _: once(a))
+    def once(a: Column, _: Column) -> Column:
+        less = F.aggregate(a["boxes"], F.array().cast(BOXES), absorb)
+        return F.when(a["done"], a).otherwise(F.element_at(F.transform(F.array(less), lambda x: F.struct(x.alias("boxes"), (F.size(x) == F.size(a["boxes"])).alias("done"))), 1))
+
+    start = F.struct(boxes.cast(BOXES).alias("boxes"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), passes)), start, once)["boxes"]
+
+
+def risky_regions(faces: Column, padded: Column, width: Column, height: Column, ratio: float) -> Column:
+    """Padded boxes, clipped, of the faces whose short side is under ratio of the frame's; empty ones are dropped."""
+    short = F.least(width, height)
+    side = lambda b: F.least(b["x2"] - b["x1"], b["y2"] - b["y1"])
+    small = F.filter(F.arrays_zip(faces.alias("f"), padded.alias("p")), lambda e: (side(e["f"]) > 0) & (side(e["f"]) < ratio * short))
+    clipped = F.transform(small, lambda e: clip(e["p"], width, height))
+    return F.filter(clipped, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]) & (short > 0))
+
+
+def hand_regions(found: Column, faces: Column, width: Column, height: Column) -> Column:
+    """Hands that a detector found, as they are; without any, the bands beside the faces, merged, unless they cover too much."""
+    zones = F.flatten(F.transform(faces, lambda b: hand_zones(b, width, height)))
+    merged_zones = merge_overlapping(zones, HAND_MERGE_IOU, F.size(zones))
+    guessed = F.when(coverage(merged_zones, width, height) <= HAND_COVERAGE, merged_zones).otherwise(F.array().cast(BOXES))
+    return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(guessed)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the SSIM that a search aims at where the other metric isn't available.
+SSIM_TARGET = 0.98
+
+
 def row_status(status: Column, mode: Column, dry_run: Column) -> Column:
     """The ledger's status of a result."""
     kept = F.when(dry_run, "would-keep-original").otherwise("kept-original")
@@ -78,3 +82,67 @@ def duration_text(seconds: Column) -> Column:
     minutes = F.format_string("%d:%02d", F.floor(s / 60).cast("long"), s % 60)
     hours = F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
     return F.when(s >= 3600, hours).otherwise(minutes)
+
+
+def quality_report(a: Column, b: Column, ssim: Column, original: Column, output: Column, faces: Column | None = None) -> Column:
+    """A pair of pictures as one row: psnr, ssim, ratio and, where there are faces, the ssim within their union and outside.
+
+    faces: a struct of (inside, outside), null where no face is; arrays of other sizes can't be compared and are an error.
+    """
+    from emulsia.functions.pixels import psnr
+
+    same = F.assert_true(F.size(a) == F.size(b), F.lit("the pictures have different sizes"))
+    part = lambda k: (faces[k] if faces is not None else F.lit(None)).cast("double")
+    return F.struct(F.when(same.isNull(), psnr(a, b)).alias("psnr"), ssim.alias("ssim"), ratio(original, output).alias("ratio"), part("inside").alias("face_ssim"), part("outside").alias("background_ssim"))
+
+
+def tune_metric(wanted: Column, available: Column, target: Column) -> Column:
+    """(metric, target): the wanted metric, or SSIM with its own target where it isn't available."""
+    falls = (wanted == "ssimulacra2") & ~available
+    return F.struct(F.when(falls, "ssim").otherwise(wanted).alias("metric"), F.when(falls, SSIM_TARGET).otherwise(target).alias("target"))
+
+
+def watch_videos(enabled: Column, unwanted: Column, mode: Column, encoder: Column) -> Column:
+    """(include, reason): whether a watch takes clips, and what to say where it doesn't though they were wanted."""
+    asked = enabled & ~unwanted
+    reason = F.when(asked & (mode == "aggressive"), "clips are only encoded in faithful mode and will be skipped").when(asked & ~encoder, "clips will be skipped: no encoder was found")
+    return F.struct((asked & reason.isNull()).alias("include"), reason.alias("reason"))
+
+
+def honesty_note(mode: Column, lossless: Column) -> Column:
+    """What a backup must say about its copies; null where they are exact."""
+    return F.when(mode == "aggressive", "backgrounds are made anew on restoring: not a copy to keep alone").when(~lossless, "visually lossless, not exact: ask for lossless if this is the only copy")
+
+
+def cycle_line(c: Column, interval: Column | None = None) -> Column:
+    """One line about a cycle: processed with what came of it, saved, unchanged, waiting and held; idle where nothing ran."""
+    some = lambda name, text: F.when(c[name] > 0, F.concat(c[name].cast("string"), F.lit(f" {text}")))
+    done = F.concat_ws(", ", F.concat(c["ok"].cast("string"), F.lit(" ok")), some("failed", "failed"), some("skipped", "skipped"))
+    ran = c["processed"] > 0
+    parts = [
+        F.when(ran, F.concat(F.lit("processed "), c["processed"].cast("string"), F.lit(": "), done)).otherwise("idle"),
+        F.when(ran & (c["saved"] != 0), F.concat(F.lit("saved "), size_text(c["saved"]))), some("unchanged", "unchanged"), some("awaiting", "not yet stable (still syncing?)"),
+        some("held", "failed/skipped earlier (retried when the file changes)"),
+    ]
+    if interval is not None:
+        parts.append(F.concat(F.lit("next scan in "), interval.cast("string"), F.lit("s")))
+    return F.concat_ws(" | ", *parts)
+
+
+def backup_summary(t: Column, lossless: Column, no_encoder: Column) -> Column:
+    """What a finished backup says: counts, sizes, and what the copies are."""
+    some = lambda name, text: F.when(t[name] > 0, F.concat(t[name].cast("string"), F.lit(f" {text}")))
+    counts = F.concat_ws(", ", F.concat(t["ok"].cast("string"), F.lit(" compressed")), some("unchanged", "already backed up"), some("failed", "failed"), some("skipped", "skipped"))
+    times = F.format_string("%.1f", F.bround(ratio(t["total_in"], t["total_out"]), 1))
+    sizes = F.when(t["total_out"] > 0, F.concat(size_text(t["total_in"]), F.lit(" to "), size_text(t["total_out"]), F.lit(", "), times, F.lit(" times smaller")))
+    exact = F.when(lossless, "The copies are exact.").otherwise("The copies are visually lossless, not exact.")
+    return F.concat_ws("\n", counts, sizes, F.when(no_encoder, "Clips were skipped: no encoder was found."), exact, F.lit("The sources were not changed."))
+
+
+def table_cells(rows: DataFrame) -> DataFrame:
+    """Report rows as cells to show: sizes in units, a ratio with a times sign, blank where nothing was measured."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    sized = lambda name: blank(F.when(F.col(name).isNotNull(), size_text(F.col(name)))).alias(name)
+    shown = F.format_string("%.1fx", F.bround(F.col("ratio"), 1))
+    plain = [blank(F.col(n).cast("string")).alias(n) for n in ("quality", "faces")]
+    return rows.select("file", "status", "mode", blank(F.col("codec")).alias("codec"), sized("original_bytes"), sized("output_bytes"), blank(F.when(F.col("ratio").isNotNull(), shown)).alias("ratio"), *plain)

@@ -132,9 +132,21 @@ def region_union_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("image").agg(F.min("p.x1").alias("x1"), F.min("p.y1").alias("y1"), F.max("p.x2").alias("x2"), F.max("p.y2").alias("y2"))
 
 
-@query()
+def sql_merged(source: str, order: str) -> str:
+    """CTE m (image, bs): the boxes of source merged in passes until a pass leaves no box less."""
+    hit = f"list_position(list_transform(acc, lambda k: {sql_iou('k', 'e[1]')} >= 0.2::DOUBLE), true)"
+    both = "{'x1': least(k.x1, e[1].x1), 'y1': least(k.y1, e[1].y1), 'x2': greatest(k.x2, e[1].x2), 'y2': greatest(k.y2, e[1].y2)}"
+    once = f"list_reduce(list_transform(bs, lambda x: [x]), lambda acc, e: CASE WHEN {hit} > 0 THEN list_transform(acc, lambda k, i: CASE WHEN i = {hit} THEN {both} ELSE k END) ELSE list_concat(acc, e) END)"
+    return f"""l AS (SELECT image, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} {order}) AS bs FROM {source} GROUP BY image),
+r AS (SELECT image, bs, CAST(-1 AS BIGINT) AS before FROM l UNION ALL SELECT image, {once}, len(bs) FROM r WHERE len(bs) <> before),
+m AS (SELECT image, bs FROM r WHERE len(bs) = before)"""
+
+
+@query(f"""WITH RECURSIVE {FACE}, {PADDED}, p AS (SELECT image, conf, x2 - x1 AS w, y2 - y1 AS h, x1 AS fx1, y1 AS fy1, x2 AS fx2, y2 AS fy2, px1 AS x1, py1 AS y1, px2 AS x2, py2 AS y2 FROM padded),
+{sql_merged('p', 'ORDER BY conf DESC, w * h DESC, fx1, fy1, fx2, fy2')}
+SELECT image, CAST(i - 1 AS INT) AS at, bs[i].x1 AS x1, bs[i].y1 AS y1, bs[i].x2 AS x2, bs[i].y2 AS y2 FROM (SELECT image, bs, unnest(range(1, len(bs) + 1)) AS i FROM m)""")
 def box_merge_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Padded boxes merged until no two overlap by a fifth; the tests hold it against a plain loop."""
+    """Padded boxes merged until no two overlap by a fifth."""
     arrays = ordered(faces(spark, sf_dir)).select("image", F.transform("boxes", lambda b: B.pad_and_clip(b, 1.5, *frame())).alias("boxes"))
     return listed(arrays.select("image", B.merge_overlapping(F.col("boxes"), B.HAND_MERGE_IOU, F.size("boxes")).alias("boxes")))
 
@@ -209,3 +221,26 @@ def container_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.transform(F.filter("faces", lambda f: ~B.well_formed(f["bbox"])), lambda f: F.concat(F.lit("face "), f["i"].cast("string"), F.lit(": malformed bbox")))
     problems = F.concat(missing, broken)
     return arrays.select("image", F.size(problems).cast("long").alias("n_problems"), (F.size(problems) == 0).alias("ok"))
+
+
+@query(f"""WITH {FACE}, {PADDED} SELECT image, px1 AS x1, py1 AS y1, px2 AS x2, py2 AS y2 FROM padded
+WHERE least(x2 - x1, y2 - y1) > 0 AND least(x2 - x1, y2 - y1) < 0.06::DOUBLE * {min(WIDTH, HEIGHT)} AND px2 > px1 AND py2 > py1""")
+def risky_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded boxes of the small faces of an image."""
+    arrays = faces(spark, sf_dir).groupBy("image").agg(F.collect_list("box").alias("boxes"))
+    padded = F.transform("boxes", lambda b: B.pad_and_clip(b, 1.5, *frame()))
+    return arrays.select("image", F.inline(B.risky_regions(F.col("boxes"), padded, *frame(), 0.06)))
+
+
+@query(f"""WITH RECURSIVE {FACE}, n AS (SELECT *, row_number() OVER (PARTITION BY image {ORDER}) AS nth FROM face),
+bands AS (SELECT image, nth, s, greatest(0, CAST(trunc((x1 + x2) / 2.0::DOUBLE + s * (CASE WHEN s < 0 THEN 2.2::DOUBLE ELSE 0.6::DOUBLE END) * (x2 - x1)) AS INT)) AS x1, greatest(0, CAST(trunc(y2 + 1.0::DOUBLE * (y2 - y1)) AS INT)) AS y1,
+  least({WIDTH}, CAST(trunc((x1 + x2) / 2.0::DOUBLE + s * (CASE WHEN s < 0 THEN 0.6::DOUBLE ELSE 2.2::DOUBLE END) * (x2 - x1)) AS INT)) AS x2, least({HEIGHT}, CAST(trunc(y2 + 3.0::DOUBLE * (y2 - y1)) AS INT)) AS y2
+  FROM n, (VALUES (-1), (1)) t(s)), ok AS (SELECT * FROM bands WHERE x2 > x1 AND y2 > y1),
+{sql_merged('ok', 'ORDER BY nth, s')},
+g AS (SELECT image, unnest(bs) AS b FROM m WHERE image % 3 <> 0 AND list_sum(list_transform(bs, lambda b: CAST(b.x2 - b.x1 AS BIGINT) * (b.y2 - b.y1))) / {float(WIDTH * HEIGHT)}::DOUBLE <= 0.30::DOUBLE)
+SELECT image, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2 FROM g UNION ALL SELECT image, x1, y1, x2, y2 FROM n WHERE image % 3 = 0 AND nth = 1""")
+def hand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hands of a detector (in every third image the first box stands for one), else the merged bands beside the faces."""
+    arrays = ordered(faces(spark, sf_dir))
+    found = F.when(F.col("image") % 3 == 0, F.slice("boxes", 1, 1)).otherwise(F.array().cast(B.BOXES))
+    return arrays.select("image", F.inline(B.hand_regions(found, F.col("boxes"), *frame())))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import boxes, clips, ledgers, measures, runs
+from . import boxes, clips, ledgers, measures, media, runs
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (ledgers, boxes, measures, clips, runs):
+for part in (ledgers, boxes, measures, clips, runs, media):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

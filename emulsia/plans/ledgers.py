@@ -153,9 +153,9 @@ results AS (SELECT source, CASE WHEN path IN (SELECT path FROM hit) THEN 'skippe
 t AS ({TOTALS.format(by='source')}) SELECT *, {RATIO} FROM t""")
 def skip_unchanged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_of(spark, sf_dir).withColumn("source", F.substring_index("path", "/", 1))
-    hit = ledger.hits(files, ledger_of(files), outputs_of(spark, sf_dir, files)).select("path", F.lit(True).alias("hit"))
+    flagged = ledger.with_hits(files.select("path", "content_hash", "fingerprint", "source", "size"), ledger_of(files), outputs_of(spark, sf_dir, files))
     status = F.when(F.col("hit"), "skipped-unchanged").otherwise("ok")
-    results = files.select("path", "source", "size").join(hit, "path", "left").select("source", status.alias("status"), F.col("size").alias("original_size"), F.floor(F.col("size") / 2).cast("long").alias("compressed_size"))
+    results = flagged.select("source", status.alias("status"), F.col("size").alias("original_size"), F.floor(F.col("size") / 2).cast("long").alias("compressed_size"))
     return reports.totals(results, ["source"])
 
 
@@ -164,3 +164,18 @@ SELECT page_id, folder, stem FROM clips c WHERE EXISTS (SELECT 1 FROM documents
 def live_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = lambda df, k, n: df.select(k, F.concat(F.lit("roll"), (F.col(k) % n).cast("string")).alias("folder"), F.concat(F.lit("img"), F.col(k).cast("string")).alias("stem"))
     return ledger.live_pairs(keyed(table(spark, sf_dir, "pages"), "page_id", 5), keyed(table(spark, sf_dir, "documents"), "doc_id", 7)).select("page_id", "folder", "stem")
+
+
+@query(f"""WITH {FILES}, {LEDGER} SELECT l.path, CASE WHEN f.path IS NOT NULL THEN f.size ELSE l.size END AS size, CASE WHEN f.path IS NOT NULL THEN f.mtime ELSE l.mtime END AS mtime
+FROM ledger l LEFT JOIN files f ON f.path = l.path AND f.content_hash = l.content_hash AND f.fingerprint = l.fingerprint""")
+def stat_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stats of the ledger after the hits by content have refreshed theirs."""
+    files = files_of(spark, sf_dir)
+    return ledger.refreshed(ledger_of(files), files.select("path", "content_hash", "fingerprint", "size", "mtime")).select("path", "size", "mtime")
+
+
+@query("""SELECT doc_id, '/data/' || source || '/' || CAST(doc_id AS VARCHAR) AS key FROM documents""")
+def ledger_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of files that are reached by odd paths."""
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "./x/../").otherwise("/data//./"), F.col("source"), F.lit("//"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", archive.ledger_key(path, "/data").alias("key"))

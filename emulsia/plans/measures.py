@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emulsia.functions import pixels as P
 from emulsia.functions import search as S
+from emulsia.operators import pooled
 
 from .registry import registrar, table
 
@@ -87,18 +88,11 @@ def scale_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH v AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP BY event_type)
 SELECT event_type, round(list_avg(v), 6) AS mean, v[CAST(greatest(1, len(v) // 100) AS INT)] AS p1, v[1] AS min, CAST(len(v) AS BIGINT) AS frames FROM v""")
 def score_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores pooled by clip: mean, order statistic, least, count. Each clip's rank list is found by a distributed sort."""
-    from pyspark.sql import Window
-
+    """Scores pooled by clip: mean, order statistic, least, count."""
     events = table(spark, sf_dir, "events").select("event_type", "value")
     counts = events.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("min"), F.count("*").alias("frames"))
-    # only values that can hold the wanted rank are ranked: those up to an upper bound of the hundredth part
-    bound = events.groupBy("event_type").agg(F.percentile_approx("value", 0.02, 1000).alias("bound"))
-    low = events.join(bound, "event_type").filter("value <= bound")
-    ranked = low.withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("value")))
-    wanted = counts.withColumn("n", F.greatest(F.lit(1), F.floor(F.col("frames") / 100)).cast("int"))
-    p1 = ranked.join(wanted.select("event_type", "n"), ["event_type", "n"]).select("event_type", F.col("value").alias("p1"))
-    return counts.join(p1, "event_type").select("event_type", "mean", "p1", "min", "frames")
+    p1 = pooled.ranked_values(events, "event_type", "value", counts.select("event_type", F.greatest(F.lit(1), F.floor(F.col("frames") / 100)).alias("nth")))
+    return counts.join(p1.select("event_type", F.col("value").alias("p1")), "event_type").select("event_type", "mean", "p1", "min", "frames")
 
 
 @query("""WITH d AS (SELECT user_id, CAST(count(*) AS DOUBLE) * 1.5::DOUBLE AS s FROM events GROUP BY user_id)
@@ -140,15 +134,13 @@ def residual_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("vec_id", total("e").alias("code_sum"), total(P.decode_residual(F.col("e"))).alias("decoded_sum"))
 
 
-@query("""WITH b AS (SELECT p_partkey, 20 + p_size AS w, 20 + p_size % 7 AS h FROM part WHERE p_partkey <= 200),
+@query("""WITH b AS (SELECT p_partkey, 20 + p_size AS w, 20 + p_size % 7 AS h FROM part),
 g AS (SELECT p_partkey, w, h, x, unnest(range(0, h)) AS y FROM (SELECT p_partkey, w, h, unnest(range(0, w)) AS x FROM b))
 SELECT p_partkey, round(sum(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(y, h - 1 - y, x, w - 1 - x) / 8.0::DOUBLE))), 6) AS mass FROM g GROUP BY p_partkey""")
 def soft_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summed weight of the feathered mask of a crop."""
     b = parts(spark, sf_dir).select("p_partkey", (20 + F.col("p_size")).alias("w"), (20 + F.col("p_size") % 7).alias("h"))
-    total = lambda n, f: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + f(i))
-    mass = total(F.col("w"), lambda x: total(F.col("h"), lambda y: P.soft_mask(x, y, F.col("w"), F.col("h"), 8.0)))
-    return b.select("p_partkey", F.round(mass, 6).alias("mass"))
+    return b.select("p_partkey", F.round(P.mask_mass(F.col("w"), F.col("h"), 8), 6).alias("mass"))
 
 
 @query("""WITH v AS (SELECT p_partkey, (p_partkey % 101) / 100.0::DOUBLE AS v FROM part), l AS (SELECT p_partkey, v, CASE WHEN v <= 0.04045::DOUBLE THEN v / 12.92::DOUBLE ELSE pow((v + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END AS lin FROM v),
@@ -167,7 +159,9 @@ s AS (SELECT label, 1.4826::DOUBLE * list_median(list_transform(r, lambda x: abs
 def grain_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust noise of each block, then the median by label."""
     s = table(spark, sf_dir, "embeddings").select("label", P.robust_sigma(F.transform("embedding", lambda x: x.cast("double"))).alias("s"))
-    return s.groupBy("label").agg(F.round(F.median("s"), 6).alias("sigma"))
+    n = s.groupBy("label").agg(F.count("*").alias("n"))
+    both = n.select("label", F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))).alias("nth"))
+    return pooled.ranked_values(s, "label", "s", both).groupBy("label").agg(F.round(F.avg("s"), 6).alias("sigma"))
 
 
 @query("SELECT p_partkey, CAST(round_even((p_partkey * 331 % 65536) / 257.0::DOUBLE, 0) AS INT) AS rounded, CAST(floor((p_partkey * 331 % 65536) * 255 / 65535.0::DOUBLE) AS INT) AS viewed FROM part")
@@ -177,7 +171,13 @@ def depth_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("p_partkey", P.to_eight_bits(x).alias("rounded"), P.view_eight_bits(x).alias("viewed"))
 
 
-@query()
+SSIM_SQL = f"""WITH p AS ({PAIR}), w AS (SELECT vec_id, a, b, t.dy AS dy, t.dx AS dx FROM p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(dy, dx)),
+c AS (SELECT vec_id, dy, dx, CAST(a[1 + (dy + i // 7) * 8 + dx + i % 7] AS DOUBLE) AS x, CAST(b[1 + (dy + i // 7) * 8 + dx + i % 7] AS DOUBLE) AS y FROM (SELECT *, unnest(range(0, 49)) AS i FROM w)),
+m AS (SELECT vec_id, dy, dx, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS cov FROM c GROUP BY vec_id, dy, dx)
+SELECT vec_id, round(avg((2 * mx * my + 0.0001::DOUBLE) * (2 * cov + 0.0009::DOUBLE) / ((mx * mx + my * my + 0.0001::DOUBLE) * (vx + vy + 0.0009::DOUBLE))), {{digits}}) AS ssim FROM m GROUP BY vec_id"""
+
+
+@query(SSIM_SQL.format(digits=6))
 def ssim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windowed similarity of neighbouring blocks; the tests hold it against plain sums."""
+    """Windowed similarity of neighbouring blocks."""
     return pairs(spark, sf_dir).select("vec_id", F.round(P.ssim_8x8("a", "b"), 6).alias("ssim"))

@@ -10,6 +10,9 @@ from emulsia.streaming import watch
 
 from .registry import registrar, table
 
+#: The SQL of a size in units.
+SIZE = "(CASE WHEN {n} < 1024 THEN printf('%.1f B', CAST({n} AS DOUBLE)) WHEN {n} < 1048576 THEN printf('%.1f KB', {n} / 1024.0::DOUBLE) WHEN {n} < 1073741824 THEN printf('%.1f MB', {n} / 1048576.0::DOUBLE) ELSE printf('%.1f GB', {n} / 1073741824.0::DOUBLE) END)"
+
 QUERIES: dict = {}
 SQL: dict = {}
 query = registrar(QUERIES, SQL)

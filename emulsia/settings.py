@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emulsia.detectors import known_backends
+from emulsia.errors import SettingsError
 
 #: The defaults.
 DEFAULTS: dict[str, object] = {
@@ -41,10 +42,6 @@ PRESETS["share"] = PRESETS["ratio"] | {"strip_gps": True}
 RESTORE = ("aggressive.face_enhance_backend", "aggressive.face_enhance_fidelity", "aggressive.face_enhance_strength")
 
 
-class SettingsError(ValueError):
-    """A setting that isn't allowed."""
-
-
 @dataclass(frozen=True)
 class Check:
     key: str
@@ -112,4 +109,94 @@ def restore_overrides(preset: str | None, explicit: set[str]) -> dict[str, objec
 
 def as_struct(settings: dict[str, object], prefix: str) -> Column:
     """The settings under a prefix as a struct with sorted names, ready for a fingerprint."""
-    return F.struct(*[F.lit(v).cast("string" if v is None else "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string").alias(k.removeprefix(prefix)) for k, v in sorted(settings.items()) if k.startswith(prefix)])
+    return F.struct(*[_literal(v).alias(k.removeprefix(prefix)) for k, v in sorted(settings.items()) if k.startswith(prefix)])
+
+
+#: The settings of a clip's output, and those of the detector that decide whether a face is found.
+CLIP = ("crf", "preset", "vmaf_target", "auto_tune", "skip_efficient", "preserve_dolby_vision", "face_aware", "face_vmaf_target", "preserve_live_photos")
+FINDS = ("backend", "confidence", "nms_iou", "min_size_ratio", "max_aspect_ratio")
+
+
+def _literal(value: object) -> Column:
+    if isinstance(value, Column):
+        return value
+    kind = "string" if value is None else "boolean" if isinstance(value, bool) else "bigint" if isinstance(value, int) else "double" if isinstance(value, float) else "string"
+    return F.lit(value).cast(kind)
+
+
+def clip_struct(settings: dict[str, object]) -> Column:
+    """What a clip's output depends on, ready for a fingerprint: the clip settings and, only where faces matter, what
+    decides whether one is found. Photo settings aren't in it, so changing them encodes no clip again."""
+    fields = {"mode": F.lit("video")} | {k: _literal(settings[f"video.{k}"]) for k in CLIP}
+    if settings["video.face_aware"]:
+        fields["detector"] = F.struct(*[_literal(settings[f"detector.{k}"]).alias(k) for k in sorted(FINDS)])
+    return F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+
+
+def to_text(settings: dict[str, object], notes: bool = False) -> str:
+    """Settings as the text of a file: a section for each prefix; notes add what a setting may be."""
+    says = {c.key: c.says for c in CHECKS}
+    lines, section = [], None
+    for key in sorted(settings, key=lambda k: ("." in k, list(DEFAULTS).index(k) if k in DEFAULTS else len(DEFAULTS))):
+        head, _, name = key.rpartition(".")
+        if head != section and head:
+            lines.append(f"{head}:")
+        section = head
+        value = settings[key]
+        shown = "null" if value is None else str(value).lower() if isinstance(value, bool) else repr(value) if isinstance(value, (int, float)) else f'"{value}"'
+        note = f"  # {says[key]}" if notes and key in says else ""
+        lines.append(f"{'  ' if head else ''}{name}: {shown}{note}")
+    return "\n".join(lines) + "\n"
+
+
+def default_text() -> str:
+    """The text of a file with the defaults, and beside each setting what it may be."""
+    return to_text(DEFAULTS, notes=True)
+
+
+def from_text(text: str) -> dict[str, object]:
+    """Settings of a file's text, with dotted keys; an odd line is an error that names it."""
+    out: dict[str, object] = {}
+    section = ""
+    for n, line in enumerate(text.splitlines(), start=1):
+        plain = line.split(" #")[0].rstrip()
+        if not plain or plain.lstrip().startswith("#"):
+            continue
+        name, colon, value = plain.strip().partition(":")
+        if not colon or not name:
+            raise SettingsError(f"line {n} of the settings has no name and value: {line!r}")
+        if not plain.startswith(" "):
+            section = ""
+        value = value.strip()
+        if not value:
+            section = f"{name}."
+            continue
+        out[section + name] = _value(value)
+    return out
+
+
+def _value(text: str) -> object:
+    if text[0] == text[-1] and text[0] in "'\"" and len(text) > 1:
+        return text[1:-1]
+    known = {"null": None, "~": None, "true": True, "false": False}
+    if text.lower() in known:
+        return known[text.lower()]
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def save(settings: dict[str, object], path: str) -> None:
+    from pathlib import Path
+
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(to_text(settings), encoding="utf-8")
+
+
+def load(path: str) -> dict[str, object]:
+    from pathlib import Path
+
+    return from_text(Path(path).read_text(encoding="utf-8"))

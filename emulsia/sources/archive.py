@@ -13,12 +13,11 @@ VIDEO = ("mp4", "mov", "m4v", "mkv", "avi", "webm", "mts", "m2ts", "ts", "3gp",
 def scan_folder(spark: SparkSession, root: str, suffixes: tuple[str, ...] = PHOTO + VIDEO, content: bool = False) -> DataFrame:
     """Files directly in root with one of the suffixes, all lower or all upper case: path, length, modificationTime.
 
-    Only with `content` are bytes read; else the scan lists.
+    The listing itself is filtered; only with `content` are bytes read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(root)
-    suffix = F.regexp_extract("path", r"\.([^./]+)$", 1)
-    both = [*suffixes, *(s.upper() for s in suffixes)]
-    return files.filter(suffix.isin(both)).select("path", "length", "modificationTime", *(["content"] if content else []))
+    either = ",".join(f"{x}" for s in suffixes for x in (s, s.upper()))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", f"*.{{{either}}}").load(root)
+    return files.select("path", "length", "modificationTime", *(["content"] if content else []))
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
@@ -35,3 +34,11 @@ def output_name(path, suffix: str):
     known = r"(?i)\.(" + "|".join((*PHOTO, "avif", "jxl")) + r")$"
     right = F.lower(path).endswith(f".{suffix}")
     return F.when(right, path).otherwise(F.concat(F.regexp_replace(path, known, ""), F.lit(f".{suffix}")))
+
+
+def ledger_key(path, root: str):
+    """The key of a path in the ledger: absolute, without `.`, `..` and doubled slashes, also if no such file is there."""
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    step = lambda kept, p: F.when(p == "..", F.slice(kept, F.lit(1), F.greatest(F.lit(0), F.size(kept) - 1))).otherwise(F.concat(kept, F.array(p)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))

@@ -19,8 +19,29 @@ def hits(files: DataFrame, ledger: DataFrame, outputs: DataFrame) -> DataFrame:
     return files.join(ledger.select("path", "content_hash", "fingerprint", "output_path"), ["path", "content_hash", "fingerprint"]).join(outputs.select("output_path"), "output_path", "left_semi")
 
 
+def with_hits(files: DataFrame, ledger: DataFrame, outputs: DataFrame) -> DataFrame:
+    """files with `hit`: in the ledger by path, content hash and fingerprint, with an output that exists. Files are read
+    once; of the ledger only keys of existing outputs move."""
+    keys = ["path", "content_hash", "fingerprint"]
+    known = ledger.select(*keys, "output_path").join(outputs.select("output_path"), "output_path", "left_semi").select(*keys).distinct()
+    return files.join(known.withColumn("__hit", F.lit(True)), keys, "left").withColumn("hit", F.col("__hit").isNotNull()).drop("__hit")
+
+
 def misses(files: DataFrame, ledger: DataFrame, outputs: DataFrame) -> DataFrame:
-    return files.join(hits(files, ledger, outputs).select("path"), "path", "left_anti")
+    """Files that aren't hits."""
+    flagged = with_hits(files, ledger, outputs)
+    return flagged.filter(~F.col("hit")).drop("hit")
+
+
+def refreshed(ledger: DataFrame, files: DataFrame) -> DataFrame:
+    """The ledger with the stat of each file that hits by content but not by stat, so that the next scan needn't hash it.
+
+    A file without a row changes nothing; other columns of a row stay.
+    """
+    seen = files.groupBy("path", "content_hash", "fingerprint").agg(F.max(F.struct("mtime", "size")).alias("__s"))
+    joined = ledger.join(seen, ["path", "content_hash", "fingerprint"], "left")
+    stat = {c: F.coalesce(F.col(f"__s.{c}"), F.col(c)) for c in ("size", "mtime")}
+    return joined.withColumns(stat).select(*ledger.columns)
 
 
 def stat_hits(files: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -39,11 +60,16 @@ def upsert(ledger: DataFrame, changes: DataFrame, key: str, order: list[str]) ->
 
 
 def fill_cache(wanted: DataFrame, cache: DataFrame, detect) -> DataFrame:
-    """(content_hash, fingerprint, boxes) for each distinct wanted pair: cached, or else detected once."""
-    pairs = wanted.groupBy("content_hash", "fingerprint").agg(F.min("content").alias("content"))
-    known = pairs.join(cache, ["content_hash", "fingerprint"]).select("content_hash", "fingerprint", "boxes", F.lit(True).alias("cached"))
-    missing = pairs.join(cache, ["content_hash", "fingerprint"], "left_anti")
-    return known.unionByName(missing.select("content_hash", "fingerprint", detect(F.col("content")).alias("boxes"), F.lit(False).alias("cached")))
+    """(content_hash, fingerprint, boxes) for each distinct wanted pair: cached, or else detected once.
+
+    Pairs are told apart by their keys alone; content is joined only to those that the cache lacks.
+    """
+    keys = ["content_hash", "fingerprint"]
+    pairs = wanted.select(*keys).distinct()
+    known = pairs.join(cache, keys).select(*keys, "boxes", F.lit(True).alias("cached"))
+    missing = pairs.join(cache.select(*keys), keys, "left_anti")
+    first = wanted.join(missing, keys, "left_semi").groupBy(*keys).agg(F.min("content").alias("content"))
+    return known.unionByName(first.select(*keys, detect(F.col("content")).alias("boxes"), F.lit(False).alias("cached")))
 
 
 def live_pairs(clips: DataFrame, photos: DataFrame) -> DataFrame:
