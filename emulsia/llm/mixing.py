@@ -62,14 +62,17 @@ def _runs(sources: DataFrame, count: str, index: str, keys: tuple[str, ...] = ("
 
 
 def draws(figures: DataFrame, seed: int, shard_words: int) -> DataFrame:
-    """(source, out_shard, drawn, before): the drawn number of a source's slots in a shard and in those before it."""
+    """Figures of the sources by out_shard, with drawn and before: how many of a source's slots were drawn for the shard
+    and for those before it."""
     wanted = figures.agg(F.coalesce(F.sum("wanted"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-wanted // shard_words))
     slots = _runs(figures.select("source", "n_slots"), "n_slots", "nth")
     shard = F.pmod(F.xxhash64(F.lit("shard"), F.lit(seed), "source", "nth"), F.lit(shards)).cast("int")
     drawn = slots.groupBy("source", shard.alias("out_shard")).agg(F.count("*").alias("drawn"))
     earlier = Window.partitionBy("source").orderBy("out_shard").rowsBetween(Window.unboundedPreceding, -1)
-    return common.stored(drawn.withColumn("before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))), "mix-draws")
+    # joined here, a row a source and shard: the optimizer can't tell that the slots are many more
+    drawn = common.join_same(drawn.withColumn("before", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))), figures, ["source"])
+    return common.stored(drawn, "mix-draws")
 
 
 def plan(slim: DataFrame, rows: int, seed: int = 11, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,7 +99,7 @@ def plan(slim: DataFrame, rows: int, seed: int = 11, shard_words: int = SHARD_WO
 
     figures = common.join_same(sources, lasts, ["source"], "left")
     dealt = _runs(draws(figures, seed, shard_words), "drawn", "k", ("source", "out_shard"))
-    slots = common.join_same(dealt.withColumn("slot", F.col("before") + F.col("k")).drop("drawn", "before", "k"), figures, ["source"])
+    slots = dealt.withColumn("slot", F.col("before") + F.col("k")).drop("drawn", "before", "k")
     slots = slots.withColumns({"index": F.col("slot") % F.col("n_blocks"), "round": F.expr("slot div n_blocks")})
     joined = common.join_same(slots, blocks.drop("is_last").hint("merge"), ["source", "index"])
     before = F.col("index") * BLOCK - F.when(F.col("index") > F.col("last_index"), BLOCK - F.col("last_words")).otherwise(0)
