@@ -159,11 +159,11 @@ def entity_map(entities: DataFrame, key: str) -> DataFrame:
     owner = F.struct("attempt", "canon", "kind")
     while True:
         first = drawn.groupBy("type", "surrogate").agg(F.min(owner).alias("first"), F.count("*").alias("n"))
-        taken = first.join(real, (first["type"] == real["type"]) & (F.lower("surrogate") == F.col("real")), "left").select(first["type"], "surrogate", "first", (F.col("real").isNotNull()).alias("is_real"), "n")
+        taken = first.join(real.hint("merge"), (first["type"] == real["type"]) & (F.lower("surrogate") == F.col("real")), "left").select(first["type"], "surrogate", "first", (F.col("real").isNotNull()).alias("is_real"), "n")
         bad = common.stored(taken.filter("n > 1 OR is_real"), "collisions")
         if bad.isEmpty():
             return drawn.drop("attempt", "type")
-        marked = common.join_same(drawn, bad, ["type", "surrogate"], "left")
+        marked = common.join_same(drawn, bad.hint("merge"), ["type", "surrogate"], "left")
         again = F.coalesce(F.col("is_real") | (F.col("n").isNotNull() & ~F.col("first").eqNullSafe(owner)), F.lit(False))
         more = F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt"))
         redrawn = F.when(again, surrogate(F.col("kind"), F.col("canon"), key, F.col("attempt") + 1)).otherwise(F.col("surrogate"))
@@ -174,7 +174,7 @@ def genders(entities: DataFrame) -> DataFrame:
     """entities with `as_kind`: a given name without a gender takes that of its other mentions, if they agree."""
     seen = entities.filter("kind IN ('given_m', 'given_f')").groupBy("canon").agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
     seen = seen.filter("low = high").select(F.lit("given_n").alias("kind"), "canon", "low")
-    joined = common.join_same(entities, seen, ["kind", "canon"], "left")
+    joined = common.join_same(entities, seen.hint("merge"), ["kind", "canon"], "left")
     return joined.select("kind", "canon", F.coalesce("low", "kind").alias("as_kind"))
 
 
@@ -202,13 +202,14 @@ def replace(docs: DataFrame, key: str, text: str = "text", also: str = "mentions
     words = mentions.select("row", "at", F.col("m.hit").alias("hit"), F.col("m.kind").alias("is"), F.posexplode("m.parts").alias("nth", "p")).select("row", "at", "hit", "is", "nth", "p.*")
     entities = genders(common.stored(words.select("kind", "canon").distinct(), "entities"))
     drawn = entity_map(entities.select(F.col("as_kind").alias("kind"), "canon").distinct(), key).withColumnsRenamed({"kind": "as_kind"})
-    drawn = common.join_same(entities, drawn, ["as_kind", "canon"]).select("kind", "canon", "surrogate")
-    joined = common.join_same(words, drawn, ["kind", "canon"]).select("row", "at", "hit", "is", "nth", poured(F.col("word"), F.col("kind"), F.col("surrogate")).alias("new"))
+    # merged: compressed tables look small to the planner, and these grow with the entities
+    drawn = common.join_same(entities, drawn.hint("merge"), ["as_kind", "canon"]).select("kind", "canon", "surrogate")
+    joined = common.join_same(words, drawn.hint("merge"), ["kind", "canon"]).select("row", "at", "hit", "is", "nth", poured(F.col("word"), F.col("kind"), F.col("surrogate")).alias("new"))
     title = F.when(F.col("is").startswith("person"), F.regexp_extract("hit", TITLE, 0)).otherwise("")
     names = F.concat(title, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "new"))), lambda x: x["new"]), " "))
     whole = joined.repartition("row").groupBy("row", "at", "hit", "is").agg(names.alias("new"))
     lists = whole.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.col("is").alias("kind"), "new"))).alias("news"))
-    filled = some.join(lists.withColumnsRenamed({"row": other}), F.col(row) == F.col(other))
+    filled = some.join(lists.withColumnsRenamed({"row": other}).hint("merge"), F.col(row) == F.col(other))
     gaps = F.split(common.text_of(text), ALL, -1)
     changed = F.array_join(F.zip_with(gaps, F.col("news"), lambda g, n: F.concat(g, F.coalesce(n["new"], F.lit("")))), "")
     shown = F.transform("news", lambda n: F.struct(n["kind"].alias("kind"), n["new"].alias("surrogate")))
