@@ -5,12 +5,14 @@ four 16-bit blocks, so two fingerprints that differ in two bits or fewer share a
 most), and the shards lose no link. Each shard is a BK-tree: the children of a node are keyed by their integer Hamming
 distance to it, and a search follows the edges within the radius of the distance to the node. A shard's tree stays
 with the task that searches it, since sending all trees everywhere would take every fingerprint through the driver.
-A shard over SHARD_ROWS fingerprints is cut by a third block of the 32 bits that its key leaves open (three keys of
-10 or 11 bits, one of which must agree); within a shard, links are joined before they are written, so a tight group
-gives a star and not all its pairs.
+A shard over SHARD_ROWS fingerprints is cut by a third of the bits that its key leaves open (one of the three thirds must
+agree), and again while it is over, so no tree is larger: 32 open bits become 22, 15 and 10, and 10 bits tell 1024
+fingerprints apart. Within a shard, links are joined before they are written, so a tight group gives a star and not all
+its pairs.
 
 Defined results: a null text has no words and the fingerprint zero; a null id never names a group, and a group without
-any id has the component null; repeated rows are rows of their own; an empty table gives an empty table.
+any id has the component null; a very long text is hashed whole; repeated rows are rows of their own; columns of docs
+may have any names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -102,8 +104,8 @@ def _shard_links(prints: list[int]) -> list[tuple[int, int]]:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, cut): links of each run of equal keys; a run may span batches."""
-    held: tuple | None = None
+    """Rows sorted by shard: links of each run of equal shards; a run may span batches."""
+    held: int | None = None
     run: list[int] = []
     out: list[tuple[int, int]] = []
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
@@ -114,13 +116,13 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for b in batches:
-        shard, cut = (np.asarray(b.column(c)) for c in ("shard", "cut"))
+        shard = np.asarray(b.column("shard"))
         prints = np.asarray(b.column("print")).view(np.uint64)
         if not len(shard):
             continue
-        bounds = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (cut[1:] != cut[:-1])) + 1).tolist(), len(shard)]
+        bounds = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
         for x, y in zip(bounds, bounds[1:]):
-            key = (shard[x], cut[x])
+            key = int(shard[x])
             if key != held:
                 if len(run) > 1:
                     out += _shard_links(run)
@@ -139,28 +141,42 @@ def _block(i: int) -> Column:
     return F.shiftrightunsigned("print", 16 * i).bitwiseAND(0xFFFF)
 
 
+def _cuts(rows: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """(print, shard, rest) with each shard cut by the three thirds of the width open bits in rest."""
+    size = -(-width // 3)
+    out = []
+    for low in range(0, width, size):
+        n = min(size, width - low)
+        part = F.shiftrightunsigned("rest", low).bitwiseAND((1 << n) - 1)
+        rest = F.shiftleft(F.shiftrightunsigned("rest", low + n), low).bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1))
+        out.append(F.struct(F.xxhash64("shard", F.lit(low), part).alias("shard"), rest.alias("rest")))
+    return rows.select("print", F.explode(F.array(*out)).alias("cut")).select("print", "cut.*"), width - width // 3
+
+
 def links(prints: DataFrame) -> DataFrame:
     """From a table of distinct fingerprints (print), links (u, v) that connect all within the radius."""
-    pairs = [(i, j) for i in range(4) for j in range(i)]
-    keys = [F.shiftleft(F.lit(n).cast("long"), 32) + F.shiftleft(_block(i), 16) + _block(j) for n, (i, j) in enumerate(pairs)]
-    keyed = prints.select("print", F.explode(F.array(*keys)).alias("shard"))
-    hot = common.stored(keyed.groupBy("shard").count().filter(F.col("count") > SHARD_ROWS).select("shard", F.lit(True).alias("hot")), "hot-shards")
-    cuts = F.array(F.lit(-1).cast("long"))
-    if not hot.isEmpty():
-        keyed = common.join_same(keyed, hot, ["shard"], "left")
-        rest = F.lit(0).cast("long")
-        for n, pair in enumerate(pairs):
-            open_blocks = [k for k in range(4) if k not in pair]
-            rest = F.when(F.shiftrightunsigned("shard", 32) == n, F.shiftleft(_block(open_blocks[1]), 16) + _block(open_blocks[0])).otherwise(rest)
-        cut = lambda n, low, bits: F.lit(n << 32).cast("long") + F.shiftrightunsigned(rest, low).bitwiseAND((1 << bits) - 1)
-        cuts = F.when(F.col("hot"), F.array(cut(0, 0, 11), cut(1, 11, 11), cut(2, 22, 10))).otherwise(cuts)
-    cut_rows = keyed.select("print", "shard", F.explode(cuts).alias("cut"))
-    sorted_rows = cut_rows.repartition("shard", "cut").sortWithinPartitions("shard", "cut")
-    return sorted_rows.mapInArrow(_links, "u long, v long")
+    keys = []
+    for n, (i, j) in enumerate((i, j) for i in range(4) for j in range(i)):
+        low, high = (k for k in range(4) if k not in (i, j))
+        shard = F.shiftleft(F.lit(n).cast("long"), 32) + F.shiftleft(_block(i), 16) + _block(j)
+        keys.append(F.struct(shard.alias("shard"), (F.shiftleft(_block(high), 16) + _block(low)).alias("rest")))
+    rows, width, done = prints.select("print", F.explode(F.array(*keys)).alias("key")).select("print", "key.*"), 32, []
+    while True:
+        hot = common.stored(rows.groupBy("shard").count().filter(F.col("count") > SHARD_ROWS).select("shard"), "hot-shards")
+        if hot.isEmpty() or width <= 2:
+            break
+        done.append(rows.join(hot, "shard", "left_anti").select("print", "shard"))
+        rows, width = _cuts(rows.join(hot, "shard", "left_semi"), width)
+        rows = common.stored(rows, "cut-shards")
+    rows = rows.select("print", "shard")
+    for more in done:
+        rows = rows.unionByName(more)
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links, "u long, v long")
 
 
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", also: dict[str, Column] | None = None) -> DataFrame:
-    """Per row of docs: doc_id, print (the fingerprint as a long) and component_id; `also` names more columns to keep."""
+    """Per row of docs: doc_id, print (the fingerprint as a long), component_id and root (the least print of the component);
+    `also` names more columns to keep."""
     lean = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[c.alias(n) for n, c in (also or {}).items()])
     kept = [f for f in lean.schema.fields if f.name != "text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "print long"])
@@ -169,7 +185,7 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", also: dict
     roots = graphs.components(links(points.select("print"))).withColumnsRenamed({"u": "print"})
     joined = common.join_same(points, roots, ["print"], "left").withColumn("root", F.coalesce("root", "print"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.join_same(joined.select("print", "root"), least, ["root"]).select("print", "component_id")
+    named = common.join_same(joined.select("print", "root"), least, ["root"])
     return common.join_same(slim, named, ["print"])
 
 
@@ -179,41 +195,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def alike(docs: DataFrame, text: str, key: str, shingle: int, similarity: float, digest: Column) -> DataFrame:
-    """Per row of docs: doc_id, digest and component_id (the least id of the texts linked at the similarity)."""
+    """Per row of docs: doc_id, digest and root (of the texts linked at the similarity)."""
     slim = docs.select(F.col(key).alias("doc_id"), digest.alias("digest"), similar.point_of(F.col(text)).alias("point"))
-    points = slim.groupBy("point").agg(F.min("doc_id").alias("first"))
     roots = similar.roots(docs, F.col(text), shingle, similarity)
-    joined = common.stored(common.join_same(points, roots, ["point"], "left").withColumn("root", F.coalesce("root", "point")), "alike")
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.join_same(joined.select("point", "root"), least, ["root"]).select("point", "component_id")
-    return common.join_same(slim, named, ["point"])
+    return common.join_same(slim, roots, ["point"], "left").select("doc_id", "digest", F.coalesce("root", "point").alias("root"))
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The row of each group with the group's least id, once, with the columns of docs.
 
-    Groups are those of the fingerprints or, with a similarity, of the exact Jaccard similarity of shingles. Rows without an id stay unless their group has one with an id.
+    Groups are those of the fingerprints or, with a similarity, of the exact Jaccard similarity of shingles. Of a group's
+    texts under its least id, that with the least digest stays; an id that is used in several groups may stay in each.
+    Rows without an id stay unless their group has one with an id.
     """
-    (digest,) = common.fresh(docs, "__digest")
+    digest, own, of = common.fresh(docs, "__digest", "__id", "__d")
     hashed = F.xxhash64(F.sha2(common.text_of(text), 256))
     groups = grouped(docs, text, key, {"digest": hashed}) if similarity is None else alike(docs, text, key, shingle, similarity, hashed)
-    found = groups.filter("doc_id <=> component_id").groupBy("doc_id", "digest").count()
-    found = common.stored(found, "first")
+    groups = common.stored(groups.groupBy("doc_id", "digest", "root").count(), "near-groups")
+    first = groups.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "digest", "count")).alias("first")).select("root", "first.*")
+    first = common.stored(first, "first")
     keyed = docs.withColumn(digest, hashed)
-    keyed = keyed.withColumnsRenamed({key: "doc_id"}) if key != "doc_id" else keyed
-    names = {"doc_id": "__id", "digest": "__d"}
 
     def those(rows: DataFrame) -> DataFrame:
-        want = rows.select("doc_id", "digest").withColumnsRenamed(names)
-        return keyed.join(want, keyed["doc_id"].eqNullSafe(want["__id"]) & (keyed[digest] == want["__d"]), "left_semi")
-
-    out = those(found)
-    repeated = found.filter("count > 1 AND doc_id IS NOT NULL")
-    if not repeated.isEmpty():
-        out = those(found.filter("count = 1 OR doc_id IS NULL")).unionByName(those(repeated).dropDuplicates(["doc_id", digest]))
-    # a group's least id may be on rows with different texts: the first of them by digest stays
-    texts = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("d")).filter("n > 1")
-    if not texts.isEmpty():
-        more = texts.select(F.col("doc_id").alias("__id"), F.col("d").alias("__d"))
-        out = out.join(more, out["doc_id"] == more["__id"], "left").filter(F.col("__d").isNull() | (F.col("__d") == F.col(digest))).drop("__id", "__d")
-    return out.withColumnsRenamed({"doc_id": key}).select(*docs.columns)
+        want = rows.select(F.col("doc_id").alias(own), F.col("digest").alias(of))
+        return keyed.join(want, (F.col(key) == F.col(own)) & (F.col(digest) == F.col(of)), "left_semi")
+
+    repeated = first.filter("count > 1")
+    if repeated.isEmpty():
+        out = those(first)
+    else:
+        out = those(first.filter("count = 1")).unionByName(those(repeated).dropDuplicates([key, digest]))
+    nameless = groups.filter("doc_id IS NULL").join(first.select("root"), "root", "left_anti")
+    if not nameless.isEmpty():
+        want = nameless.select(F.col("digest").alias(of)).distinct()
+        out = out.unionByName(keyed.filter(F.col(key).isNull()).join(want, F.col(digest) == F.col(of), "left_semi"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from emulsia.llm import common, mixing, packing
+from emulsia.llm import common, mixing, packing, simhash
 
 OWN = "__rank __range __run __sum_0 __base_0 __g0 __d __n __p __item __piece __key __part __copy __digest __id __who __count __at __hits __size __nth".split()
 
@@ -100,3 +100,15 @@ def test_drawn_counts_deal_the_slots(spark):
         n = len(mine)
         # a multinomial draw: no count is the same for all shards, none is six deviations off
         assert all(abs(count[s, k] - n / shards) < 6 * (n / shards) ** 0.5 for k in range(shards)) and len({count[s, k] for k in range(shards)}) > 1
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_one_id_in_two_groups_stays_in_each(spark, similarity):
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a, 1), (5, b, 2), (7, a, 3), (8, b, 4), (9, c, 5), (9, c, 6), (None, d, 7), (None, a, 8), (None, d, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__d` int")
+    got = simhash.keep_first(docs, shingle=5, similarity=similarity)
+    assert got.columns == docs.columns
+    assert sorted(Counter((r["doc_id"], r["text"]) for r in got.collect()).items(), key=repr) == sorted({(5, a): 1, (5, b): 1, (9, c): 1, (None, d): 2}.items(), key=repr)
