@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulsia import settings
-from emulsia.functions import exif, probe
+from emulsia import photos, settings, tools
+from emulsia.functions import exif, png, probe
 from emulsia.functions import metadata as M
 from emulsia.functions import pixels as P
 from emulsia.operators import reports
-from emulsia.sources import ledger
+from emulsia.sources import container, ledger
 
 from .ledgers import FILES, RESULTS, STATUS, results_of
 from .measures import PAIR, SSIM_SQL, pairs, parts
@@ -197,3 +197,57 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("file"), "status", "mode", F.lit(None).cast("string").alias("codec"), F.col("original_size").alias("original_bytes"), F.when(done, F.col("compressed_size")).alias("output_bytes"),
         F.when(done, reports.ratio(F.col("original_size"), F.col("compressed_size"))).alias("ratio"), (F.col("doc_id") % 100).alias("quality"), F.lit(None).cast("int").alias("faces"),
     ))
+
+
+GREY = "SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, trunc(128 + CAST(x AS DOUBLE) * 300))) AS INT)) AS g FROM embeddings"
+
+
+def rasters(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
+    """vec_id, path and a grey PNG of each embedding as an 8x8 raster, enlarged."""
+    grey = table(spark, sf_dir, "embeddings").select("vec_id", P.clipped(F.transform("embedding", lambda x: 128 + x.cast("double") * 300), 8).alias("g"))
+    return grey.select("vec_id", F.col("vec_id").cast("string").alias("path"), png.grey_png("g", F.lit(8), F.lit(times)).alias("content"))
+
+
+@query(f"WITH g AS ({GREY}) SELECT vec_id, 64 AS samples, CAST(list_sum(g) AS BIGINT) AS total, g[64] AS last FROM g")
+def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters written as PNG and read back."""
+    v = rasters(spark, sf_dir, 1).select("vec_id", png.png_values("content").alias("v"))
+    return v.select("vec_id", F.size("v").alias("samples"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("v", -1).alias("last"))
+
+
+def _middle(image) -> list:
+    """Stands for a detector: one face in the middle."""
+    height, width = image.shape[:2]
+    return [(width // 4, height // 4, 3 * width // 4, 3 * height // 4, 0.9)]
+
+
+@query(f"WITH g AS ({GREY}) SELECT vec_id, 'ok' AS status, 'png' AS codec, 1 AS faces, CAST(3 * 4 * list_sum(g) AS BIGINT) AS total, 1.0::DOUBLE AS similarity FROM g")
+def photo_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters as photos through the faithful mode without loss."""
+    chosen = settings.resolve(flags={"faithful.lossless": True, "faithful.verify_thorough": True, "faithful.skip_if_larger": False})
+    done = photos.compress_faithful(rasters(spark, sf_dir, 2), chosen, _middle).withColumn("v", png.png_values("content"))
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x)
+    return done.select(F.col("path").cast("long").alias("vec_id"), "status", "codec", "faces", total.alias("total"), F.round("similarity", 9).alias("similarity"))
+
+
+@query("SELECT vec_id, TRUE AS sound, 1 AS faces, 32 AS width, 32 AS height, 0.25::DOUBLE AS scale, 3072 AS samples FROM embeddings")
+def photo_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters as photos into containers, their audit, and what comes back."""
+    chosen = settings.resolve(flags={"aggressive.content_aware": False})
+    packed = photos.compress_photos(rasters(spark, sf_dir, 4), chosen, _middle)
+    read = container.read_containers(packed)
+    sound = container.audit(read).select("path", F.col("ok").alias("sound"))
+    facts = read.select("path", F.size("manifest.faces").alias("faces"), "manifest.original.width", "manifest.original.height", F.col("manifest.settings.bg_scale").alias("scale"))
+    back = photos.restore_photos(packed).select("path", F.size(png.png_values("content")).alias("samples"))
+    return facts.join(sound, "path").join(back, "path").select(F.col("path").cast("long").alias("vec_id"), "sound", "faces", "width", "height", "scale", "samples")
+
+
+@query("""SELECT p_partkey, 'ffmpeg -y -hide_banner -nostdin -loglevel error -i in/' || p_partkey || '.mov -map 0:v:0 -map 0:a:0? -map_metadata 0 -fps_mode passthrough -c:v libsvtav1 -crf ' || p_size || ' -preset 6 -svtav1-params tune=0 -pix_fmt '
+  || CASE WHEN p_size % 2 = 0 THEN 'yuv420p10le' ELSE 'yuv420p' END || CASE WHEN p_size % 3 = 0 THEN ' -dolbyvision 1 -strict unofficial' ELSE '' END || ' -c:a copy -movflags +faststart+use_metadata_tags -f mp4 out/' || p_partkey || '.mp4' AS command,
+  '[0:v]' || s || 'settb=AVTB,setpts=N/(30*TB)[d];[1:v]' || s || 'settb=AVTB,setpts=N/(30*TB)[r];[d][r]libvmaf=model=version=vmaf_v0.6.1:n_threads=4:eof_action=endall:log_fmt=json:log_path=vmaf.json' AS graph
+FROM (SELECT *, CASE WHEN p_size % 5 <> 0 THEN 'scale=-2:1080:flags=bicubic,' ELSE '' END AS s FROM part)""")
+def clip_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commands that encode clips and the graphs that score them."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size")
+    command = tools.clip_command(F.concat(F.lit("in/"), k, F.lit(".mov")), F.concat(F.lit("out/"), k, F.lit(".mp4")), n, F.lit(6), n % 2 == 0, n % 3 == 0)
+    return parts(spark, sf_dir).select("p_partkey", F.array_join(command, " ").alias("command"), tools.score_graph(F.lit("vmaf_v0.6.1"), n % 5 != 0, 4).alias("graph"))
