@@ -6,8 +6,10 @@ Encoders and detectors are plug-ins, given as module:function; without an encode
 from __future__ import annotations
 
 import argparse
+import base64
 import importlib
 import json
+import math
 import sys
 import time
 import uuid
@@ -15,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulsia import detectors, settings
+from emulsia import codecs, detectors, photos, settings
 from emulsia.errors import EmulsiaError, SettingsError
 from emulsia.operators import reports
 from emulsia.plans import batch
@@ -124,6 +126,44 @@ def watch(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def restore(spark: SparkSession, args: argparse.Namespace) -> int:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(args.folder).select("path", "content")
+    target = f"{args.output.rstrip('/')}/restored-{uuid.uuid4().hex[:8]}"
+    photos.restore_photos(files).write.parquet(target)  # restored once: files and report read it
+    done = spark.read.schema(photos.RESULT).parquet(target)
+    name = F.concat(F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.zip$", ""), F.lit(".png"))
+    show(sinks.write_files(done.filter("status = 'ok'").select(name.alias("name"), "content"), args.output).orderBy("name"))
+    bad = done.filter("status <> 'ok'").select("path", "error").orderBy("path")
+    show(bad)
+    return 1 if bad.limit(1).count() else 0
+
+
+def pair(args: argparse.Namespace) -> tuple[list[bytes], dict[str, object]]:
+    """Two pictures and how alike they are."""
+    data = [open(p, "rb").read() for p in (args.before, args.after)]
+    a, b = (photos.load(d).image for d in data)
+    if a.shape != b.shape:
+        b = photos.enlarged(b, *a.shape[:2]).round().clip(0, 255).astype(a.dtype)
+    error = float(((codecs.unit(a) - codecs.unit(b)) ** 2).mean())
+    psnr = float("inf") if error == 0 else -10 * math.log10(error)
+    return data, {"psnr": psnr, "ssim": codecs.similarity(a, b), "ratio": len(data[0]) / len(data[1]) if data[1] else 0.0}
+
+
+def quality(spark: SparkSession | None, args: argparse.Namespace) -> int:
+    print(json.dumps(pair(args)[1]))
+    return 0
+
+
+def compare(spark: SparkSession | None, args: argparse.Namespace) -> int:
+    data, facts = pair(args)
+    path = args.output or f"{args.after.rpartition('.')[0]}_compare.html"
+    uri = lambda d: "data:image/png;base64," + base64.b64encode(d).decode()
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(sinks.comparison_page("Before and after", {"before": uri(data[0]), "after": uri(data[1])}, [(k, f"{v:.4f}", "") for k, v in facts.items()]))
+    print(path)
+    return 0
+
+
 def backends(spark: SparkSession | None, args: argparse.Namespace) -> int:
     print("\n".join(detectors.known_backends()))
     return 0
@@ -157,6 +197,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder")
     p.add_argument("--interval", type=float, default=30)
     p.add_argument("--cycles", type=int)
+    p = command(restore, "restore the containers of a folder as PNG files")
+    p.add_argument("folder")
+    p.add_argument("-o", "--output", required=True)
+    for run, text in ((quality, "how alike two pictures are"), (compare, "a page with two pictures side by side")):
+        p = command(run, text, session=False)
+        p.add_argument("before")
+        p.add_argument("after")
+        if run is compare:
+            p.add_argument("-o", "--output")
     command(backends, "list the known detectors", session=False)
     return top
 

@@ -59,3 +59,22 @@ def test_watch_takes_files_that_stay(run, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"x")
     assert [(r["files"], r["stable"]) for r in run("watch", tmp_path, "--interval", 0, "--cycles", 2)[1]] == [(1, 0), (1, 1)]
     assert cli.main(["backends"]) == 0
+
+
+def test_restore_quality_and_compare(run, capsys, tmp_path):
+    import numpy as np
+
+    from emulsia import photos, settings
+    from emulsia.functions import png
+
+    image = np.kron(np.arange(64, dtype=np.uint8).reshape(8, 8), np.ones((6, 6), dtype=np.uint8))[..., None].repeat(3, axis=2)
+    chosen = settings.resolve(flags={"aggressive.content_aware": False})
+    photo = photos.Photo(image)
+    (tmp_path / "a.zip").write_bytes(photos.pack("a.png", b"x", photo, photos.plan(photo, [], chosen), chosen))
+    (tmp_path / "b.zip").write_bytes(b"junk")
+    code, rows = run("restore", tmp_path, "-o", tmp_path / "out")
+    assert code == 1 and [r.get("name") for r in rows] == ["a.png", None] and "ContainerError" in rows[1]["error"]
+    (tmp_path / "before.png").write_bytes(png.encode(image))
+    (facts,) = run("quality", tmp_path / "before.png", tmp_path / "out" / "a.png")[1]
+    assert facts["psnr"] > 25 and 0.5 < facts["ssim"] <= 1
+    assert run("compare", tmp_path / "before.png", tmp_path / "out" / "a.png")[0] == 0 and "<figure>" in (tmp_path / "out" / "a_compare.html").read_text()
