@@ -180,20 +180,21 @@ def thresholds(tokens: DataFrame) -> DataFrame:
     return bins.groupBy("klass").agg(F.coalesce(F.max(F.when(edge <= FDR * F.col("k") / F.col("m"), F.col("bin"))), F.lit(-1)).alias("last"))
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, base (spans of the base kinds) and spans (these and those of random tokens that no base span meets)."""
-    t = common.text_of(text)
-    lean = docs.select(F.col(key).alias("doc_id"), t.alias("text"))
-    found = lean.select("doc_id", base_spans(F.col("text")).alias("base"), F.transform(token_spans(F.col("text")), lambda s: F.struct(s.alias("span"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("token"))).alias("tokens"))
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", also: dict[str, Column] | None = None) -> DataFrame:
+    """Per row: key, base (spans of the base kinds) and spans (these and those of random tokens that no base span meets);
+    `also` names more columns to keep."""
+    t, more = common.text_of(text), list(also or {})
+    lean = docs.select(F.col(key).alias("doc_id"), t.alias("text"), *[c.alias(n) for n, c in (also or {}).items()])
+    found = lean.select("doc_id", *more, base_spans(F.col("text")).alias("base"), F.transform(token_spans(F.col("text")), lambda s: F.struct(s.alias("span"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("token"))).alias("tokens"))
     free = F.filter("tokens", lambda x: ~F.exists("base", lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"])))
-    judged = found.select("doc_id", "base", F.transform(free, lambda x: F.struct(x["span"].alias("span"), _length_class(F.length(x["token"])).alias("klass"), _bin(secrecy(x["token"])).alias("bin"))).alias("tokens"))
+    judged = found.select("doc_id", *more, "base", F.transform(free, lambda x: F.struct(x["span"].alias("span"), _length_class(F.length(x["token"])).alias("klass"), _bin(secrecy(x["token"])).alias("bin"))).alias("tokens"))
     judged = common.stored(judged, "secret-tokens")
     limits = thresholds(judged.select(F.explode("tokens").alias("t")).select("t.klass", "t.bin"))
     # at most nine length classes
     table = limits.agg(F.map_from_entries(F.collect_list(F.struct("klass", "last"))).alias("limits"))
     joined = judged.withColumn("limits", table.scalar())
     random = F.transform(F.filter("tokens", lambda x: x["bin"] <= F.coalesce(F.try_element_at("limits", x["klass"]), F.lit(-1))), lambda x: x["span"])
-    return joined.select(F.col("doc_id").alias(key), "base", F.array_sort(F.concat("base", random)).alias("spans"))
+    return joined.select(F.col("doc_id").alias(key), *more, "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -210,8 +211,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[secret]", text: str = "text", key: str = "doc_id") -> DataFrame:
     """key and the text with every span replaced by mask; overlapping spans become one mask."""
-    found = scan(docs, text, key).select(F.col(key).alias("__id"), "spans").distinct()
-    joined = docs.join(found, docs[key].eqNullSafe(found["__id"]))
+    digest = F.xxhash64(F.sha2(common.text_of(text), 256))
+    found = scan(docs, text, key, {"__digest": digest}).select("__digest", "spans").distinct()
+    joined = docs.select(key, text, digest.alias("__of")).join(found, F.col("__of") == F.col("__digest"))
     step = lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),

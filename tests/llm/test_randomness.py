@@ -102,3 +102,9 @@ def test_a_very_long_token_is_judged_whole(spark):
     rows = [(1, f"a {token} b"), (2, "a " + "xy" * 30_000 + " b")]
     got = {r["doc_id"]: r["spans"] for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "random:2:60002", 2: ""}
+
+
+def test_redaction_of_one_id_with_two_texts(spark):
+    rows = [(1, "password=hunter22 ok"), (1, "no secret here"), (1, "no secret here"), (None, None)]
+    got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string"), "#").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("1", "# ok"), ("1", "no secret here"), ("1", "no secret here"), ("None", "")]
