@@ -87,3 +87,8 @@ def post_filter(found: DataFrame, width: int, height: int, nms_iou: float = 0.3,
     keyed = F.transform(F.filter("faces", plausible), lambda f, i: F.struct((-f["confidence"]).alias("c"), (-B.area(f)).alias("a"), i.alias("i"), f.alias("f")))
     ranked = F.transform(F.sort_array(keyed), lambda k: k["f"])
     return found.select("path", B.suppress(ranked, nms_iou, True, "struct<x1:int,y1:int,x2:int,y2:int,confidence:double>").alias("faces"))
+
+
+def faces_in_clips(frames: DataFrame) -> DataFrame:
+    """(path, faces) from frames (path, faces): the most faces of a sampled frame; a frame that failed counts as none."""
+    return frames.groupBy("path").agg(F.max(F.coalesce(F.size("faces"), F.lit(0))).cast("int").alias("faces"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from emulsia import codecs
 from emulsia.errors import ContainerError, EmulsiaError, PlanError, RestoreError, SkipFile
@@ -292,3 +293,24 @@ def restore_photos(containers: DataFrame, settings: dict[str, object] | None = N
         return "ok", "png", png.encode(photo.image, photo.exif, photo.icc), faces, None
 
     return _each(containers, one)
+
+
+def bench(files: DataFrame, settings: dict[str, object], detect: Detect) -> DataFrame:
+    """A benchmark's rows of both modes: the sizes, the ratio, and the similarity of what comes back; nothing is written."""
+
+    def aggressive(path: str, data: bytes) -> tuple:
+        photo = load(data, bool(settings["strip_gps"]))
+        chosen = plan(photo, detect(photo.image), settings)
+        out = pack(path.rsplit("/", 1)[-1], data, photo, chosen, settings)
+        return "ok", "container", out, len(chosen.faces), codecs.similarity(photo.image, rebuild(out, settings=settings).image)
+
+    modes = {"faithful": compress_faithful(files, settings | {"faithful.verify_thorough": True}, detect), "aggressive": _each(files, aggressive)}
+    rows = None
+    for mode, done in modes.items():
+        ok = F.col("status").isin("ok", "skipped-larger")
+        cells = done.select(
+            F.col("path").alias("file"), F.lit(mode).alias("mode"), "status", F.when(ok, F.try_divide(F.col("original_size").cast("double"), F.col("compressed_size"))).alias("ratio"), F.col("similarity").alias("ssim"),
+            F.lit(None).cast("double").alias("restore_lpips"), "faces", F.when(ok, F.col("original_size")).alias("original_bytes"), F.when(ok, F.col("compressed_size")).alias("output_bytes"), "error",
+        )
+        rows = cells if rows is None else rows.unionByName(cells)
+    return rows

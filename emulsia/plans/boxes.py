@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emulsia import detectors
 from emulsia.functions import boxes as B
 
 from .registry import registrar, table
@@ -244,3 +245,11 @@ def hand_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrays = ordered(faces(spark, sf_dir))
     found = F.when(F.col("image") % 3 == 0, F.slice("boxes", 1, 1)).otherwise(F.array().cast(B.BOXES))
     return arrays.select("image", F.inline(B.hand_regions(found, F.col("boxes"), *frame())))
+
+
+@query(f"WITH {FACE}, f AS (SELECT image, x1 % 3 AS frame, count(*) FILTER (WHERE conf > 0.02::DOUBLE) AS n FROM face GROUP BY image, x1 % 3) SELECT image, CAST(max(n) AS INT) AS faces FROM f GROUP BY image")
+def clip_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most faces of a sampled frame of each clip."""
+    sure = F.collect_list(F.when(F.col("conf") > 0.02, F.col("box")))
+    frames = faces(spark, sf_dir).groupBy("image", (F.col("box.x1") % 3).alias("frame")).agg(sure.alias("faces")).withColumnsRenamed({"image": "path"})
+    return detectors.faces_in_clips(frames).withColumnsRenamed({"path": "image"})

@@ -175,3 +175,14 @@ def test_sample_command(spark):
     rows = spark.createDataFrame([(0.0,), (2.5,)], "s double")
     got = [r["c"] for r in rows.coalesce(1).select(tools.sample_command(F.lit("a.mov"), F.lit("t.mp4"), F.col("s"), F.lit(3.0), F.lit(30), F.lit(6), F.lit(False)).alias("c")).collect()]
     assert "-ss" not in got[0] and got[1][got[1].index("-ss") + 1] == "2.500" and got[1][-1] == "t.mp4" and "-an" in got[1]
+
+
+def test_bench_of_both_modes(spark, tmp_path):
+    from emulsia.sources import sinks
+
+    files = spark.createDataFrame([("a.png", png.encode(picture(), level=0)), ("b.png", b"junk")], "path string, content binary")
+    rows = photos.bench(files, settings.resolve(flags={"faithful.lossless": True, "aggressive.content_aware": False}), face)
+    sinks.save_baseline(rows, str(tmp_path / "baseline"))
+    got = {(r["file"], r["mode"]): r for r in sinks.load_baseline(spark, str(tmp_path / "baseline")).collect()}
+    assert len(got) == 4 and got["a.png", "faithful"]["ssim"] == 1.0 and 0.3 < got["a.png", "aggressive"]["ssim"] < 1 and min(got["a.png", m]["ratio"] for m in ("aggressive", "faithful")) > 1
+    assert got["b.png", "aggressive"]["status"] == "failed" and got["b.png", "aggressive"]["ratio"] is None
