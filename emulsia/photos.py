@@ -37,6 +37,8 @@ class Photo:
     exif: bytes | None = None
     icc: bytes | None = None
     orientation: int = 1
+    gain: np.ndarray | None = None
+    gain_xmp: bytes | None = None
 
     @property
     def bits(self) -> int:
@@ -49,7 +51,10 @@ def upright(image: np.ndarray, orientation: int) -> np.ndarray:
 
 
 def load(data: bytes, strip_place: bool = False) -> Photo:
-    """A photo turned upright, its EXIF block saying so, and without its place if that is asked; grey becomes three channels."""
+    """A photo turned upright, its EXIF block saying so, and without its place if that is asked; grey becomes three channels.
+
+    A gain map behind the picture is stored unturned like the picture, so it is turned with it.
+    """
     image = codecs.decode(data)
     block, icc = png.extras(data) if data.startswith(png.SIGNATURE) else (exif.exif_of(data), exif.profile_of(data)) if data[:2] == b"\xff\xd8" else (None, None)
     turn = exif.read_orientation(block)
@@ -60,7 +65,10 @@ def load(data: bytes, strip_place: bool = False) -> Photo:
         image = image[..., :-1]
     if image.ndim == 2 or image.shape[2] == 1:
         image = np.repeat(image.reshape(*image.shape[:2], 1), 3, axis=2)
-    return Photo(upright(image, turn), block, icc, turn)
+    photo = Photo(upright(image, turn), block, icc, turn)
+    if found := exif.gain_map_of(data) if data[:2] == b"\xff\xd8" else None:
+        photo.gain, photo.gain_xmp = upright(codecs.decode(found[1]), turn), found[2]
+    return photo
 
 
 def luma(image: np.ndarray) -> np.ndarray:
@@ -159,9 +167,12 @@ def pack(name: str, data: bytes, photo: Photo, chosen: Plan, settings: dict[str,
         members["exif.bin"] = photo.exif
     if photo.icc:
         members["icc.bin"] = photo.icc
+    gain = photo.gain is not None and bool(settings["faithful.preserve_gain_map"])
+    if gain:
+        members |= {"gain_map.png": png.encode(photo.gain), "gain_map.xmp": photo.gain_xmp or b""}
     manifest = json.loads(container.manifest_text(name, width, height, chosen.faces, [{"id": i, "bbox": list(r), "scale": 1.0} for i, r in enumerate(chosen.regions)]))
     manifest["original"] |= {"size_bytes": len(data), "hash_sha256": hashlib.sha256(data).hexdigest(), "orientation": photo.orientation}
-    manifest |= {"exif_preserved": photo.exif is not None, "icc_preserved": photo.icc is not None, "settings": {"bg_scale": chosen.scale, "bg_codec": "png", "face_codec": "png", "blend_mode": settings["aggressive.blend_mode"], "residual": bool(settings["aggressive.residual"]), "preset": settings["aggressive.preset"], "bit_depth": 8}}
+    manifest |= {"exif_preserved": photo.exif is not None, "icc_preserved": photo.icc is not None, "gain_map_preserved": gain, "settings": {"bg_scale": chosen.scale, "bg_codec": "png", "face_codec": "png", "blend_mode": settings["aggressive.blend_mode"], "residual": bool(settings["aggressive.residual"]), "preset": settings["aggressive.preset"], "bit_depth": 8}}
     return container.pack(json.dumps(manifest, sort_keys=True), members)
 
 
@@ -230,7 +241,8 @@ def rebuild(data: bytes, upscale: Callable[[np.ndarray, int, int], np.ndarray] |
     boxes = [(kind, tuple(e["bbox"] if kind == "regions" else e["padded_bbox"])) for kind in ("regions", "faces") for e in manifest.get(kind) or []]
     pictures = [*patches["regions"], *patches["faces"]]
     laid = [(b, enlarged(p, b[3] - b[1], b[2] - b[0]), mask(b[3] - b[1], b[2] - b[0])) for (_, b), p in zip(boxes, pictures)]
-    return Photo(_samples(restore.composite(out, laid), np.dtype(np.uint8)), members.get("exif.bin"), members.get("icc.bin"))
+    gain = png.decode(members["gain_map.png"]) if "gain_map.png" in members else None
+    return Photo(_samples(restore.composite(out, laid), np.dtype(np.uint8)), members.get("exif.bin"), members.get("icc.bin"), gain=gain, gain_xmp=members.get("gain_map.xmp"))
 
 
 RESULT = "path string, status string, codec string, content binary, original_size long, compressed_size long, faces int, similarity double, error string"

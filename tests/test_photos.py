@@ -186,3 +186,24 @@ def test_bench_of_both_modes(spark, tmp_path):
     got = {(r["file"], r["mode"]): r for r in sinks.load_baseline(spark, str(tmp_path / "baseline")).collect()}
     assert len(got) == 4 and got["a.png", "faithful"]["ssim"] == 1.0 and 0.3 < got["a.png", "aggressive"]["ssim"] < 1 and min(got["a.png", m]["ratio"] for m in ("aggressive", "faithful")) > 1
     assert got["b.png", "aggressive"]["status"] == "failed" and got["b.png", "aggressive"]["ratio"] is None
+
+
+def test_a_gain_map_is_turned_with_its_photo():
+    from .test_media import jpeg, segment
+
+    held = lambda x, *parts: jpeg(*parts).replace(b"scan", png.encode(x))
+    codec = codecs.Codec("jpg", lambda image, q: held(image), lambda data: png.decode(data[data.index(png.SIGNATURE) :]), lambda data: data[:2] == b"\xff\xd8")
+    image, gain = picture(), RNG.integers(0, 256, (60, 80)).astype(np.uint8)
+    xmp = b'<x xmlns:hdrgm="http://ns.adobe.com/hdr-gain-map/1.0/" hdrgm:Version="1.0"/>'
+    behind = held(gain, segment(0xE1, exif.XMP_NAME + xmp))
+    mpf = lambda total, mark, n: segment(0xE2, exif.MPF_NAME + b"II" + struct.pack("<HIH", 42, 8, 1) + struct.pack("<HHII", 0xB002, 7, 32, 26) + struct.pack("<I", 0) + struct.pack("<IIIHH", 0, total, 0, 0, 0) + struct.pack("<IIIHH", 0, n, total - mark, 0, 0))
+    data = exif.with_gain_map(held(image, segment(0xE1, exif.EXIF_NAME + located("<"))), behind, lambda n: f"<x>{n}</x>", mpf, lambda p: segment(0xE1, exif.XMP_NAME + p.encode()))
+    codecs.register(codec)
+    try:
+        photo = photos.load(data)
+        assert photo.image.shape == (160, 120, 3) and (photo.gain == np.rot90(gain, 3)).all() and photo.gain_xmp == xmp
+        chosen = settings.resolve(flags={"aggressive.content_aware": False})
+        packed = photos.pack("a.jpg", data, photo, photos.plan(photo, [], chosen), chosen)
+        assert photos.unpack(packed)[0]["gain_map_preserved"] and (photos.rebuild(packed).gain == photo.gain).all()
+    finally:
+        codecs.unregister("jpg")
