@@ -24,9 +24,6 @@ from emulsia.plans import batch
 from emulsia.session import build_session
 from emulsia.sources import archive, container, ledger, sinks
 
-LEDGER = "path string, content_hash string, fingerprint string, output_path string, size long, mtime long, mode string, status string"
-
-
 def plugin(name: str):
     """The object that module:name names."""
     module, colon, attribute = name.partition(":")
@@ -40,16 +37,6 @@ def layered(args: argparse.Namespace) -> dict[str, object]:
     return settings.resolve(settings.load(args.config) if args.config else None, flags, args.preset)
 
 
-def read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
-    """The ledger's table; empty before the first run."""
-    try:
-        return spark.read.schema(LEDGER).parquet(path) if path else spark.createDataFrame([], LEDGER)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], LEDGER)
-
-
 def show(rows: DataFrame) -> None:
     """Rows of a result, a line of JSON each; they pass through the driver a partition at a time."""
     for r in rows.select(F.to_json(F.struct("*")).alias("line")).toLocalIterator():
@@ -67,7 +54,8 @@ def scanned(spark: SparkSession, folder: str, chosen: dict[str, object], content
 
 def compress(spark: SparkSession, args: argparse.Namespace) -> int:
     chosen = layered(args)
-    known = read_ledger(spark, args.ledger)
+    kept = ledger.Table(spark, args.ledger, ledger.PROCESSED) if args.ledger else None
+    known = kept.read() if kept else spark.createDataFrame([], ledger.PROCESSED)
     outputs = known.select("output_path").distinct()
     flagged = ledger.with_hits(scanned(spark, args.folder, chosen, True), known, outputs)
     misses = flagged.filter(~F.col("hit")).drop("hit")
@@ -78,12 +66,10 @@ def compress(spark: SparkSession, args: argparse.Namespace) -> int:
     target = f"{args.output.rstrip('/')}/runs/{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
     results.write.parquet(target)  # encoders run once: what follows reads their results
     done = spark.read.schema(batch.RESULT).parquet(target)
-    if args.ledger:
+    if kept:
         stats = flagged.select("path", "size", "mtime")
-        changes = done.filter(F.col("status").isin(*ledger.RECORDED)).join(stats, "path").select("path", "content_hash", "fingerprint", "output_path", "size", "mtime", "mode", "status")
-        fresh = known.join(changes.select("path"), "path", "left_anti").unionByName(changes)
-        fresh.write.parquet(f"{target}-ledger")
-        spark.read.schema(LEDGER).parquet(f"{target}-ledger").write.mode("overwrite").parquet(args.ledger)
+        with kept:
+            kept.record(done.filter(F.col("status").isin(*ledger.RECORDED)).join(stats, "path").select(*known.columns), ["path"])
     rows = reports.totals(done.select("mode", "status", "original_size", "compressed_size"), ["mode"])
     show(rows)
     return 1 if done.filter("status = 'failed'").limit(1).count() else 0
@@ -141,7 +127,7 @@ def restore(spark: SparkSession, args: argparse.Namespace) -> int:
 def pair(args: argparse.Namespace) -> tuple[list[bytes], dict[str, object]]:
     """Two pictures and how alike they are."""
     data = [open(p, "rb").read() for p in (args.before, args.after)]
-    a, b = (photos.load(d).image for d in data)
+    a, b = (photos.load_any(d).image for d in data)
     if a.shape != b.shape:
         b = photos.enlarged(b, *a.shape[:2]).round().clip(0, 255).astype(a.dtype)
     error = float(((codecs.unit(a) - codecs.unit(b)) ** 2).mean())

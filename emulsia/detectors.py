@@ -59,6 +59,13 @@ def create_detector(name: str, **settings: object) -> Detect:
     raise DetectorError(f"unknown detector {name!r}")
 
 
+def create_hand_detector(name: str | None, **settings: object) -> Detect | None:
+    """The plug-in that finds hands, none where none is asked for or provided: hands are then guessed from the faces."""
+    if name is None or (name in BUILT_IN and name not in _plugins):
+        return None
+    return create_detector(name, **settings)
+
+
 def detect(files: DataFrame, name: str, **settings: object) -> DataFrame:
     """files (path, content) to path, faces and error; call it on cache misses only."""
     run = create_detector(name, **settings)

@@ -71,6 +71,11 @@ def load(data: bytes, strip_place: bool = False) -> Photo:
     return photo
 
 
+def load_any(data: bytes) -> Photo:
+    """A photo from a picture or, rebuilt without a model, from a container."""
+    return rebuild(data) if data[:2] == b"PK" else load(data)
+
+
 def luma(image: np.ndarray) -> np.ndarray:
     """Grey values from 0 to 255."""
     return codecs.unit(image) @ np.array([0.299, 0.587, 0.114]) * 255
