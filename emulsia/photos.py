@@ -246,6 +246,10 @@ def rebuild(data: bytes, upscale: Callable[[np.ndarray, int, int], np.ndarray] |
     boxes = [(kind, tuple(e["bbox"] if kind == "regions" else e["padded_bbox"])) for kind in ("regions", "faces") for e in manifest.get(kind) or []]
     pictures = [*patches["regions"], *patches["faces"]]
     laid = [(b, enlarged(p, b[3] - b[1], b[2] - b[0]), mask(b[3] - b[1], b[2] - b[0])) for (_, b), p in zip(boxes, pictures)]
+    if (manifest.get("settings") or {}).get("blend_mode") == "poisson":
+        for b, p, _ in laid:
+            out = np.clip(restore.poisson(out, b, p), 0, 255)
+        laid = []
     gain = png.decode(members["gain_map.png"]) if "gain_map.png" in members else None
     return Photo(_samples(restore.composite(out, laid), np.dtype(np.uint8)), members.get("exif.bin"), members.get("icc.bin"), gain=gain, gain_xmp=members.get("gain_map.xmp"))
 

@@ -121,6 +121,9 @@ def test_residuals_models_and_strategies():
     drift = lambda small, h, w: photos.enlarged(small, h, w) + 30
     plain = error(base | {"aggressive.restore_anchor": False}, upscale=drift)
     assert error(base, upscale=drift) < 0.5 * plain and error(base | {"aggressive.restore_anchor": False, "aggressive.restore_backproject_iters": 6}, upscale=drift) < 0.5 * plain
+    seam = base | {"aggressive.blend_mode": "poisson"}
+    whole = photos.rebuild(photos.pack("a.png", b"", photo, photos.plan(photo, face(image), seam), seam), settings=seam).image
+    assert whole.shape == image.shape and np.abs(whole[40:60, 50:70].astype(int) - image[40:60, 50:70]).mean() < 12
     with pytest.raises(errors.SkipFile):
         photos.plan(photo, [], base | {"aggressive.no_face_strategy": "skip"})
     aware = settings.resolve(flags={"aggressive.conservative_bg_scale": 0.7})

@@ -70,3 +70,19 @@ def test_restore_arithmetic(spark):
     assert out[0, 0] == 1 and out[3, 3] == 1.5 and out[5, 5] == 1 and out[7, 7] == 0
     row = spark.createDataFrame([([1.0, 1.0], [0.0, 4.0], [0.25, 0.5])], "f array<double>, b array<double>, m array<double>").select(R.blended(F.col("f"), F.col("b"), F.col("m")).alias("x")).first()
     assert row["x"] == [0.25, 2.5]
+
+
+def test_poisson_blending_keeps_differences_and_the_border():
+    rng = np.random.default_rng(4)
+    for shape in ((20, 24), (20, 24, 3)):
+        background, box = rng.random(shape) * 50, (3, 4, 15, 16)
+        patch = background[4:16, 3:15] + 40
+        assert np.allclose(R.poisson(background, box, patch), background)
+        patch = rng.random(patch.shape) * 50
+        out = R.poisson(background, box, patch)
+        inside = out[4:16, 3:15]
+        assert np.allclose(inside[0], background[4, 3:15]) and np.allclose(out[:4], background[:4])
+        lap = lambda x: 4 * x[1:-1, 1:-1] - x[:-2, 1:-1] - x[2:, 1:-1] - x[1:-1, :-2] - x[1:-1, 2:]
+        mixed = inside.copy()
+        assert np.allclose(lap(mixed)[1:-1, 1:-1], lap(patch)[1:-1, 1:-1])
+    assert (R.poisson(np.zeros((4, 4)), (0, 0, 2, 2), np.ones((2, 2)))[:2, :2] == 1).all()
