@@ -1,4 +1,8 @@
-"""Connected components of a graph in a table, by alternating large and small stars."""
+"""Connected components of a graph in a table, by alternating large and small stars.
+
+Defined results: an edge without one of its ends, or from a vertex to itself, links nothing; repeated edges count once;
+columns besides u and v aren't read; no edges give no rows. Vertices without an edge aren't in the result.
+"""
 
 from __future__ import annotations
 
