@@ -147,19 +147,28 @@ def mixed_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     more with the words that the last pass takes. A row with all words has the text unchanged, one with some has them
     joined by blanks, and its `chars` column, if there is one, is the length of that text."""
     columns = docs.columns
-    words, digest, nth, spans, times, of_key, of_digest, of_nth, partly, copy = common.fresh(docs, "__size", "__digest", "__nth", "__spans", "__times", "__key", "__d", "__n", "__part", "__copy")
+    names = ("__size", "__digest", "__nth", "__spans", "__times", "__key", "__d", "__n", "__part", "__copy", "__same")
+    words, digest, nth, spans, times, of_key, of_digest, of_nth, partly, copy, same_n = common.fresh(docs, *names)
     keyed = docs.withColumns({digest: F.xxhash64(F.sha2(common.text_of(text), 256), F.col(source), *[F.col(c) for c in columns if c not in (text, source, key)])})
     slim = keyed.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.col(digest).alias("digest"), F.size(split_words(F.col(text))).cast("long").alias("size"))
-    slim = slim.withColumn("nth", F.row_number().over(Window.partitionBy("key", "digest").orderBy("digest")))
+    same = Window.partitionBy("key", "digest")
+    slim = slim.withColumns({"nth": F.row_number().over(same.orderBy("digest")), "same": F.count("*").over(same)})
     slim = common.stored(slim, "mix-sizes")
     _, slots, pieces = plan(slim, slim.count())
     found = _taken(slots, pieces)
     first = F.col("block") * BLOCK + F.col("low") - F.col("start")
     span = F.struct(first.alias("from"), F.col("part").alias("n"))
-    per = found.groupBy("key", "digest", "nth", "size", "start").agg(F.min("whole").cast("int").alias("times"), F.sort_array(F.collect_list(F.when(F.col("part") > 0, span))).alias("spans"), F.sum("part").alias("part"))
-    per = per.select(F.col("key").alias(of_key), F.col("digest").alias(of_digest), F.col("nth").alias(of_nth), F.col("size").alias(words), F.col("times").alias(times), F.when(F.col("part") < F.col("size"), F.col("spans")).alias(spans), F.col("part").alias(partly))
-    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(key, digest).orderBy(digest)))
-    joined = numbered.join(per, numbered[key].eqNullSafe(per[of_key]) & (numbered[digest] == per[of_digest]) & (numbered[nth] == per[of_nth]))
+    per = found.groupBy("key", "digest", "nth", "same", "size", "start").agg(F.min("whole").cast("int").alias("times"), F.sort_array(F.collect_list(F.when(F.col("part") > 0, span))).alias("spans"), F.sum("part").alias("part"))
+    per = per.select(F.col("key").alias(of_key), F.col("digest").alias(of_digest), F.col("nth").alias(of_nth), F.col("same").alias(same_n), F.col("size").alias(words), F.col("times").alias(times), F.when(F.col("part") < F.col("size"), F.col("spans")).alias(spans), F.col("part").alias(partly))
+    per = common.stored(per, "mix-taken")
+    row = lambda df, other: df[key].eqNullSafe(other[of_key]) & (df[digest] == other[of_digest])
+    once, often = per.filter(F.col(same_n) == 1), per.filter(F.col(same_n) > 1)
+    joined = keyed.join(once.hint("merge"), row(keyed, once)).withColumn(nth, F.lit(1))
+    # only repeated rows are numbered, which takes their texts through another shuffle
+    if not often.isEmpty():
+        repeated = often.select(of_key, of_digest).distinct()
+        some = keyed.join(repeated, row(keyed, repeated), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key, digest).orderBy(digest)))
+        joined = joined.unionByName(some.join(often.hint("merge"), row(some, often) & (some[nth] == often[of_nth])))
     none = F.array().cast(joined.schema[spans].dataType)
     copies = F.concat(F.array_repeat(F.struct(F.lit(True).alias("all"), none.alias("spans")), F.col(times)), F.when(F.col(partly) > 0, F.array(F.struct(F.col(spans).isNull().alias("all"), F.coalesce(F.col(spans), none).alias("spans")))).otherwise(F.array().cast("array<struct<all:boolean,spans:array<struct<from:bigint,n:bigint>>>>")))
     out = joined.withColumn(copy, F.explode(copies))
