@@ -45,7 +45,6 @@ MERGE_CELLS = 4 << 20  # cells that one range of a sketch's row brings together
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _TAG = np.uint64(0xFFFFFFFF00000000)
-_VOCABULARY = 1 << 18
 _HEAD = struct.Struct("<IBQ")
 
 
@@ -56,14 +55,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    """XXH64 of words; frequent ones are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _VOCABULARY:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 13)
-        return out
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A polynomial of each of the n runs of WINDOW word hashes, from runs of 1, 2, 4 and 8."""
+    assert WINDOW == 13
+    if not n:
+        return np.zeros(0, dtype=np.uint64)
+    power = [np.uint64(pow(int(_BASE), k, 1 << 64)) for k in range(9)]
+    with np.errstate(over="ignore"):
+        twos = words[:-1] * power[1] + words[1:]
+        fours = twos[:-2] * power[2] + twos[2:]
+        eights = fours[:-4] * power[4] + fours[4:]
+        return (eights[:n] * power[4] + fours[8 : 8 + n]) * power[1] + words[12 : 12 + n]
 
 
 class Chunk:
@@ -76,13 +78,13 @@ class Chunk:
         ids = table.column("doc_id").to_pylist()
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] if ids[i] is not None else 0))
         self.ids = [ids[i] for i in self.order]
-        texts, known = table.column("text"), _Words()
+        texts, hashed = table.column("text"), xxhash.xxh64_intdigest
         joined, sizes, words, counts = [], [], [], []
         for i in self.order:
             found = (texts[i].as_py() or "").encode().split()
             joined.append(b" ".join(found))
             sizes.append(np.fromiter(map(len, found), dtype=np.int32, count=len(found)))
-            words.append(np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found)))
+            words.append(np.fromiter(map(hashed, found), dtype=np.uint64, count=len(found)))
             counts.append(len(found))
         none = np.zeros(0, dtype=np.int64)
         self.texts, self.n_words = joined, np.array(counts, dtype=np.int64)
@@ -92,12 +94,7 @@ class Chunk:
         n = max(0, len(doc) - WINDOW + 1)
         self.window = np.flatnonzero(doc[:n] == doc[WINDOW - 1 :]) if n else none
         self.doc = doc[self.window]
-        words = np.concatenate([none.astype(np.uint64), *words])
-        self.hashes = np.zeros(len(self.window), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(WINDOW):
-                self.hashes = self.hashes * _BASE + words[self.window + k]
-        self.hashes = _mixed(self.hashes)
+        self.hashes = _mixed(_runs(np.concatenate([none.astype(np.uint64), *words]), n)[self.window])
 
     def pairs(self, which: np.ndarray) -> np.ndarray:
         """Of these windows (ascending), the top of the hash with 96 bits of the SHA-256 of the words."""
