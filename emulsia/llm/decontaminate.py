@@ -29,7 +29,6 @@ from . import common
 
 N = 10
 BLOCK_BYTES = 16 << 20
-_REMEMBERED = 1 << 18
 #: Fixed value: a word of a lower-cased text; bytes from 0x80 belong to other characters of UTF-8.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -39,16 +38,6 @@ def words_of(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
-class _Hashes(dict):
-    """XXH64 of words; frequent ones are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word, 10)
-        return out
-
-
 def hashed(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of `size` word hashes that starts at a place in `at`."""
     out = np.zeros(len(at), dtype=np.uint64)
@@ -62,12 +51,12 @@ class Grams:
     """Windows of the items, by length: sorted hashes and the places of their first words in the items' words."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int = N):
-        known, self.names, texts, hashes, counts = _Hashes(), [], [], [], []
+        self.names, texts, hashes, counts = [], [], [], []
         for name, text in items:
             if words := words_of(text):
                 self.names.append(name)
                 texts.append(b" ".join(words))
-                hashes.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+                hashes.append(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
                 counts.append(len(words))
         self.text = b" ".join(texts)
         self.first = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))  # first word of each item
@@ -87,7 +76,7 @@ class Grams:
         return self.text[int(self.ends[at - 1]) + 1 if at else 0 : int(self.ends[at + size - 1])]
 
     def scan(self, words: list[bytes], hashes: np.ndarray) -> Iterator[tuple[int, int, set]]:
-        """Verified windows: first word, number of words, and names of the items, from words and their hashes (0: a gap)."""
+        """Verified windows: first word, number of words, and names of the items, from words and their hashes; an empty word is a gap."""
         inside = _contains(self.known, hashes)
         gaps = np.concatenate(([0], np.cumsum(~inside)))
         for size, (keys, places) in self.windows.items():
@@ -118,13 +107,12 @@ NAMES = pa.list_(pa.string())
 
 def _scan_batches(batches: Iterator[pa.RecordBatch], grams: Grams, text: str, words: str, spans: str, items: str, later: bool) -> Iterator[pa.RecordBatch]:
     """Adds, or on a later pass extends, the number of words, the marked spans and the names of the items."""
-    get = _Hashes().__getitem__
     for whole in batches:
         for batch in [whole.slice(i, 256) for i in range(0, whole.num_rows, 256)]:
             docs = [words_of(t) for t in batch.column(text).to_pylist()]
             bounds = np.cumsum([0, *[len(w) + 1 for w in docs]])
             flat = [x for w in docs for x in (*w, b"")]  # no word is empty: a gap between documents
-            hashes = np.fromiter((get(w) if w else 0 for w in flat), dtype=np.uint64, count=len(flat))
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat), dtype=np.uint64, count=len(flat))
             marked: list[list[dict]] = [[] for _ in docs]
             named: list[set] = [set() for _ in docs]
             for i, size, names in grams.scan(flat, hashes):
