@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 
 from emulsia.errors import ModelError
 
+#: The arguments of the commands and the filters of the scoring graph.
+OPENING = ("-y", "-hide_banner", "-nostdin", "-loglevel", "error")
+WHOLE = ("-map", "0:v:0", "-map", "0:a:0?", "-map_metadata", "0")
+SPAN = ("-map", "0:v:0", "-an")
+CODING = ("-fps_mode", "passthrough", "-c:v", "libsvtav1")
+TUNING = ("-svtav1-params", "tune=0")
+DEPTHS = ("yuv420p", "yuv420p10le")
+DYNAMIC = ("-dolbyvision", "1", "-strict", "unofficial")
+SOUND = ("-c:a", "copy")
+CLOSING = ("-movflags", "+faststart+use_metadata_tags", "-f", "mp4")
+SCALED, STAMPED = "scale=-2:1080:flags=bicubic,", "settb=AVTB,setpts=N/(30*TB)"
+SCORED = "eof_action=endall:log_fmt=json:log_path=vmaf.json"
 #: Programs that come beside another one.
 BESIDE = {"avifdec": "avifenc", "ffprobe": "ffmpeg"}
 
@@ -60,38 +72,32 @@ def keeps_dynamic_metadata() -> bool:
 
 def clip_command(source: Column, target: Column, crf: Column, preset: Column, ten_bit: Column, dynamic: Column, program: str = "ffmpeg") -> Column:
     """The command that encodes a clip, as an array: timestamps as they are, the first picture and sound track, metadata kept."""
-    return F.concat(_opening(program), F.array(F.lit("-i"), source), _texts("-map", "0:v:0", "-map", "0:a:0?", "-map_metadata", "0"), _coding(crf, preset, ten_bit),
-                    F.when(dynamic, _texts("-dolbyvision", "1", "-strict", "unofficial")).otherwise(_texts()), _texts("-c:a", "copy"), _closing(target))
+    carried = F.when(dynamic, _texts(*DYNAMIC)).otherwise(_texts())
+    return F.concat(_texts(program, *OPENING), F.array(F.lit("-i"), source), _texts(*WHOLE), _coding(crf, preset, ten_bit), carried, _texts(*SOUND, *CLOSING), F.array(target))
 
 
 def sample_command(source: Column, target: Column, start: Column, length: Column, crf: Column, preset: Column, ten_bit: Column, program: str = "ffmpeg") -> Column:
     """The command that encodes a span of a clip to be scored and thrown away: pictures only."""
     seek = F.when(start > 0, F.array(F.lit("-ss"), F.format_string("%.3f", start))).otherwise(_texts())
-    return F.concat(_opening(program), seek, F.array(F.lit("-i"), source, F.lit("-t"), F.format_string("%.3f", length)), _texts("-map", "0:v:0", "-an"), _coding(crf, preset, ten_bit), _closing(target))
+    span = F.array(F.lit("-i"), source, F.lit("-t"), F.format_string("%.3f", length))
+    return F.concat(_texts(program, *OPENING), seek, span, _texts(*SPAN), _coding(crf, preset, ten_bit), _texts(*CLOSING), F.array(target))
 
 
 def score_graph(model: Column, scaled: Column, threads: int) -> Column:
     """The filter graph that scores a clip against its source frame by frame, in order, whatever their timestamps."""
-    scale = F.when(scaled, "scale=-2:1080:flags=bicubic,").otherwise("")
-    branch = lambda i, name: F.concat(F.lit(f"[{i}:v]"), scale, F.lit(f"settb=AVTB,setpts=N/(30*TB)[{name}];"))
-    return F.concat(branch(0, "d"), branch(1, "r"), F.lit("[d][r]libvmaf=model=version="), model, F.lit(f":n_threads={threads}:eof_action=endall:log_fmt=json:log_path=vmaf.json"))
+    scale = F.when(scaled, SCALED).otherwise("")
+    branch = lambda i, name: F.concat(F.lit(f"[{i}:v]"), scale, F.lit(f"{STAMPED}[{name}];"))
+    return F.concat(branch(0, "d"), branch(1, "r"), F.lit("[d][r]libvmaf=model=version="), model, F.lit(f":n_threads={threads}:{SCORED}"))
 
 
 def _texts(*words: str) -> Column:
     return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
-def _opening(program: str) -> Column:
-    return _texts(program, "-y", "-hide_banner", "-nostdin", "-loglevel", "error")
-
-
 def _coding(crf: Column, preset: Column, ten_bit: Column) -> Column:
-    head = F.concat(_texts("-fps_mode", "passthrough", "-c:v", "libsvtav1", "-crf"), F.array(crf.cast("string"), F.lit("-preset"), preset.cast("string")))
-    return F.concat(head, _texts("-svtav1-params", "tune=0", "-pix_fmt"), F.array(F.when(ten_bit, "yuv420p10le").otherwise("yuv420p")))
-
-
-def _closing(target: Column) -> Column:
-    return F.concat(_texts("-movflags", "+faststart+use_metadata_tags", "-f", "mp4"), F.array(target))
+    depth = F.when(ten_bit, DEPTHS[1]).otherwise(DEPTHS[0])
+    levels = F.array(F.lit("-crf"), crf.cast("string"), F.lit("-preset"), preset.cast("string"))
+    return F.concat(_texts(*CODING), levels, _texts(*TUNING), F.array(F.lit("-pix_fmt"), depth))
 
 
 def weights(path: str, sha256: str | None = None, least_bytes: int = 1024) -> Path:
