@@ -1,17 +1,20 @@
-"""Groups of texts by exact Jaccard similarity of their word shingles.
-
-A vertex is a distinct text. Candidates share a band of a MinHash signature: a pair of similarity s shares none of BANDS
-bands of ROWS hashes with a probability of (1 - s ** ROWS) ** BANDS, 3 in a million at 0.8 and less above. SimHash keys
-can't do this: texts at 0.8 differ in about 10 of 64 bits, in some pairs in 18, and blocks that leave a key equal at
-that radius have too few bits to part a table. Every link is checked on the sets of shingle hashes.
-
-Pairs of a band aren't written. A band's members are first compared with its head, the one that meets most others over
-all bands (of near copies, their original). Members of another component than the head's are open; any pair that isn't
-joined yet has one. Open members meet all members of the band, in blocks of BLOCK, within a task that has their
-signatures and their sets: signatures that agree in fewer than LIKELY of the places are passed over, which happens to a
-pair at 0.8 once in 400,000 times, the others are compared on their sets, and links between what is already joined in
-the block aren't written. Sets move for bands with open members only, with hashes cut to 32 bits; a link is then checked
-on whole hashes like those to the heads.
+"""Groups of texts by SimHash and BK-trees, each link checked by the exact Jaccard similarity of the word shingles.
+
+A vertex is a distinct text. Its fingerprint has BITS bits, each set if it is set in over half of the hashes of the
+distinct shingles. Sets at 0.8 differ in 15 % of the bits (19 % in sets of four and five shingles), others in up to half.
+No blocks that stay equal at that radius part a table, so the shards come from the bits that are decided most: the
+counts behind the fingerprint are turned by a fixed matrix of signs, and a block of WIDTH turned counts gives the place
+and the sign of its largest one. A key is WINNERS of them (one more beyond 2 ** 24 texts, so that shards stay small), a text
+has a key in each of `KEYS` tables, and texts that share a key share a shard. A pair at 0.8 shares some 14 keys and
+none once in some 300,000 times, a pair at 0.9 shares some 32.
+
+A shard is a BK-tree, searched at the radius NEAR on 128 bits: members without a neighbour leave. Pairs of a shard aren't
+written. The others are first compared with the shard's head, the one that meets most others over all shards (of near
+copies, their original). Members of another component than the head's are open; any pair that isn't joined yet has one.
+Open members search the BK-tree of all members of the shard, in blocks of BLOCK, at the radius WIDE on all bits, within a
+task that has their sets; what they find is compared on the sets, and links between what is already joined in the block
+aren't written. Sets move for shards with open members only, with hashes cut to 32 bits; a link is then checked on whole
+hashes like those to the heads.
 
 Defined results: a null or blank text has no shingles, and all such texts are alike; a text under `shingle` words is one
 shingle; a very long text is one set of hashes; letters A to Z are folded as in the fingerprints; an empty table has no
@@ -21,6 +24,7 @@ links.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common, graphs
+from . import common, graphs, trees
 
-BANDS = 32
-ROWS = 5
+BITS = 512
+WIDTH = 64
+WINNERS = 3
+KEYS = {3: 160, 4: 376}
+PASSES = 4  # parts of the tables that are dealt to shards one after the other, so that less lies on disk at a time
+NEAR = 46  # of 128 bits: a pair at 0.8 is further apart once in a million times, other texts are in 999 of 1,000
+WIDE = 140  # of all bits
 BLOCK = 4096
-LIKELY = 0.65
 SEED = 42
 BATCH = 256  # texts or pairs in an Arrow batch: a pair brings both sets of hashes
 _PIECE = 1 << 12
-_RNG = np.random.default_rng(SEED)
-_A = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+_STEPS = (np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -49,19 +55,33 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), dtype=np.uint64))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The least value of each of the hash functions."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def counts(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, the hashes that set it less those that don't."""
+    ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), _PIECE):
-        least = np.minimum(least, (hashes[i : i + _PIECE, None] * _A + _B).min(axis=0))
-    return least
+        z = hashes[i : i + _PIECE, None] + _STEPS
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
+    return 2 * ones - len(hashes)
+
+
+@lru_cache(maxsize=1)
+def _turns(winners: int) -> np.ndarray:
+    signs = np.random.default_rng(SEED).integers(0, 2, size=(BITS, KEYS[winners] * winners * WIDTH), dtype=np.int8)
+    return (2 * signs - 1).astype(np.float32)
 
 
-def bands(least: np.ndarray) -> list[int]:
-    """A key for each band of a signature, the band's number included."""
-    raw = least.tobytes()
-    width = ROWS * 8
-    return [xxhash.xxh64_intdigest(raw[k * width : (k + 1) * width], k) - (1 << 63) for k in range(BANDS)]
+def keys(sums: np.ndarray, winners: int) -> np.ndarray:
+    """For each row of counts, the key in each table: the places and signs of the largest turned counts of its blocks.
+
+    Sums of whole numbers, so they are the same in any order of adding.
+    """
+    turned = (sums.astype(np.float32) @ _turns(winners)).reshape(len(sums), -1, WIDTH)
+    place = np.abs(turned).argmax(axis=2)
+    won = 2 * place + (np.take_along_axis(turned, place[:, :, None], axis=2)[:, :, 0] > 0)
+    won = won.reshape(len(sums), -1, winners)
+    return (won * (2 * WIDTH) ** np.arange(winners)).sum(axis=2).astype(np.int32)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,21 +89,61 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _signed(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(point, text) to (point, sign, keys); sign is the first byte of each place of the signature."""
+def _signed(shingle: int, winners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(point, text) to (point, sign, a, b, keys); sign is the fingerprint, and a and b are its first 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            signs, keys = [], []
-            for t in b.column("text"):
-                least = signature(shingles(t.as_py(), shingle))
-                signs.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
-                keys.append(bands(least))
-            yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(signs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["point", "sign", "keys"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 64):
+                b = whole.slice(i, 64)
+                sums = np.stack([counts(shingles(t.as_py(), shingle)) for t in b.column("text")])
+                signs = np.packbits(sums > 0, axis=1)
+                first = np.ascontiguousarray(signs[:, :16]).view(np.int64)
+                found = [row.tolist() for row in keys(sums, winners)]
+                columns = [b.column("point"), pa.array([x.tobytes() for x in signs], pa.binary()), *(pa.array(first[:, k]) for k in (0, 1)), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["point", "sign", "a", "b", "keys"])
 
     return run
 
 
+def _befriended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b) sorted by key: those with a neighbour in the BK-tree of their key; a run may span batches."""
+    held = np.empty((0, 3), dtype=np.int64)
+
+    def chosen(rows: np.ndarray) -> np.ndarray:
+        bounds = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
+        many = np.flatnonzero(np.diff(bounds) > 1)
+        ok = np.zeros(len(rows), dtype=bool)
+        prints = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
+        two = bounds[many[np.diff(bounds)[many] == 2]]
+        near = trees.distances(prints[two], prints[two + 1]) <= NEAR
+        ok[two], ok[two + 1] = near, near
+        for x, y in zip(bounds[many].tolist(), bounds[many + 1].tolist()):
+            if y - x > 2:
+                ok[x:y] = trees.befriended(prints[x:y], NEAR)
+        return np.unique(rows[ok], axis=0)
+
+    def batch(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["key", "a", "b"])
+
+    kept = [held]
+    for b in batches:
+        rows = np.column_stack([b.column(c).to_numpy() for c in ("key", "a", "b")])
+        if not len(rows):
+            continue
+        if kept[0].size and rows[-1, 0] == kept[0][0, 0]:
+            kept.append(rows)
+            continue
+        rows = np.concatenate([*kept, rows])
+        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+        if cut:
+            yield batch(chosen(rows[:cut]))
+        kept = [rows[cut:]]
+    rows = np.concatenate(kept)
+    if len(rows):
+        yield batch(chosen(rows))
+
+
 def _hashed(shingle: int, cut: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(point, text) to (point, hashes), or (point, cut) with the top halves of the hashes."""
 
@@ -117,22 +177,25 @@ def _likely(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
         them, us = np.flatnonzero(run["member"]), np.flatnonzero(asks)
         sizes = np.fromiter(map(len, run["cut"]), dtype=np.int64, count=len(asks))
-        step = max(1, (1 << 25) // (run["sign"].shape[1] * max(1, len(them))))
-        for i in range(0, len(us), step):
-            some = us[i : i + step]
-            near = (run["sign"][some, None, :] == run["sign"][None, them, :]).sum(axis=2) >= LIKELY * run["sign"].shape[1]
-            a, b = sizes[some, None], sizes[None, them]
-            near &= (run["root"][some, None] != run["root"][None, them]) & (np.minimum(a, b) >= (similarity - 0.005) * np.maximum(a, b))
-            for x, y in zip(*(k.tolist() for k in np.nonzero(near))):
-                p, q = some[x], them[y]
-                r, t = top(int(run["root"][p])), top(int(run["root"][q]))
+        tree = trees.Tree(run["sign"][them], WIDE)
+        tops = run["root"].copy()
+        for who, point in tree.search(run["sign"][us]):
+            p, q = us[who], point
+            n = np.fromiter((len(tree.members[t]) for t in point.tolist()), dtype=np.int64, count=len(point))
+            p, q = np.repeat(p, n), them[np.concatenate([tree.members[t] for t in point.tolist()])]
+            some = (tops[p] != tops[q]) & (np.minimum(sizes[p], sizes[q]) >= (similarity - 0.005) * np.maximum(sizes[p], sizes[q]))
+            had = len(joined)
+            for x, y in zip(p[some].tolist(), q[some].tolist()):
+                r, t = top(int(tops[x])), top(int(tops[y]))
                 if r == t:
                     continue
-                alike = jaccard(run["cut"][p], run["cut"][q])
+                alike = jaccard(run["cut"][x], run["cut"][y])
                 if alike >= similarity - 0.005:
-                    yield tuple(sorted((int(run["point"][p]), int(run["point"][q])), reverse=True))
+                    yield tuple(sorted((int(run["point"][x]), int(run["point"][y])), reverse=True))
                 if alike >= sure:
                     joined[r] = t
+            if len(joined) > had:
+                tops = np.fromiter(map(top, tops.tolist()), dtype=np.int64, count=len(tops))
 
     def batch(found: set) -> pa.RecordBatch:
         rows = sorted(found)
@@ -151,7 +214,7 @@ def _likely(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 continue
             key = np.column_stack([b.column("key").to_numpy(), b.column("block").to_numpy()])
             columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
-            columns["sign"] = np.frombuffer(b"".join(b.column("sign").to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
+            columns["sign"] = np.frombuffer(b"".join(b.column("sign").to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)
             columns["cut"] = [np.frombuffer(c, np.uint32) for c in b.column("cut").to_pylist()]
             bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
             for x, y in zip(bounds, bounds[1:]):
@@ -197,29 +260,41 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> DataFrame:
     """(point, root) of each text that is linked to another; a point is point_of(text)."""
     texts = docs.select(point_of(text).alias("point"), text.alias("text"))
-    keyed = texts.mapInArrow(_signed(shingle), "point long, sign binary, keys array<long>")
+    winners = WINNERS + (texts.count() > 1 << 24)
+    keyed = texts.mapInArrow(_signed(shingle, winners), "point long, sign binary, a long, b long, keys array<int>")
     with common.arrow_rows(docs.sparkSession, BATCH):
-        keyed = common.stored(keyed.groupBy("point").agg(*[F.first(c).alias(c) for c in ("sign", "keys")]), "band-keys")
-    rows = keyed.select("point", F.explode("keys").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = common.stored(common.join_same(rows, counts, ["key"]), "shared-bands")
+        keyed = common.stored(keyed.groupBy("point").agg(*[F.first(c).alias(c) for c in ("sign", "a", "b", "keys")]), "shard-keys")
+    size = -(-KEYS[winners] // PASSES)
+    shards = None
+    for low in range(0, KEYS[winners], size):
+        rows = keyed.select("a", "b", F.posexplode(F.slice("keys", low + 1, size)).alias("table", "key"))
+        rows = rows.select((F.shiftleft((F.col("table") + low).cast("long"), 32) + F.col("key")).alias("key"), "a", "b")
+        part = common.stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_befriended, "key long, a long, b long"), "shards")
+        shards = part if shards is None else shards.unionByName(part)
+    rows = common.join_same(shards, keyed.select("point", "a", "b"), ["a", "b"])
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"))
+    shared = common.stored(common.join_same(rows, counted, ["key"]), "shared-shards")
     degree = shared.groupBy("point").agg(F.sum("n").alias("degree"))
-    members = common.stored(common.join_same(shared, degree, ["point"]), "band-members")
-    heads = members.groupBy("key").agg(F.max(F.struct("degree", "point")).alias("head")).select("key", F.col("head.point").alias("head"))
-    headed = common.stored(common.join_same(members.select("key", "point", "n"), heads, ["key"]), "band-heads")
-    links = _checked(headed.filter("point <> head").select(F.greatest("point", "head").alias("u"), F.least("point", "head").alias("v")), texts, shingle, similarity)
+    members = common.stored(common.join_same(shared, degree, ["point"]), "shard-members")
+    heads = members.groupBy("key").agg(F.max(F.struct("degree", "point", "a", "b")).alias("head"))
+    heads = heads.select("key", F.col("head.point").alias("head"), F.col("head.a").alias("head_a"), F.col("head.b").alias("head_b"))
+    headed = common.stored(common.join_same(members.select("key", "point", "n", "a", "b"), heads, ["key"]), "shard-heads")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("head_a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("head_b"))) <= NEAR
+    asked = headed.filter((F.col("point") != F.col("head")) & near)
+    links = _checked(asked.select(F.greatest("point", "head").alias("u"), F.least("point", "head").alias("v")), texts, shingle, similarity)
+    headed = headed.select("key", "point", "n", "head")
 
     found = graphs.components(links).withColumnsRenamed({"u": "point"})
     placed = common.join_same(headed, found, ["point"], "left").withColumn("root", F.coalesce("root", "point"))
     top = placed.filter("point = head").select("key", F.col("root").alias("top"))
-    placed = common.stored(common.join_same(placed, top, ["key"]).withColumn("open", F.col("root") != F.col("top")), "band-roots")
+    placed = common.stored(common.join_same(placed, top, ["key"]).withColumn("open", F.col("root") != F.col("top")), "shard-roots")
     parted = placed.filter("open").select("key").distinct()
     some = common.join_same(placed, parted, ["key"]).select("key", "point", "root", "open", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    some = common.stored(some, "band-open")
+    some = common.stored(some, "shard-open")
     wanted = some.select("point").distinct()
     with common.arrow_rows(docs.sparkSession, BATCH):
         held = texts.join(wanted, "point", "left_semi").groupBy("point").agg(F.first("text").alias("text")).mapInArrow(_hashed(shingle, cut=True), "point long, cut binary")
-        held = common.stored(common.join_same(held, keyed.select("point", "sign"), ["point"]), "band-sets")
+        held = common.stored(common.join_same(held, keyed.select("point", "sign"), ["point"]), "shard-sets")
         home = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
         own = some.select("key", home.alias("block"), F.lit(True).alias("member"), F.col("open").alias("asks"), "point", "root")
         others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != home)
