@@ -13,8 +13,8 @@ written. The others are first compared with the shard's head, the one that meets
 copies, their original). Members of another component than the head's are open; any pair that isn't joined yet has one.
 Open members search the BK-tree of all members of the shard, in blocks of BLOCK, at the radius WIDE on all bits, within a
 task that has their sets; what they find is compared on the sets, and links between what is already joined in the block
-aren't written. Sets move for shards with open members only, with hashes cut to 32 bits; a link is then checked on whole
-hashes like those to the heads.
+aren't written. Sets move only for members that the tree has shown to be near to one of another component, with hashes cut
+to 32 bits; a link is then checked on whole hashes like those to the heads.
 
 Defined results: a null or blank text has no shingles, and all such texts are alike; a text under `shingle` words is one
 shingle; a very long text is one set of hashes; letters A to Z are folded as in the fingerprints; an empty table has no
@@ -161,28 +161,79 @@ def _cut(hashes: np.ndarray) -> np.ndarray:
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+    """The rows sorted by key and block as a dict of columns for each run; None after each batch."""
+    held, parts = None, []
+    whole = lambda: {k: [x for p in parts for x in p[k]] if k == "cut" else np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.column_stack([b.column("key").to_numpy(), b.column("block").to_numpy()])
+        columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", *names) if k not in ("sign", "cut")}
+        columns["sign"] = np.frombuffer(b"".join(b.column("sign").to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)
+        if "cut" in names:
+            columns["cut"] = [np.frombuffer(c, np.uint32) for c in b.column("cut").to_pylist()]
+        bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for x, y in zip(bounds, bounds[1:]):
+            if held is not None and tuple(key[x]) != held:
+                yield whole()
+                parts.clear()
+            held = tuple(key[x])
+            parts.append({k: v[x:y] for k, v in columns.items()})
+        yield None
+    if parts:
+        yield whole()
+
+
+def _hits(run: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a run that ask, and members near to them by the run's BK-tree."""
+    them, us = np.flatnonzero(run["member"]), np.flatnonzero(run["asks"])
+    tree = trees.Tree(run["sign"][them], WIDE)
+    for who, point in tree.search(run["sign"][us]):
+        found = [tree.members[t] for t in point.tolist()]
+        yield np.repeat(us[who], [len(m) for m in found]), them[np.concatenate(found)]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, member, asks, point, root, sign) to those, without sign, that meet one of another component in the run."""
+    names, kept = ["key", "block", "member", "asks", "point", "root"], []
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[c] for k in kept])) for c in names], names=names)
+        kept.clear()
+        return made
+
+    for run in _runs(batches, [*names, "sign"]):
+        if run is None:
+            if kept:
+                yield batch()
+        elif run["asks"].any():
+            ok = np.zeros(len(run["asks"]), dtype=bool)
+            for p, q in _hits(run):
+                other = run["root"][p] != run["root"][q]
+                ok[p[other]] = ok[q[other]] = True
+            if ok.any():
+                kept.append({c: run[c][ok] for c in names})
+    if kept:
+        yield batch()
+
+
 def _likely(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, block, member, asks, point, root, sign, cut) sorted by key and block, to links (u, v) of each run: those of
     a row that asks with a member of the block, as far as they join two components."""
-    names = ["member", "asks", "point", "root"]
     sure = similarity + 0.005
 
     def links(run: dict) -> Iterator[tuple[int, int]]:
-        asks, joined = run["asks"], {}
+        joined = {}
 
         def top(x: int) -> int:
             while x in joined:
                 x = joined[x]
             return x
 
-        them, us = np.flatnonzero(run["member"]), np.flatnonzero(asks)
-        sizes = np.fromiter(map(len, run["cut"]), dtype=np.int64, count=len(asks))
-        tree = trees.Tree(run["sign"][them], WIDE)
+        sizes = np.fromiter(map(len, run["cut"]), dtype=np.int64, count=len(run["cut"]))
         tops = run["root"].copy()
-        for who, point in tree.search(run["sign"][us]):
-            p, q = us[who], point
-            n = np.fromiter((len(tree.members[t]) for t in point.tolist()), dtype=np.int64, count=len(point))
-            p, q = np.repeat(p, n), them[np.concatenate([tree.members[t] for t in point.tolist()])]
+        for p, q in _hits(run):
             some = (tops[p] != tops[q]) & (np.minimum(sizes[p], sizes[q]) >= (similarity - 0.005) * np.maximum(sizes[p], sizes[q]))
             had = len(joined)
             for x, y in zip(p[some].tolist(), q[some].tolist()):
@@ -202,32 +253,13 @@ def _likely(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, parts, found = None, [], set()
-
-        def finish() -> None:
-            whole = {k: np.concatenate([p[k] for p in parts]) for k in [*names, "sign"]}
-            if whole["asks"].any():
-                found.update(links(whole | {"cut": [c for p in parts for c in p["cut"]]}))
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key = np.column_stack([b.column("key").to_numpy(), b.column("block").to_numpy()])
-            columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
-            columns["sign"] = np.frombuffer(b"".join(b.column("sign").to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)
-            columns["cut"] = [np.frombuffer(c, np.uint32) for c in b.column("cut").to_pylist()]
-            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
-            for x, y in zip(bounds, bounds[1:]):
-                if held is not None and tuple(key[x]) != held:
-                    finish()
-                    parts.clear()
-                held = tuple(key[x])
-                parts.append({k: v[x:y] for k, v in columns.items()})
-            if len(found) >= 1 << 16:
+        found = set()
+        for run in _runs(batches, ["member", "asks", "point", "root", "sign", "cut"]):
+            if run is not None and run["asks"].any():
+                found.update(links(run))
+            if run is None and len(found) >= 1 << 16:
                 yield batch(found)
                 found.clear()
-        if parts:
-            finish()
         yield batch(found)
 
     return go
@@ -291,15 +323,18 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
     parted = placed.filter("open").select("key").distinct()
     some = common.join_same(placed, parted, ["key"]).select("key", "point", "root", "open", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     some = common.stored(some, "shard-open")
-    wanted = some.select("point").distinct()
+    home = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
+    own = some.select("key", home.alias("block"), F.lit(True).alias("member"), F.col("open").alias("asks"), "point", "root")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != home)
+    asking = some.filter("open AND blocks > 1").select("key", F.explode(others).alias("block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "point", "root")
+    dealt = lambda rows: rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    runs = dealt(common.join_same(own.unionByName(asking), keyed.select("point", "sign"), ["point"]))
+    met = common.stored(runs.mapInArrow(_met, "key long, block int, member boolean, asks boolean, point long, root long"), "shard-met")
+    wanted = met.select("point").distinct()
     with common.arrow_rows(docs.sparkSession, BATCH):
         held = texts.join(wanted, "point", "left_semi").groupBy("point").agg(F.first("text").alias("text")).mapInArrow(_hashed(shingle, cut=True), "point long, cut binary")
         held = common.stored(common.join_same(held, keyed.select("point", "sign"), ["point"]), "shard-sets")
-        home = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
-        own = some.select("key", home.alias("block"), F.lit(True).alias("member"), F.col("open").alias("asks"), "point", "root")
-        others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != home)
-        asking = some.filter("open AND blocks > 1").select("key", F.explode(others).alias("block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "point", "root")
-        runs = common.join_same(own.unionByName(asking), held, ["point"]).repartition("key", "block").sortWithinPartitions("key", "block")
+        runs = dealt(common.join_same(met, held, ["point"]))
         found_links = common.stored(runs.mapInArrow(_likely(similarity), "u long, v long"), "likely")
     more = _checked(found_links, texts, shingle, similarity)
     if more.isEmpty():
