@@ -9,11 +9,13 @@ has a key in each of `KEYS` tables, and texts that share a key share a shard. A
 none once in some 300,000 times, a pair at 0.9 shares some 32.
 
 A shard is a BK-tree, searched at the radius NEAR on 128 bits: members without a neighbour leave. Pairs of a shard aren't
-written. The others are first compared with the shard's head, the one that meets most others over all shards (of near
-copies, their original). Members of another component than the head's are open; any pair that isn't joined yet has one.
-Open members search the BK-tree of all members of the shard, in blocks of BLOCK, at the radius WIDE on all bits, within a
-task that has their sets; what they find is compared on the sets, and links between what is already joined in the block
-aren't written. Sets move only for members that the tree has shown to be near to one of another component, with hashes cut
+written. The others move once, with their texts, to be a table of sets. A shard's head is the member that meets most others
+over all shards (of near copies, their original), and each text is first compared with one head, the one of its shards'
+heads that meets most others of those whose fingerprint and size allow the similarity: a question a text, however many
+shards and heads a group of near copies has. Members of another component than the head's are open; any pair that isn't
+joined yet has one. Open members search the BK-tree of all members of the shard, in blocks of BLOCK, at the radius
+WIDE on all bits, within a task that has their sets; what they find is compared on the sets, and links between what is
+already joined in the block aren't written. Sets move there only for members that the tree has shown to be near to one of another component, with hashes cut
 to 32 bits; a link is then checked on whole hashes like those to the heads.
 
 Defined results: a null or blank text has no shingles, and all such texts are alike; a text under `shingle` words is one
@@ -90,18 +92,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _signed(shingle: int, winners: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(point, text) to (point, sign, a, b, keys); sign is the fingerprint, and a and b are its first 128 bits."""
+    """(point, text) to (point, sign, size, a, b, keys); sign is the fingerprint, a and b are its first 128 bits, and size is
+    the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 64):
                 b = whole.slice(i, 64)
-                sums = np.stack([counts(shingles(t.as_py(), shingle)) for t in b.column("text")])
+                sets = [shingles(t.as_py(), shingle) for t in b.column("text")]
+                sums = np.stack([counts(s) for s in sets])
                 signs = np.packbits(sums > 0, axis=1)
                 first = np.ascontiguousarray(signs[:, :16]).view(np.int64)
                 found = [row.tolist() for row in keys(sums, winners)]
-                columns = [b.column("point"), pa.array([x.tobytes() for x in signs], pa.binary()), *(pa.array(first[:, k]) for k in (0, 1)), pa.array(found, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["point", "sign", "a", "b", "keys"])
+                columns = [b.column("point"), pa.array([x.tobytes() for x in signs], pa.binary()), pa.array(map(len, sets), pa.int32()), *(pa.array(first[:, k]) for k in (0, 1)), pa.array(found, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["point", "sign", "size", "a", "b", "keys"])
 
     return run
 
@@ -144,18 +148,24 @@ def _befriended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(chosen(rows))
 
 
-def _hashed(shingle: int, cut: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(point, text) to (point, hashes), or (point, cut) with the top halves of the hashes."""
+def _hashed(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(point, text) to (point, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = (shingles(t.as_py(), shingle) for t in b.column("text"))
-            made = [(_cut(x) if cut else x).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(made, pa.binary())], names=["point", "cut" if cut else "hashes"])
+            made = [shingles(t.as_py(), shingle).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(made, pa.binary())], names=["point", "hashes"])
 
     return run
 
 
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(point, hashes) to (point, cut) with the top halves of the hashes."""
+    for b in batches:
+        made = [_cut(np.frombuffer(h.as_buffer(), np.uint64)).tobytes() for h in b.column("hashes")]
+        yield pa.RecordBatch.from_arrays([b.column("point"), pa.array(made, pa.binary())], names=["point", "cut"])
+
+
 def _cut(hashes: np.ndarray) -> np.ndarray:
     """The sorted distinct top halves of sorted hashes."""
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
@@ -275,13 +285,8 @@ def _checker(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) of points whose texts are similar."""
-    pairs = common.stored(pairs.distinct(), "candidates")
-    wanted = pairs.select(F.col("u").alias("point")).unionByName(pairs.select(F.col("v").alias("point"))).distinct()
-    some = texts.join(wanted, "point", "left_semi").groupBy("point").agg(F.first("text").alias("text"))
-    with common.arrow_rows(pairs.sparkSession, BATCH):
-        sets = common.stored(some.mapInArrow(_hashed(shingle), "point long, hashes binary"), "sets")
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of points whose sets (point, hashes) are similar."""
     left = sets.withColumnsRenamed({"point": "u", "hashes": "a"})
     right = sets.withColumnsRenamed({"point": "v", "hashes": "b"})
     both = common.join_same(common.join_same(pairs, left, ["u"]), right, ["v"]).select("u", "v", "a", "b")
@@ -293,9 +298,9 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
     """(point, root) of each text that is linked to another; a point is point_of(text)."""
     texts = docs.select(point_of(text).alias("point"), text.alias("text"))
     winners = WINNERS + (texts.count() > 1 << 24)
-    keyed = texts.mapInArrow(_signed(shingle, winners), "point long, sign binary, a long, b long, keys array<int>")
+    keyed = texts.mapInArrow(_signed(shingle, winners), "point long, sign binary, size int, a long, b long, keys array<int>")
     with common.arrow_rows(docs.sparkSession, BATCH):
-        keyed = common.stored(keyed.groupBy("point").agg(*[F.first(c).alias(c) for c in ("sign", "a", "b", "keys")]), "shard-keys")
+        keyed = common.stored(keyed.groupBy("point").agg(*[F.first(c).alias(c) for c in ("sign", "size", "a", "b", "keys")]), "shard-keys")
     size = -(-KEYS[winners] // PASSES)
     shards = None
     for low in range(0, KEYS[winners], size):
@@ -303,21 +308,27 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
         rows = rows.select((F.shiftleft((F.col("table") + low).cast("long"), 32) + F.col("key")).alias("key"), "a", "b")
         part = common.stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_befriended, "key long, a long, b long"), "shards")
         shards = part if shards is None else shards.unionByName(part)
-    rows = common.join_same(shards, keyed.select("point", "a", "b"), ["a", "b"])
+    rows = common.join_same(shards, keyed.select("point", "size", "a", "b"), ["a", "b"])
     counted = rows.groupBy("key").agg(F.count("*").alias("n"))
     shared = common.stored(common.join_same(rows, counted, ["key"]), "shared-shards")
     degree = shared.groupBy("point").agg(F.sum("n").alias("degree"))
     members = common.stored(common.join_same(shared, degree, ["point"]), "shard-members")
-    heads = members.groupBy("key").agg(F.max(F.struct("degree", "point", "a", "b")).alias("head"))
-    heads = heads.select("key", F.col("head.point").alias("head"), F.col("head.a").alias("head_a"), F.col("head.b").alias("head_b"))
-    headed = common.stored(common.join_same(members.select("key", "point", "n", "a", "b"), heads, ["key"]), "shard-heads")
+    heads = members.groupBy("key").agg(F.max(F.struct("degree", "point", "size", "a", "b")).alias("head"))
+    heads = heads.select("key", F.col("head.point").alias("head"), *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("degree", "size", "a", "b")])
+    headed = common.join_same(members.select("key", "point", "n", "size", "a", "b"), heads, ["key"])
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("head_a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("head_b"))) <= NEAR
-    asked = headed.filter((F.col("point") != F.col("head")) & near)
-    links = _checked(asked.select(F.greatest("point", "head").alias("u"), F.least("point", "head").alias("v")), texts, shingle, similarity)
-    headed = headed.select("key", "point", "n", "head")
+    fits = F.least("size", "head_size") >= F.greatest("size", "head_size") * similarity - 1e-6
+    headed = common.stored(headed.select("key", "point", "n", "head", "head_degree", ((F.col("point") != F.col("head")) & near & fits).alias("asks")), "shard-heads")
+
+    with common.arrow_rows(docs.sparkSession, BATCH):
+        some = texts.join(degree.select("point"), "point", "left_semi").groupBy("point").agg(F.first("text").alias("text"))
+        sets = common.stored(some.mapInArrow(_hashed(shingle), "point long, hashes binary"), "shard-sets")
+    asked = headed.filter("asks").groupBy("point").agg(F.max(F.struct("head_degree", "head")).alias("best")).select("point", "best.head")
+    asked = common.stored(asked.select(F.greatest("point", "head").alias("u"), F.least("point", "head").alias("v")).distinct(), "candidates")
+    links = _checked(asked, sets, similarity)
 
     found = graphs.components(links).withColumnsRenamed({"u": "point"})
-    placed = common.join_same(headed, found, ["point"], "left").withColumn("root", F.coalesce("root", "point"))
+    placed = common.join_same(headed.select("key", "point", "n", "head"), found, ["point"], "left").withColumn("root", F.coalesce("root", "point"))
     top = placed.filter("point = head").select("key", F.col("root").alias("top"))
     placed = common.stored(common.join_same(placed, top, ["key"]).withColumn("open", F.col("root") != F.col("top")), "shard-roots")
     parted = placed.filter("open").select("key").distinct()
@@ -330,13 +341,13 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
     dealt = lambda rows: rows.repartition("key", "block").sortWithinPartitions("key", "block")
     runs = dealt(common.join_same(own.unionByName(asking), keyed.select("point", "sign"), ["point"]))
     met = common.stored(runs.mapInArrow(_met, "key long, block int, member boolean, asks boolean, point long, root long"), "shard-met")
-    wanted = met.select("point").distinct()
     with common.arrow_rows(docs.sparkSession, BATCH):
-        held = texts.join(wanted, "point", "left_semi").groupBy("point").agg(F.first("text").alias("text")).mapInArrow(_hashed(shingle, cut=True), "point long, cut binary")
-        held = common.stored(common.join_same(held, keyed.select("point", "sign"), ["point"]), "shard-sets")
-        runs = dealt(common.join_same(met, held, ["point"]))
-        found_links = common.stored(runs.mapInArrow(_likely(similarity), "u long, v long"), "likely")
-    more = _checked(found_links, texts, shingle, similarity)
+        cuts = sets.join(met.select("point").distinct(), "point", "left_semi").mapInArrow(_halved, "point long, cut binary")
+        cuts = common.stored(common.join_same(cuts, keyed.select("point", "sign"), ["point"]), "shard-cuts")
+        runs = dealt(common.join_same(met, cuts, ["point"]))
+        likely = common.stored(runs.mapInArrow(_likely(similarity), "u long, v long").distinct(), "likely")
+    ends = likely.select(F.explode(F.array("u", "v")).alias("point")).distinct()
+    more = _checked(likely, common.stored(sets.join(ends, "point", "left_semi"), "likely-sets"), similarity)
     if more.isEmpty():
         return found
     return graphs.components(links.unionByName(more)).withColumnsRenamed({"u": "point"})

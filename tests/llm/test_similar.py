@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from emulsia.llm import similar, trees
+from emulsia.llm import common, similar, trees
 
 
 def test_tree_finds_all_within_the_radius():
@@ -40,3 +41,26 @@ def test_fingerprints_of_near_copies_meet_in_a_tree():
         assert trees.befriended(prints[i : i + 2, :2], similar.NEAR).all() and trees.befriended(prints[i : i + 2], similar.WIDE).all()
         other = (i + 2) % len(texts)
         assert not trees.befriended(prints[[i, other]], similar.WIDE).any()
+
+
+def test_a_text_asks_one_head_and_texts_move_once(spark, tmp_path, monkeypatch):
+    """Near copies of one text share shards with many heads: that makes neither more questions nor more moves of the texts."""
+    rng = random.Random(9)
+    made = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    base = made(150)
+    near = [[*base[:at], *made(1), *base[at + 1 :]] for at in (rng.randrange(150) for _ in range(120))]
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, *near, *(made(150) for _ in range(40))])]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    docs, counted, reads, plain = spark.read.parquet(path), {}, [], common.stored
+
+    def stored(df, name):
+        reads.extend([name] if any(path in f for f in df.inputFiles()) else [])
+        out = plain(df, name)
+        counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(common, "stored", stored)
+    found = similar.roots(docs, F.col("text"), 5, 0.8).collect()
+    assert len(found) == 121 and len({r["root"] for r in found}) == 1
+    assert 0 < counted["candidates"] <= 121 and len(reads) == 2
