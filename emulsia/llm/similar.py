@@ -15,8 +15,9 @@ heads that meets most others of those whose fingerprint and size allow the simil
 shards and heads a group of near copies has. Members of another component than the head's are open; any pair that isn't
 joined yet has one. Open members search the BK-tree of all members of the shard, in blocks of BLOCK, at the radius
 WIDE on all bits, within a task that has their sets; what they find is compared on the sets, and links between what is
-already joined in the block aren't written. Sets move there only for members that the tree has shown to be near to one of another component, with hashes cut
-to 32 bits; a link is then checked on whole hashes like those to the heads.
+already joined in the block aren't written. A pair is met in the largest of the shards that it shares, not in each: every
+shard that both are in has one of them open, since only one can be of its head's component. Sets move there only for
+members that the tree has shown to be near to one of another component, with hashes cut to 32 bits; a link is then checked on whole hashes like those to the heads.
 
 Defined results: a null or blank text has no shingles, and all such texts are alike; a text under `shingle` words is one
 shingle; a very long text is one set of hashes; letters A to Z are folded as in the fingerprints; an empty table has no
@@ -171,7 +172,15 @@ def _cut(hashes: np.ndarray) -> np.ndarray:
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]:
+def _by_table(earlier: pa.ListArray, tables: int) -> np.ndarray:
+    """Lists of shards as rows with the key in each table, or -1."""
+    shards, sizes = earlier.flatten().to_numpy(), np.diff(earlier.offsets.to_numpy())
+    out = np.full((len(earlier), tables), -1, dtype=np.int32)
+    out[np.repeat(np.arange(len(earlier)), sizes), shards >> 32] = shards & 0xFFFFFFFF
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], tables: int = 0) -> Iterator[dict]:
     """The rows sorted by key and block as a dict of columns for each run; None after each batch."""
     held, parts = None, []
     whole = lambda: {k: [x for p in parts for x in p[k]] if k == "cut" else np.concatenate([p[k] for p in parts]) for k in parts[0]}
@@ -179,8 +188,10 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict]
         if not b.num_rows:
             continue
         key = np.column_stack([b.column("key").to_numpy(), b.column("block").to_numpy()])
-        columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", *names) if k not in ("sign", "cut")}
+        columns = {k: b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", *names) if k not in ("sign", "cut", "earlier")}
         columns["sign"] = np.frombuffer(b"".join(b.column("sign").to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)
+        if "earlier" in names:
+            columns["earlier"] = _by_table(b.column("earlier"), tables)
         if "cut" in names:
             columns["cut"] = [np.frombuffer(c, np.uint32) for c in b.column("cut").to_pylist()]
         bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
@@ -204,28 +215,43 @@ def _hits(run: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.repeat(us[who], [len(m) for m in found]), them[np.concatenate(found)]
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, member, asks, point, root, sign) to those, without sign, that meet one of another component in the run."""
-    names, kept = ["key", "block", "member", "asks", "point", "root"], []
+def _met(tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, block, member, asks, point, root, sign, earlier) to those, without sign and earlier, that meet one of another
+    component in the run and in none of the earlier shards: a pair is met in the first shard that it shares, the largest one."""
+    names = ["key", "block", "member", "asks", "point", "root"]
+
+    def met(run: dict) -> np.ndarray:
+        ok = np.zeros(len(run["asks"]), dtype=bool)
+        for p, q in _hits(run):
+            new = (run["root"][p] != run["root"][q]) & ~(ok[p] & ok[q])
+            p, q = p[new], q[new]
+            for i in range(0, len(p), BLOCK):
+                x, y = p[i : i + BLOCK], q[i : i + BLOCK]
+                mine = run["earlier"][x]
+                first = ~((mine == run["earlier"][y]) & (mine >= 0)).any(axis=1)
+                ok[x[first]] = ok[y[first]] = True
+        return ok
 
-    def batch() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[c] for k in kept])) for c in names], names=names)
-        kept.clear()
-        return made
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate([k[c] for k in kept])) for c in names], names=names)
+            kept.clear()
+            return made
+
+        for run in _runs(batches, [*names, "sign", "earlier"], tables):
+            if run is None:
+                if kept:
+                    yield batch()
+            elif run["asks"].any():
+                ok = met(run)
+                if ok.any():
+                    kept.append({c: run[c][ok] for c in names})
+        if kept:
+            yield batch()
 
-    for run in _runs(batches, [*names, "sign"]):
-        if run is None:
-            if kept:
-                yield batch()
-        elif run["asks"].any():
-            ok = np.zeros(len(run["asks"]), dtype=bool)
-            for p, q in _hits(run):
-                other = run["root"][p] != run["root"][q]
-                ok[p[other]] = ok[q[other]] = True
-            if ok.any():
-                kept.append({c: run[c][ok] for c in names})
-    if kept:
-        yield batch()
+    return go
 
 
 def _likely(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -332,15 +358,18 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
     top = placed.filter("point = head").select("key", F.col("root").alias("top"))
     placed = common.stored(common.join_same(placed, top, ["key"]).withColumn("open", F.col("root") != F.col("top")), "shard-roots")
     parted = placed.filter("open").select("key").distinct()
-    some = common.join_same(placed, parted, ["key"]).select("key", "point", "root", "open", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    some = common.join_same(placed, parted, ["key"]).select("key", "point", "root", "open", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     some = common.stored(some, "shard-open")
     home = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
-    own = some.select("key", home.alias("block"), F.lit(True).alias("member"), F.col("open").alias("asks"), "point", "root")
+    own = some.select("key", home.alias("block"), F.lit(True).alias("member"), F.col("open").alias("asks"), "point", "root", "n")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != home)
-    asking = some.filter("open AND blocks > 1").select("key", F.explode(others).alias("block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "point", "root")
+    asking = some.filter("open AND blocks > 1").select("key", F.explode(others).alias("block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "point", "root", "n")
     dealt = lambda rows: rows.repartition("key", "block").sortWithinPartitions("key", "block")
-    runs = dealt(common.join_same(own.unionByName(asking), keyed.select("point", "sign"), ["point"]))
-    met = common.stored(runs.mapInArrow(_met, "key long, block int, member boolean, asks boolean, point long, root long"), "shard-met")
+    known = common.join_same(some.groupBy("point").agg(F.collect_list(F.struct("n", "key")).alias("shards")), keyed.select("point", "sign"), ["point"])
+    runs = common.join_same(own.unionByName(asking), common.stored(known, "shard-signs"), ["point"])
+    before = F.filter("shards", lambda x: (x["n"] > F.col("n")) | ((x["n"] == F.col("n")) & (x["key"] < F.col("key"))))
+    runs = dealt(runs.withColumn("earlier", F.transform(before, lambda x: x["key"])).drop("shards", "n"))
+    met = common.stored(runs.mapInArrow(_met(KEYS[winners]), "key long, block int, member boolean, asks boolean, point long, root long"), "shard-met")
     with common.arrow_rows(docs.sparkSession, BATCH):
         cuts = sets.join(met.select("point").distinct(), "point", "left_semi").mapInArrow(_halved, "point long, cut binary")
         cuts = common.stored(common.join_same(cuts, keyed.select("point", "sign"), ["point"]), "shard-cuts")

@@ -64,3 +64,24 @@ def test_a_text_asks_one_head_and_texts_move_once(spark, tmp_path, monkeypatch):
     found = similar.roots(docs, F.col("text"), 5, 0.8).collect()
     assert len(found) == 121 and len({r["root"] for r in found}) == 1
     assert 0 < counted["candidates"] <= 121 and len(reads) == 2
+
+
+def test_a_pair_is_met_in_one_shard(spark, monkeypatch):
+    """Texts that are alike, but not enough, share several shards; their sets move to one of them."""
+    rng = random.Random(13)
+    made = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        base = made(200)
+        texts += [base, [w if i % 33 else x for i, (w, x) in enumerate(zip(base, made(200)))]]
+    counted, plain = {}, common.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        counted[name] = counted.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(common, "stored", stored)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert not similar.roots(docs, F.col("text"), 5, 0.8).collect()
+    assert 0 < counted["shard-met"] <= 60
