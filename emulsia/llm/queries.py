@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cotraining, decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
+from . import bpe, cotraining, decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -137,3 +137,8 @@ def op7_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"))
