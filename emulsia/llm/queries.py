@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cotraining, decontaminate, mixing, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
+from . import bpe, cotraining, decontaminate, merkle, mixing, negatives, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -139,6 +139,75 @@ def op5_co_training_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op11_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """The levels written out, own trees first, then the tree of the subroots: enough for 8 to the power of `levels` rows a group."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(crc, b), range(8)), lambda c, k: {bit})"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda crc, b: {byte}), 4294967295)"
+    up = lambda a, b: f"{b} AS (SELECT tree, i // 8 AS i, (any_value(n) + 7) // 8 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {a} WHERE n > 1 GROUP BY tree, i // 8)"
+    steps = 2 * levels
+    ctes = [
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS other FROM documents)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM d)",
+        "l0 AS (SELECT tree, i, n, leaf AS h FROM r)",
+        *[up(f"l{k}", f"l{k + 1}") for k in range(levels)],
+        "sub AS (" + " UNION ALL ".join(f"SELECT tree, h FROM l{k} WHERE n = 1" for k in range(levels + 1)) + ")",
+        f"l{levels + 1} AS (SELECT -1 AS tree, tree AS i, (SELECT count(*) FROM sub) AS n, h FROM sub)",
+        *[up(f"l{k}", f"l{k + 1}") for k in range(levels + 1, steps + 1)],
+        "root AS (" + " UNION ALL ".join(f"SELECT h FROM l{k} WHERE n = 1" for k in range(levels + 1, steps + 2)) + ")",
+        "nodes AS (" + " UNION ALL ".join(f"SELECT {k} AS step, * FROM l{k} WHERE n > 1" for k in range(steps + 1)) + ")",
+    ]
+    place = lambda k: (f"(r.i // {8**k})", "r.tree") if k <= levels else (f"(r.tree // {8 ** (k - levels - 1)})", "-1")
+    ctes.append("sib AS (" + " UNION ALL ".join(
+        f"SELECT r.tree, r.i, step, x.i AS pos, h, x.i < {place(k)[0]} AS before FROM r JOIN nodes x ON step = {k} AND x.tree = {place(k)[1]} AND x.i // 8 = {place(k)[0]} // 8 AND x.i <> {place(k)[0]}"
+        for k in range(steps + 1)) + ")")
+    ctes.append("side AS (SELECT tree, i, step, coalesce(string_agg(h, '' ORDER BY pos) FILTER (before), '') AS a, coalesce(string_agg(h, '' ORDER BY pos) FILTER (NOT before), '') AS b FROM sib GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY tree, i, step"))
+    ctes.append("proof AS (SELECT tree, i, string_agg(h, '' ORDER BY step, pos) AS p FROM sib GROUP BY tree, i)")
+    ctes.append("f0 AS (SELECT *, other AS h FROM r)")
+    for k in range(steps + 1):
+        nodes = f"(r.n + {8**k - 1}) // {8**k}" if k <= levels else f"((SELECT count(*) FROM sub) + {8 ** (k - levels - 1) - 1}) // {8 ** (k - levels - 1)}"
+        ctes.append(f"f{k + 1} AS (SELECT r.* EXCLUDE (h), CASE WHEN {nodes} > 1 THEN sha256(coalesce(a, '') || r.h || coalesce(b, '')) ELSE r.h END AS h FROM f{k} r LEFT JOIN side ON side.tree = r.tree AND side.i = r.i AND side.step = {k})")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, sub.h AS subroot, (SELECT h FROM root) AS root, sha256(coalesce(p, '')) AS proof_sha256, f.h AS folded_root, f.h = (SELECT h FROM root) AS verified
+FROM f{steps + 1} f JOIN sub USING (tree) LEFT JOIN proof ON proof.tree = f.tree AND proof.i = f.i
+"""
+
+
+SQL["op12_merkle_manifest"] = _merkle_sql()
+
+
 @query
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"))
