@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,6 +25,7 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +54,8 @@ class Vocabulary:
         self.merged: dict[tuple[int, int], int] = {}
         self.shorter: dict[int, int] = {}
         self.together = functools.lru_cache(maxsize=PAIRS)(self._together)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces = Pieces(self)
+        self.table = pa.array([self.bytes.get(r) for r in range(max(self.bytes) + 1)] + [None], pa.large_binary())
         self.automaton = ahocorasick.Automaton()
         built = set()
         for token, rank in sorted(self.rank.items(), key=lambda x: x[1]):
@@ -127,24 +128,28 @@ class Vocabulary:
                 at -= size[token]
         return ids
 
-    def encode(self, text: str, pattern: regex.Pattern) -> list[int]:
-        known, out = self.pieces, []
-        for piece in pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.piece(piece.encode())
-                if len(piece) <= PIECE_CHARS:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: list[int]) -> bytes | None:
-        try:
-            return b"".join(map(self.bytes.__getitem__, ids))
-        except KeyError:
-            return None
+    def encode(self, text: str, pattern: regex.Pattern) -> np.ndarray:
+        """The ids of a text, as 32-bit integers."""
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, pattern.findall(text))), np.int32)
+
+    def decode(self, ids: np.ndarray) -> pa.LargeBinaryArray:
+        """The bytes of each id, or null where there is no such id."""
+        return self.table.take(pa.array(np.where((ids >= 0) & (ids < len(self.table)), ids, len(self.table) - 1)))
+
+
+class Pieces(dict):
+    """Pieces to their ids in bytes, computed where they are missing; the whole memory is dropped when it is full."""
+
+    def __init__(self, words: Vocabulary):
+        self.words = words
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.words.piece(piece.encode()), np.int32).tobytes()
+        if len(piece) <= PIECE_CHARS:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 @functools.lru_cache(maxsize=2)
@@ -162,18 +167,25 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks, pattern: str, text: int, i
     for whole in batches:
         for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
             rows = [words.encode((raw or b"").decode(errors="replace"), cut) for raw in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-            flat = np.fromiter(itertools.chain.from_iterable(rows), dtype=np.int32, count=int(ends[-1]))
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             kept = batch.select([i for i in range(batch.num_columns) if i != text])
-            yield _with(kept, ids, pa.LargeListArray.from_arrays(ends, flat).cast(pa.list_(pa.int32())))
+            yield _with(kept, ids, pa.ListArray.from_arrays(ends, np.concatenate(rows)))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], ranks, ids: int, out: str) -> Iterator[pa.RecordBatch]:
     words = vocabulary(ranks.value)
     for whole in batches:
         for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-            rows = [None if x is None else words.decode(x) for x in batch.column(ids).to_pylist()]
-            yield _with(batch, out, pa.array(rows, pa.binary()))
+            column = batch.column(ids)
+            flat = column.flatten()
+            tokens = words.decode(flat.fill_null(-1).to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            misses = np.concatenate([[0], np.cumsum(tokens.is_null().to_numpy(zero_copy_only=False))])
+            unknown = (misses[ends[1:]] > misses[ends[:-1]]) | column.is_null().to_numpy(zero_copy_only=False)
+            # the bytes of all tokens lie one after another in the buffer: a row's are those between its ends
+            places = np.concatenate([[0], np.cumsum(pc.binary_length(tokens).fill_null(0).to_numpy(zero_copy_only=False))])[ends]
+            joined = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(places.astype(np.int64).tobytes()), tokens.buffers()[2] or pa.py_buffer(b"")])
+            yield _with(batch, out, pc.if_else(pa.array(unknown), None, joined).cast(pa.binary()))
 
 
 def _broadcast(df: DataFrame, path: str):
