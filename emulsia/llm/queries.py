@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from secrets import token_hex
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, cotraining, decontaminate, merkle, mixing, negatives, packing, quality_rules, secrets, simhash, substrings, surrogates, warc
 
+#: Surrogates under a known key can be reversed by trying names, so none is written here.
+SURROGATE_KEY = "spark.emulsia.surrogates.key"
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -130,8 +134,10 @@ def op4_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key comes from spark.emulsia.surrogates.key; without one, a key for tests is used."""
-    return surrogates.report(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.emulsia.surrogates.key", "a key for tests"))
+    """The key comes from spark.emulsia.surrogates.key; without one, a session draws its own and keeps it."""
+    if not spark.conf.get(SURROGATE_KEY, ""):
+        spark.conf.set(SURROGATE_KEY, token_hex(32))
+    return surrogates.report(table(spark, sf_dir, "documents"), key=spark.conf.get(SURROGATE_KEY))
 
 
 @query

@@ -9,7 +9,7 @@ one, that of the titles it has elsewhere in the corpus, if they agree.
 
 A surrogate is drawn by a hash of the key, type, canonical form and attempt: digits become digits, letters letters of
 the same case, octets octets of as many digits, cards that pass the Luhn check pass it again, and names take syllables of
-their script with an ending for the gender. Surrogates are then compared over the corpus: where two entities of a type
+their script with an ending for the gender; in a script without syllables here, letters of the word itself, drawn anew. Surrogates are then compared over the corpus: where two entities of a type
 share one, or it is itself an entity of the corpus, all but the least entity draw again, until none do. From attempt
 WIDE on, a form whose class may be used up gives way: one more character an attempt, or octets of any length, and from
 attempt WIDEST octets that no address has. The map is joined to the mentions, never collected.
@@ -27,24 +27,34 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A word of a name: Smith, Anne-Marie, O'Neil.
-NAME = r"\p{Lu}(?:\p{L}+|['’]\p{L}+)(?:[-'’]\p{L}+)*"
+#: A word of a name: Smith, Anne-Marie, O'Neil. Repeated groups are possessive, or bounded: others match by recursion, a
+#: level a repetition, and a text that repeats enough overflows the stack.
+NAME = r"\p{Lu}(?:\p{L}+|['’]\p{L}+)(?:[-'’]\p{L}+)*+"
+#: A domain: all labels, if they end in a top-level one, or else as many as do, of the 127 that a domain may have.
+DOMAIN = r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+(?<=\.[A-Za-z]{2,63})|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,})"
 #: The patterns, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@" + DOMAIN,
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![0-9])(?:[0-9]{4}[ -]){3}[0-9]{1,7}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "person": r"\b(?:Mr|Mrs|Ms|Miss|Sir|Dr|Prof|Herr|Frau|Señora|Señor|Madame|Monsieur|г-н|г-жа)\.? " + NAME + "(?: " + NAME + ")*",
+    "person": r"\b(?:Mr|Mrs|Ms|Miss|Sir|Dr|Prof|Herr|Frau|Señora|Señor|Madame|Monsieur|г-н|г-жа)\.? " + NAME + "(?: " + NAME + ")*+",
 }
 MALE, FEMALE = r"^(?:Mr|Sir|Herr|Señor|Monsieur|г-н)\b", r"^(?:Mrs|Ms|Miss|Frau|Señora|Madame|г-жа)\b"
 SYLLABLES = {
     "latin": ["ba", "del", "fi", "gor", "hal", "jen", "ka", "lin", "mor", "nel", "or", "pe", "quin", "ro", "san", "ta", "vel", "wes"],
     "cyrillic": ["ба", "вел", "го", "дор", "жен", "зи", "кар", "лен", "ми", "нов", "ор", "пе", "ро", "сан", "та", "фи"],
+    "greek": ["βα", "γε", "δο", "ζη", "θα", "κα", "λε", "μα", "νι", "πα", "ρο", "σα", "τα", "φι", "χρι", "ψα"],
+    "armenian": ["բա", "գո", "դա", "զա", "թա", "լի", "խա", "կա", "հա", "մա", "նա", "պե", "ռու", "սա", "տի", "քա"],
+    "georgian": ["ბა", "გო", "და", "ვა", "ზა", "თა", "კა", "ლე", "მა", "ნი", "პა", "რუ", "სო", "ტა", "ქე", "შა"],
+}
+ENDINGS = {
+    "m": {"latin": "o", "cyrillic": "ов", "greek": "ος", "armenian": "են", "georgian": "გი", "other": ""},
+    "f": {"latin": "a", "cyrillic": "ова", "greek": "α", "armenian": "ուհի", "georgian": "ნა", "other": ""},
+    "n": {"latin": "en", "cyrillic": "их", "greek": "ης", "armenian": "ի", "georgian": "რი", "other": ""},
 }
-ENDINGS = {"m": {"latin": "o", "cyrillic": "ов"}, "f": {"latin": "a", "cyrillic": "ова"}, "n": {"latin": "en", "cyrillic": "их"}}
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention but a name has, and a name's title: a text without either isn't searched.
 SIGNS = r"[0-9@]|\b(?:Mr|Mrs|Ms|Miss|Sir|Dr|Prof|Herr|Frau|Señora|Señor|Madame|Monsieur|г-н|г-жа)\.? \p{Lu}"
@@ -119,18 +129,23 @@ def _word(canon: Column, kind: Column, seed: Column, attempt: Column) -> Column:
     gender = F.substring(kind, -1, 1)
 
     def of(script: str) -> Column:
-        options = F.array(*[F.lit(x) for x in SYLLABLES[script]])
+        known = SYLLABLES.get(script)
+        options = F.array(*[F.lit(x) for x in known]) if known else F.filter(_chars(canon), lambda c: c.rlike(r"^\p{L}$"))
+        count = F.lit(len(known)) if known else F.size(options)
         ending = F.create_map(*[F.lit(x) for g, e in ENDINGS.items() for x in (g, e[script])])
 
         def stem(part: Column, i: Column) -> Column:
-            syllables = F.transform(F.sequence(F.lit(1), 3 + (attempt / 4).cast("int")), lambda k: F.get(options, _draw(seed, i * 100 + k, len(SYLLABLES[script]))))
+            syllables = F.transform(F.sequence(F.lit(1), 3 + (attempt / 4).cast("int")), lambda k: F.get(options, F.pmod(F.xxhash64(seed, i * 100 + k), count).cast("int")))
             name = common.bind(F.array_join(syllables, ""), lambda n: F.when(part.rlike("^.['’]"), F.concat(F.substring(n, 1, 1), F.lit("'"), F.initcap(F.substring(n, F.lit(2), F.length(n))))).otherwise(n))
             return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
 
         whole = F.array_join(F.transform(F.split(canon, "-"), stem), "-")
         return F.concat(whole, F.when(kind.startswith("given"), F.element_at(ending, gender)).otherwise(""))
 
-    return F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+    out = F.when(canon.rlike(r"\p{IsLatin}"), of("latin"))
+    for script in list(SYLLABLES)[1:]:
+        out = out.when(canon.rlike(rf"\p{{Is{script.title()}}}"), of(script))
+    return out.otherwise(of("other"))
 
 
 def surrogate(kind: Column, canon: Column, key: str, attempt: Column) -> Column:

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 
-from emulsia.llm import surrogates
+import pytest
+from pyspark.sql import functions as F
+
+from emulsia.llm import queries, surrogates
 
 SURNAMES = ["".join(x) for x in itertools.product(("Ba", "Del", "Fi", "Gor", "Hal", "Jen", "Ka", "Lin", "Mor", "Nel"), ("ba", "del", "fi", "gor", "hal", "jen", "ka", "lin", "mor", "nel"), ("ta", "vel", "son", "man", "er", "ing", "ov", "ski", "es", "ley"))]
 
@@ -56,3 +60,67 @@ def test_every_mention_of_a_corpus_against_plain_coreference(spark):
             for old, new in zip(re.findall(pattern, t), re.findall(pattern, got[i])):
                 assert to.setdefault(old.lower(), new.lower()) == new.lower() and back.setdefault(new.lower(), old.lower()) == old.lower()
         assert to and not set(to) & set(to.values())
+
+
+N = 10**6
+LONG = {
+    "email": ["x@" + "a." * N + "com", "x@" + "a." * N + "1", "x" * N + "@b.org", "x@" + "a" * N, "@" * N],
+    "ip": ["1.2.3.4." * N, "1" * N, "10.0.0.1 " * (N // 10)],
+    "iban": ["DE44 " + "5001 " * N, "D" * N, "DE44" * N],
+    "card": ["4111 " * N, "4" * N, "4111-" * N],
+    "ssn": ["123-" * N, "123-45-" * N],
+    "phone": ["+1 " + "555 " * N, "+" * N, "(555) " * N, "555." * N],
+    "person": ["Mr. " + "Abc " * N, "Mr. A" + "-b" * N, "Mr. A" + "'b" * N, "Mr. " * N, "Mr. " + "A" * N],
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_a_million_repetitions_match_without_recursion(spark, kind):
+    one, all_ = F.lit(f"(?:{surrogates.PATTERNS[kind]})"), F.lit(surrogates.ALL)
+    for text in LONG[kind]:
+        df = spark.createDataFrame([(text,)], "t string")
+        hit = F.col("h")
+        found = df.select("t", F.regexp_extract_all("t", one, F.lit(0)).alias("own"), F.coalesce(F.try_element_at(F.regexp_extract_all("t", all_, F.lit(0)), F.lit(1)), F.lit("")).alias("h"), F.size(F.split("t", surrogates.ALL, -1)).alias("gaps"))
+        got = found.select(F.size("own").alias("n"), "gaps", F.length("h").alias("first"), surrogates.kind_of(hit).alias("kind"), F.length(F.regexp_replace(hit, surrogates.TITLE, "")).alias("named"), F.col("t").rlike(surrogates.SIGNS).alias("signs")).first()
+        assert got["gaps"] >= 1
+    if kind in ("email", "person"):
+        first = spark.createDataFrame([(LONG[kind][0],)], "t string").select(F.length(F.regexp_extract("t", surrogates.ALL, 0))).first()[0]
+        assert first == len(LONG[kind][0].rstrip())
+
+
+def test_possessive_patterns_find_what_greedy_ones_do(spark):
+    greedy = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    texts_ = ["".join(x) for x in itertools.product(["u@", "@", "a.b@"], ["b", "b.", "b.c", "b..c", ".", "b-", "1."], ["org", ".org", ".o", ".org2", ".1", ".com.", ".com.x y", ".co.uk", "-", ".c-d"], ["", ".", " z@y.de", ".fr!", ".7"])]
+    got = spark.createDataFrame([(t,) for t in texts_], "t string").select("t", F.regexp_extract_all("t", F.lit(surrogates.PATTERNS["email"]), F.lit(0)).alias("h")).collect()
+    assert len(got) == len(texts_)
+    for r in got:
+        assert r["h"] == greedy.findall(r["t"]), r["t"]
+
+
+def test_a_name_of_thousands_of_words_is_replaced_whole(spark):
+    got = texts(spark, [(1, "Mr. " + "Abc Def " * 3000 + "said"), (2, "to x@" + "a." * 3000 + "com")])
+    assert not re.search(r"\b(?:Abc|Def)\b", got[1]) and len(got[1].split()) == 6002 and got[2] != "to x@" + "a." * 3000 + "com"
+
+
+SCRIPTS = {"GREEK": "Παπαδόπουλος", "ARMENIAN": "Պետրոսյան", "CYRILLIC": "Иванова", "LATIN": "Ångström", "COPTIC": "Ⲡⲉⲧⲣⲟⲥ", "GEORGIAN": "ᲒᲘᲝᲠᲒᲘ"}
+
+
+def test_names_keep_their_script(spark):
+    got = texts(spark, [(i, f"Dr {name} said so") for i, name in enumerate(SCRIPTS.values())])
+    for i, (script, name) in enumerate(SCRIPTS.items()):
+        new = got[i].removeprefix("Dr ").removesuffix(" said so")
+        assert new != name and len(new) > 1 and all(unicodedata.name(c).startswith(script) for c in new), (new, name)
+
+
+def test_a_session_without_a_key_draws_its_own(spark, tmp_path):
+    spark.conf.unset(queries.SURROGATE_KEY)
+    spark.createDataFrame([(1, "Mr. Smith left")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: queries.op7_surrogate_pii(spark, str(tmp_path)).first()["text"]
+    first, key = run(), spark.conf.get(queries.SURROGATE_KEY)
+    assert len(key) == 64 and run() == first
+    spark.conf.set(queries.SURROGATE_KEY, "another")
+    other = run()
+    spark.conf.unset(queries.SURROGATE_KEY)
+    run()
+    assert other != first and spark.conf.get(queries.SURROGATE_KEY) not in (key, "another")
+    spark.conf.unset(queries.SURROGATE_KEY)
