@@ -1,4 +1,4 @@
-"""Codecs as plug-ins beside the built-in PNG: what is there, encoding, decoding by content, and checked round trips."""
+"""Codecs as plug-ins beside the built-in PNG and JPEG: what is there, encoding, decoding by content, and checked round trips."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from emulsia.errors import EncodeError, InputError
-from emulsia.functions import pixels, png
+from emulsia.functions import jpeg, pixels, png
 
 #: The names and suffixes that settings may ask for.
 KNOWN = ("avif", "jxl", "webp", "jpg", "png")
@@ -24,7 +24,11 @@ class Codec:
     owns: Callable[[bytes], bool]
 
 
-_codecs: dict[str, Codec] = {"png": Codec("png", lambda image, quality: png.encode(image), png.decode, lambda data: data.startswith(png.SIGNATURE))}
+BUILT_IN = {
+    "png": Codec("png", lambda image, quality: png.encode(image), png.decode, lambda data: data.startswith(png.SIGNATURE)),
+    "jpg": Codec("jpg", jpeg.encode, jpeg.decode, lambda data: data[:3] == b"\xff\xd8\xff"),
+}
+_codecs = dict(BUILT_IN)
 
 
 def register(codec: Codec) -> None:
@@ -34,9 +38,12 @@ def register(codec: Codec) -> None:
 
 
 def unregister(name: str) -> None:
-    if name == "png":
-        raise EncodeError("png is built in")
+    """Takes a plug-in away; in the place of a built-in codec, that one is back."""
+    if _codecs.get(name) is BUILT_IN.get(name, False):
+        raise EncodeError(f"{name} is built in")
     _codecs.pop(name, None)
+    if name in BUILT_IN:
+        _codecs[name] = BUILT_IN[name]
 
 
 def available(name: str) -> bool:

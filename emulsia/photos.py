@@ -1,7 +1,7 @@
 """Photos end to end: load, encode faithfully, or plan a container and restore it; each runs in Arrow batches.
 
 A file is independent of the others, so nothing is shuffled; one that fails is a row with the error. Codecs and detectors
-are plug-ins; the built-in PNG makes all of it work without any.
+are plug-ins; the built-in PNG and JPEG make all of it work without any.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from emulsia.sources import container
 Box = tuple[int, int, int, int]
 Detect = Callable[[np.ndarray], list[tuple[int, int, int, int, float]]]
 #: The least sides and scales, and the bounds of a mask's margin.
-DETAIL_FLOOR, THUMB_HEIGHT, MARGINS = 0.5, 256, (8, 32)
+DETAIL_FLOOR, THUMB_HEIGHT, THUMB_QUALITY, MARGINS = 0.5, 256, 80, (8, 32)
 #: Turns of the array for each EXIF orientation: mirrored left to right first, then quarter turns against the clock.
 TURNS = {1: (False, 0), 2: (True, 0), 3: (False, 2), 4: (True, 2), 5: (True, 1), 6: (False, 3), 7: (True, 3), 8: (False, 1)}
 
@@ -154,20 +154,27 @@ def eight_bits(image: np.ndarray) -> np.ndarray:
     return image if image.dtype == np.uint8 else _samples(image / 257.0, np.dtype(np.uint8))
 
 
+def member(image: np.ndarray, codec: str, quality: int, lossless_from: int = 101) -> tuple[str, bytes]:
+    """The suffix and bytes of a member: PNG from a quality on, else the codec that is asked for, or JPEG where it isn't installed."""
+    kind = "png" if quality >= lossless_from else codec if codecs.available(codec) else "jpg"
+    return kind, codecs.encode(np.ascontiguousarray(image), kind, quality)
+
+
 def pack(name: str, data: bytes, photo: Photo, chosen: Plan, settings: dict[str, object]) -> bytes:
     """The container of a photo: a small background, sharp crops and regions, and, if asked, what the background lacks."""
     image = eight_bits(photo.image)
     height, width = image.shape[:2]
-    crop = lambda b: png.encode(np.ascontiguousarray(image[b[1] : b[3], b[0] : b[2]]))
-    background = shrunk(image, chosen.scale)
-    members = {"background": png.encode(background), "thumbnail.png": png.encode(shrunk(image, min(1.0, THUMB_HEIGHT / height)))}
-    # a background is looked up as jpg, avif or jxl: the name says what stands in for them here
-    members["background.jxl"] = members.pop("background")
-    members |= {f"faces/{i:03}.png": crop(f["padded_bbox"]) for i, f in enumerate(chosen.faces)} | {f"regions/{i:03}.png": crop(r) for i, r in enumerate(chosen.regions)}
+    bg_kind, background = member(shrunk(image, chosen.scale), str(settings["aggressive.bg_codec"]), int(settings["aggressive.bg_quality"]))
+    members = {f"background.{bg_kind}": background, "thumbnail.jpg": codecs.encode(shrunk(image, min(1.0, THUMB_HEIGHT / height)), "jpg", THUMB_QUALITY)}
+    crops = [(f"faces/{i:03}", f["padded_bbox"]) for i, f in enumerate(chosen.faces)] + [(f"regions/{i:03}", r) for i, r in enumerate(chosen.regions)]
+    for stem, (x1, y1, x2, y2) in crops:
+        kind, crop = member(image[y1:y2, x1:x2], str(settings["aggressive.face_codec"]), int(settings["aggressive.face_quality"]), 100)
+        members[f"{stem}.{kind}"] = crop
     if settings["aggressive.residual"]:
-        lack = image.astype(float) - enlarged(background, height, width)
+        lack = image.astype(float) - enlarged(codecs.decode(background), height, width)
         codes = np.clip(np.rint(lack / 2 + 128), 0, 255).astype(np.uint8)
-        members["residual.jxl"] = png.encode(shrunk(codes, float(settings["aggressive.residual_scale"])))
+        kind, residual = member(shrunk(codes, float(settings["aggressive.residual_scale"])), "jxl", int(settings["aggressive.residual_quality"]))
+        members[f"residual.{kind}"] = residual
     if photo.exif:
         members["exif.bin"] = photo.exif
     if photo.icc:
@@ -177,7 +184,7 @@ def pack(name: str, data: bytes, photo: Photo, chosen: Plan, settings: dict[str,
         members |= {"gain_map.png": png.encode(photo.gain), "gain_map.xmp": photo.gain_xmp or b""}
     manifest = json.loads(container.manifest_text(name, width, height, chosen.faces, [{"id": i, "bbox": list(r), "scale": 1.0} for i, r in enumerate(chosen.regions)]))
     manifest["original"] |= {"size_bytes": len(data), "hash_sha256": hashlib.sha256(data).hexdigest(), "orientation": photo.orientation}
-    manifest |= {"exif_preserved": photo.exif is not None, "icc_preserved": photo.icc is not None, "gain_map_preserved": gain, "settings": {"bg_scale": chosen.scale, "bg_codec": "png", "face_codec": "png", "blend_mode": settings["aggressive.blend_mode"], "residual": bool(settings["aggressive.residual"]), "preset": settings["aggressive.preset"], "bit_depth": 8}}
+    manifest |= {"exif_preserved": photo.exif is not None, "icc_preserved": photo.icc is not None, "gain_map_preserved": gain, "settings": {"bg_scale": chosen.scale, "bg_quality": int(settings["aggressive.bg_quality"]), "bg_codec": bg_kind, "face_quality": int(settings["aggressive.face_quality"]), "face_codec": str(settings["aggressive.face_codec"]), "blend_mode": settings["aggressive.blend_mode"], "residual": bool(settings["aggressive.residual"]), "preset": settings["aggressive.preset"], "bit_depth": 8}}
     return container.pack(json.dumps(manifest, sort_keys=True), members)
 
 
@@ -223,8 +230,9 @@ def rebuild(data: bytes, upscale: Callable[[np.ndarray, int, int], np.ndarray] |
     try:
         background = codecs.decode(stored)
         residual = next((codecs.decode(members[n]) for n in (f"residual.{s}" for s in container.LOOKUP["residual"]) if n in members), None)
-        patches = {kind: [codecs.decode(members[f"{kind}/{i:03}.png"]) for i in range(len(manifest.get(kind) or []))] for kind in ("regions", "faces")}
-    except (KeyError, EmulsiaError) as e:
+        crop = lambda stem: next(members[n] for n in (f"{stem}.{s}" for s in container.LOOKUP["crop"]) if n in members)
+        patches = {kind: [codecs.decode(crop(f"{kind}/{i:03}")) for i in range(len(manifest.get(kind) or []))] for kind in ("regions", "faces")}
+    except (StopIteration, EmulsiaError) as e:
         raise RestoreError(f"a member is missing or can't be read: {e}") from e
     if residual is not None:
         out = enlarged(background, height, width) + 2 * (enlarged(residual, height, width) - 128)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsia import photos, settings, tools
-from emulsia.functions import exif, png, probe
+from emulsia.functions import exif, jpeg, png, probe
 from emulsia.functions import metadata as M
 from emulsia.functions import pixels as P
 from emulsia.operators import reports
@@ -215,6 +215,20 @@ def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.size("v").alias("samples"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("v", -1).alias("last"))
 
 
+#: The first coefficient of a uniform block is 8 times its distance from 128; it is rounded to the quality's step.
+FLAT = "least(255, greatest(0, round_even(128 + round_even(8 * (x - 128) / q::DOUBLE, 0) * q / 8.0::DOUBLE, 0)))"
+STEP = "least(255, greatest(1, (16 * CASE WHEN k < 50 THEN 5000 // k ELSE 200 - 2 * k END + 50) // 100))"
+
+
+@query(f"""WITH g AS ({GREY}), q AS (SELECT vec_id, g, k, {STEP} AS q FROM (SELECT vec_id, g, CAST(1 + vec_id % 100 AS BIGINT) AS k FROM g))
+SELECT vec_id, 64 * 64 AS samples, CAST(64 * list_sum(list_transform(g, lambda x: {FLAT})) AS BIGINT) AS total, CAST(list_last(list_transform(g, lambda x: {FLAT})) AS INT) AS last FROM q""")
+def jpeg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters whose pixels are whole blocks, written as JPEG at each quality and read back."""
+    grey = table(spark, sf_dir, "embeddings").select("vec_id", P.clipped(F.transform("embedding", lambda x: 128 + x.cast("double") * 300), 8).alias("g"))
+    v = grey.select("vec_id", jpeg.jpeg_values(jpeg.grey_jpeg("g", F.lit(8), F.lit(8), (1 + F.col("vec_id") % 100).cast("int"))).alias("v"))
+    return v.select("vec_id", F.size("v").alias("samples"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("v", -1).alias("last"))
+
+
 def _middle(image) -> list:
     """Stands for a detector: one face in the middle."""
     height, width = image.shape[:2]

@@ -96,7 +96,7 @@ def face(image):
 def test_container_of_a_photo_and_back(spark):
     image = picture()
     files = spark.createDataFrame([("in/a.png", png.encode(image, located("<"), b"icc")), ("in/b.png", b"junk"), ("in/c.png", None)], "path string, content binary").coalesce(1)
-    chosen = settings.resolve(flags={"aggressive.content_aware": False})
+    chosen = settings.resolve(flags={"aggressive.content_aware": False, "aggressive.face_quality": 100})
     packed = photos.compress_photos(files, chosen, face)
     rows = {r["path"]: r for r in packed.collect()}
     assert rows["in/a.png"]["status"] == "ok" and rows["in/a.png"]["faces"] == 1 and rows["in/b.png"]["status"] == rows["in/c.png"]["status"] == "failed"
@@ -121,7 +121,7 @@ def test_residuals_models_and_strategies():
     drift = lambda small, h, w: photos.enlarged(small, h, w) + 30
     plain = error(base | {"aggressive.restore_anchor": False}, upscale=drift)
     assert error(base, upscale=drift) < 0.5 * plain and error(base | {"aggressive.restore_anchor": False, "aggressive.restore_backproject_iters": 6}, upscale=drift) < 0.5 * plain
-    seam = base | {"aggressive.blend_mode": "poisson"}
+    seam = base | {"aggressive.blend_mode": "poisson", "aggressive.face_quality": 100}
     whole = photos.rebuild(photos.pack("a.png", b"", photo, photos.plan(photo, face(image), seam), seam), settings=seam).image
     assert whole.shape == image.shape and np.abs(whole[40:60, 50:70].astype(int) - image[40:60, 50:70]).mean() < 12
     with pytest.raises(errors.SkipFile):
