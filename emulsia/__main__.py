@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from emulsia import codecs, detectors, photos, settings
 from emulsia.errors import EmulsiaError, SettingsError
+from emulsia.functions import perceptual
 from emulsia.operators import reports
 from emulsia.plans import batch
 from emulsia.session import build_session
@@ -132,7 +133,7 @@ def pair(args: argparse.Namespace) -> tuple[list[bytes], dict[str, object]]:
         b = photos.enlarged(b, *a.shape[:2]).round().clip(0, 255).astype(a.dtype)
     error = float(((codecs.unit(a) - codecs.unit(b)) ** 2).mean())
     psnr = float("inf") if error == 0 else -10 * math.log10(error)
-    return data, {"psnr": psnr, "ssim": codecs.similarity(a, b), "ratio": len(data[0]) / len(data[1]) if data[1] else 0.0}
+    return data, {"psnr": psnr, "ssim": codecs.similarity(a, b), "ssimulacra2": perceptual.score(a, b), "ratio": len(data[0]) / len(data[1]) if data[1] else 0.0}
 
 
 def quality(spark: SparkSession | None, args: argparse.Namespace) -> int:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from emulsia import codecs
 from emulsia.errors import ContainerError, EmulsiaError, PlanError, RestoreError, SkipFile
-from emulsia.functions import exif, pixels, png, restore
+from emulsia.functions import exif, perceptual, pixels, png, restore
+from emulsia.functions.search import QUALITY
 from emulsia.sources import container
 
 Box = tuple[int, int, int, int]
@@ -81,9 +82,9 @@ def luma(image: np.ndarray) -> np.ndarray:
     return codecs.unit(image) @ np.array([0.299, 0.587, 0.114]) * 255
 
 
-def encoded(photo: Photo, names: list[str], quality: int | None, thorough: bool = False) -> tuple[str, bytes, float | None]:
-    """The smallest of the installed codecs' encodings, checked, the first on a tie."""
-    tried = [(n, codecs.encode(photo.image, n, quality)) for n in names if codecs.available(n)]
+def encoded(photo: Photo, names: list[str], quality: int | None | Callable[[str], int], thorough: bool = False) -> tuple[str, bytes, float | None]:
+    """The smallest of the installed codecs' encodings, checked, the first on a tie; the quality may depend on the codec."""
+    tried = [(n, codecs.encode(photo.image, n, quality(n) if callable(quality) else quality)) for n in names if codecs.available(n)]
     if not tried:
         raise PlanError(f"none of the codecs {', '.join(names)} is installed")
     name, data = min(tried, key=lambda x: len(x[1]))
@@ -93,6 +94,31 @@ def encoded(photo: Photo, names: list[str], quality: int | None, thorough: bool
     return name, data, score
 
 
+#: How alike a picture is to the one before it, the higher the better.
+METRICS: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {"ssimulacra2": perceptual.score, "ssim": codecs.similarity}
+
+
+def tuned(image: np.ndarray, boxes: list[Box], name: str, settings: dict[str, object]) -> int:
+    """The least quality at which the codec keeps the part of the picture that holds all boxes at the target of the metric.
+
+    Only that part is encoded, in 8 bits; a probe that fails counts as below the target. Without boxes it is the set quality.
+    """
+    if not boxes:
+        return int(settings["faithful.quality"])
+    x1, y1, x2, y2 = (f(b[k] for b in boxes) for k, f in enumerate((min, min, max, max)))
+    part = np.ascontiguousarray(eight_bits(image[y1:y2, x1:x2]))
+    metric, target = METRICS[str(settings["faithful.target_metric"])], float(settings["faithful.target_value"])
+    low, high, probes = QUALITY
+    best = None
+    for _ in range(probes):
+        middle = (low + high) // 2
+        if metric(part, codecs.decode(codecs.encode(part, name, middle))) >= target:
+            best, high = middle, middle - 1
+        else:
+            low = middle + 1
+    return high if best is None else best
+
+
 def mask(height: int, width: int) -> np.ndarray:
     """A feathered mask whose margin is an eighth of the width, within MARGINS."""
     margin = max(MARGINS[0], min(MARGINS[1], width // 8))
@@ -111,15 +137,17 @@ class Plan:
     reason: str | None = None
 
 
+def padded(face: tuple, width: int, height: int, settings: dict[str, object]) -> Box:
+    x1, y1, x2, y2, *_ = face
+    pad = float(settings["detector.padding"])
+    cx, cy, hw, hh = (x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) * pad / 2, (y2 - y1) * pad / 2
+    return max(0, int(cx - hw)), max(0, int(cy - hh)), min(width, int(cx + hw)), min(height, int(cy + hh))
+
+
 def plan(photo: Photo, found: list[tuple[int, int, int, int, float]], settings: dict[str, object]) -> Plan:
     """Faces as padded boxes, small faces as regions too, and the scale, raised where the background can't be made anew."""
     height, width = photo.image.shape[:2]
-    pad = float(settings["detector.padding"])
-    faces = []
-    for i, (x1, y1, x2, y2, sure) in enumerate(found):
-        cx, cy, hw, hh = (x1 + x2) / 2, (y1 + y2) / 2, (x2 - x1) * pad / 2, (y2 - y1) * pad / 2
-        padded = [max(0, int(cx - hw)), max(0, int(cy - hh)), min(width, int(cx + hw)), min(height, int(cy + hh))]
-        faces.append({"id": i, "bbox": [x1, y1, x2, y2], "padded_bbox": padded, "confidence": sure})
+    faces = [{"id": i, "bbox": [*f[:4]], "padded_bbox": [*padded(f, width, height, settings)], "confidence": f[4]} for i, f in enumerate(found)]
     out = Plan(float(settings["aggressive.bg_scale"]), faces)
     if not faces:
         strategy = settings["aggressive.no_face_strategy"]
@@ -287,14 +315,20 @@ def _each(files: DataFrame, one: Callable[[str, bytes], tuple]) -> DataFrame:
 
 
 def compress_faithful(files: DataFrame, settings: dict[str, object], detect: Detect | None = None) -> DataFrame:
-    """Files (path, content) as RESULT rows: the smallest encoding, or `skipped-larger` with the original."""
+    """Files (path, content) as RESULT rows: the smallest encoding, or `skipped-larger` with the original.
+
+    With faithful.auto_tune and a detector, a codec's quality is the least that keeps the faces at the metric's target.
+    """
     names = ["avif", "jxl"] if settings["faithful.codec"] == "both" else [str(settings["faithful.codec"])]
     quality = None if settings["faithful.lossless"] else int(settings["faithful.quality"])
 
     def one(path: str, data: bytes) -> tuple:
         photo = load(data, bool(settings["strip_gps"]))
-        codec, out, score = encoded(photo, [*names, "png"] if settings["faithful.lossless"] else names, quality, bool(settings["faithful.verify_thorough"]))
-        faces = len(detect(photo.image)) if detect else None
+        found = detect(photo.image) if detect else None
+        boxes = [padded(f, *photo.image.shape[1::-1], settings) for f in found or []]
+        chosen = (lambda name: tuned(photo.image, boxes, name, settings)) if settings["faithful.auto_tune"] and quality is not None else quality
+        codec, out, score = encoded(photo, [*names, "png"] if settings["faithful.lossless"] else names, chosen, bool(settings["faithful.verify_thorough"]))
+        faces = None if found is None else len(found)
         if settings["faithful.skip_if_larger"] and quality is not None and len(out) >= len(data):
             return "skipped-larger", None, data, faces, score
         return "ok", codec, out, faces, score

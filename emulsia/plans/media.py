@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsia import photos, settings, tools
-from emulsia.functions import exif, jpeg, png, probe
+from emulsia.functions import exif, jpeg, perceptual, png, probe
 from emulsia.functions import metadata as M
 from emulsia.functions import pixels as P
 from emulsia.operators import reports
@@ -229,6 +229,37 @@ def jpeg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.size("v").alias("samples"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("v", -1).alias("last"))
 
 
+def _score_sql() -> str:
+    """The score of two grey 8x8 rasters: of equal colours only brightness can differ, and there is one size."""
+    taps = perceptual.kernel()
+    half = len(taps) // 2
+    weight = perceptual.WEIGHTS[1, 0].ravel()
+    kernel = ", ".join(f"({i}, {j}, {float(taps[i - j + half])!r}::DOUBLE)" for i in range(8) for j in range(8) if abs(i - j) <= half)
+    bias, a, b = repr(perceptual.BIAS), perceptual.SUM_TIMES, perceptual.CUBIC
+    unit = lambda v: f"({v} / 255.0::DOUBLE)"
+    light = lambda v: f"CASE WHEN {unit(v)} <= 0.04045 THEN {unit(v)} / 12.92::DOUBLE ELSE pow(({unit(v)} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+    bright = lambda v: f"cbrt({light(v)} + {bias}::DOUBLE) - cbrt({bias}::DOUBLE) + 0.01::DOUBLE"
+    sums = ", ".join(f"sum(w * {c}) AS {c}" for c in ("p", "q", "pp", "qq", "pq"))
+    norms = ", ".join(f"avg({e}), pow(avg(pow({e}, 4)), 0.25::DOUBLE)" for e in ("greatest(d, 0)", "greatest(e, 0)", "greatest(-e, 0)"))
+    order = [0, 3, 1, 4, 2, 5]  # of `norms` as the weights have them
+    total = " + ".join(f"{float(weight[k])!r}::DOUBLE * n[{i + 1}]" for i, k in enumerate(order))
+    return f"""WITH g AS ({GREY}), px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, {bright("g[i + 1]")} AS p, {bright("(g[i + 1] // 16 * 16)")} AS q FROM g, range(64) t(i)),
+k(i, j, w) AS (VALUES {kernel}), m AS (SELECT *, p AS p0, q AS q0, p * p AS pp, q * q AS qq, p * q AS pq FROM px),
+h AS (SELECT vec_id, y, i AS x, {sums} FROM m JOIN k ON j = x GROUP BY vec_id, y, i), v AS (SELECT vec_id, i AS y, x, {sums} FROM h JOIN k ON j = y GROUP BY vec_id, i, x),
+e AS (SELECT vec_id, 1 - (1 - pow(v.p - v.q, 2)) * (2 * (v.pq - v.p * v.q) + 0.0009::DOUBLE) / ((v.pp - v.p * v.p) + (v.qq - v.q * v.q) + 0.0009::DOUBLE) AS d,
+  (1 + abs(m.q0 - v.q)) / (1 + abs(m.p0 - v.p)) - 1 AS e FROM v JOIN m USING (vec_id, y, x)),
+s AS (SELECT vec_id, {a!r}::DOUBLE * ({total}) AS s FROM (SELECT vec_id, [{norms}] AS n FROM e GROUP BY vec_id)), c AS (SELECT vec_id, {b[0]!r}::DOUBLE * s + ({b[1]!r}::DOUBLE) * s * s + {b[2]!r}::DOUBLE * s * s * s AS s FROM s)
+SELECT vec_id, round(CASE WHEN s > 0 THEN 100 - 10 * pow(s, {perceptual.POWER!r}::DOUBLE) ELSE 100.0::DOUBLE END, 6) AS score FROM c"""
+
+
+@query(_score_sql())
+def perceptual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters against themselves in sixteen shades."""
+    grey = table(spark, sf_dir, "embeddings").select("vec_id", P.clipped(F.transform("embedding", lambda x: 128 + x.cast("double") * 300), 8).alias("g"))
+    coarse = F.transform("g", lambda x: F.floor(x / 16) * 16)
+    return grey.select("vec_id", F.round(perceptual.raster_score("g", coarse, F.lit(8)), 6).alias("score"))
+
+
 def _middle(image) -> list:
     """Stands for a detector: one face in the middle."""
     height, width = image.shape[:2]
