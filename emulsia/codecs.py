@@ -46,6 +46,17 @@ def unregister(name: str) -> None:
         _codecs[name] = BUILT_IN[name]
 
 
+def plugins() -> dict[str, Codec]:
+    """What is registered beside the built-in codecs: a job takes it along, as tasks run in processes of their own."""
+    return {name: codec for name, codec in _codecs.items() if codec is not BUILT_IN.get(name)}
+
+
+def install(found: dict[str, Codec]) -> None:
+    """The built-in codecs and those that a job took along, and no others that an earlier job left in the process."""
+    _codecs.clear()
+    _codecs.update(BUILT_IN | found)
+
+
 def available(name: str) -> bool:
     return name in _codecs
 

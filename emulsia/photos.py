@@ -297,8 +297,10 @@ _NAMES = ["path", "status", "codec", "content", "original_size", "compressed_siz
 
 def _each(files: DataFrame, one: Callable[[str, bytes], tuple]) -> DataFrame:
     """files (path, content) through one(path, bytes) to (status, codec, content, faces, similarity)."""
+    plugins = codecs.plugins()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs.install(plugins)
         for b in batches:
             for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
                 size = len(data or b"")
