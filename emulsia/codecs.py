@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 
 from emulsia.errors import EncodeError, InputError
-from emulsia.functions import jpeg, pixels, png
+from emulsia.functions import heif, jpeg, pixels, png
 
 #: The names and suffixes that settings may ask for.
-KNOWN = ("avif", "jxl", "webp", "jpg", "png")
+KNOWN = ("avif", "jxl", "webp", "jpg", "png", "heif")
 
 
 @dataclass(frozen=True)
@@ -73,6 +73,8 @@ def decode(data: bytes) -> np.ndarray:
     for codec in _codecs.values():
         if codec.owns(data):
             return codec.decode(data)
+    if heif.owns(data):
+        raise InputError("no installed codec reads HEIF pixels: register one under the name heif")
     raise InputError("no installed codec reads this format")
 
 

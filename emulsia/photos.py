@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emulsia import codecs
 from emulsia.errors import ContainerError, EmulsiaError, PlanError, RestoreError, SkipFile
-from emulsia.functions import exif, perceptual, pixels, png, restore
+from emulsia.functions import exif, heif, perceptual, pixels, png, restore
 from emulsia.functions.search import QUALITY
 from emulsia.sources import container
 
@@ -54,24 +54,45 @@ def upright(image: np.ndarray, orientation: int) -> np.ndarray:
 def load(data: bytes, strip_place: bool = False) -> Photo:
     """A photo turned upright, its EXIF block saying so, and without its place if that is asked; grey becomes three channels.
 
-    A gain map behind the picture is stored unturned like the picture, so it is turned with it.
+    A gain map behind the picture is stored unturned like the picture, so it is turned with it. A decoder of HEIF turns
+    what it decodes, so neither is turned again; a gain map there that can't be decoded is left out.
     """
     image = codecs.decode(data)
+    if heif.owns(data):
+        return _from_items(data, image, strip_place)
     block, icc = png.extras(data) if data.startswith(png.SIGNATURE) else (exif.exif_of(data), exif.profile_of(data)) if data[:2] == b"\xff\xd8" else (None, None)
     turn = exif.read_orientation(block)
-    block = exif.upright(block)
-    if strip_place:
-        block = exif.without_place(block)
-    if image.ndim == 3 and image.shape[2] in (2, 4):
-        image = image[..., :-1]
-    if image.ndim == 2 or image.shape[2] == 1:
-        image = np.repeat(image.reshape(*image.shape[:2], 1), 3, axis=2)
-    photo = Photo(upright(image, turn), block, icc, turn)
+    photo = Photo(upright(coloured(image), turn), cleaned(block, strip_place), icc, turn)
     if found := exif.gain_map_of(data) if data[:2] == b"\xff\xd8" else None:
         photo.gain, photo.gain_xmp = upright(codecs.decode(found[1]), turn), found[2]
     return photo
 
 
+def coloured(image: np.ndarray) -> np.ndarray:
+    """Three channels: without a mask, and grey three times."""
+    if image.ndim == 3 and image.shape[2] in (2, 4):
+        image = image[..., :-1]
+    return np.repeat(image.reshape(*image.shape[:2], 1), 3, axis=2) if image.ndim == 2 or image.shape[2] == 1 else image
+
+
+def cleaned(block: bytes | None, strip_place: bool) -> bytes | None:
+    """An EXIF block that says upright, without its place if that is asked."""
+    block = exif.upright(block)
+    return exif.without_place(block) if strip_place else block
+
+
+def _from_items(data: bytes, image: np.ndarray, strip_place: bool) -> Photo:
+    found = heif.Heif(data)
+    block = found.exif()
+    photo = Photo(coloured(image), cleaned(block, strip_place), found.items[found.primary].profile, exif.read_orientation(block))
+    if gain := found.gain_map():
+        try:
+            photo.gain = codecs.decode(found.picture(gain.id))
+        except EmulsiaError:
+            pass
+    return photo
+
+
 def load_any(data: bytes) -> Photo:
     """A photo from a picture or, rebuilt without a model, from a container."""
     return rebuild(data) if data[:2] == b"PK" else load(data)

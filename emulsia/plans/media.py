@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsia import photos, settings, tools
-from emulsia.functions import exif, jpeg, perceptual, png, probe
+from emulsia.functions import exif, heif, jpeg, perceptual, png, probe
 from emulsia.functions import metadata as M
 from emulsia.functions import pixels as P
 from emulsia.operators import reports
@@ -229,6 +229,21 @@ def jpeg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.size("v").alias("samples"), F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("v", -1).alias("last"))
 
 
+@query("""SELECT p_partkey, CAST(640 + p_size AS INT) AS width, CAST(480 + p_size AS INT) AS height, CAST(p_size % 4 AS INT) AS quarters, CAST(CASE WHEN p_size % 3 = 0 THEN 3 ELSE 2 END AS INT) AS items,
+  CAST(1 + p_partkey % 8 AS INT) AS orientation, p_name AS icc, CASE WHEN p_size % 3 = 0 THEN 'urn:com:apple:photo:2020:aux:hdrgainmap' END AS gain_name,
+  CAST(CASE WHEN p_size % 3 = 0 THEN (640 + p_size) // 2 END AS INT) AS gain_width, CAST(CASE WHEN p_size % 3 = 0 THEN 100 + p_size END AS INT) AS gain_bytes FROM part WHERE p_partkey % 7 <> 0""")
+def heif_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of items, written and read back; every seventh lacks its end and is left out."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    block = exif_block(1 + k % 8, F.lit(False))
+    sizes = F.struct((640 + n).alias("width"), (480 + n).alias("height"), (n % 4).alias("quarters"), block.alias("exif"), F.col("p_name").cast("binary").alias("icc"), F.when(n % 3 == 0, 100 + n).otherwise(0).alias("gain"))
+    files = parts(spark, sf_dir).select("p_partkey", heif.heif_file(sizes).alias("f"))
+    cut = F.when(k % 7 == 0, F.expr("substring(f, 1, octet_length(f) DIV 2)")).otherwise(F.col("f"))
+    x = files.select("p_partkey", heif.heif_facts(cut).alias("x")).filter("x.width IS NOT NULL")
+    shown = ("width", "height", "quarters", "items")
+    return x.select("p_partkey", *[f"x.{c}" for c in shown], exif.orientation_udf("x.exif").alias("orientation"), F.col("x.icc").cast("string").alias("icc"), "x.gain_name", "x.gain_width", "x.gain_bytes")
+
+
 def _score_sql() -> str:
     """The score of two grey 8x8 rasters: of equal colours only brightness can differ, and there is one size."""
     taps = perceptual.kernel()
