@@ -9,7 +9,8 @@ Of equal payloads of at least REVISIT_BYTES bytes, the one with the largest page
 revisit it. Payloads move once.
 
 Defined results: a null html is the empty payload; a null id is smaller than every id; rows with the same id and
-payload are all responses or all revisits; a null url is written as none; an empty table gives an empty table.
+payload are all responses or all revisits; ids of any characters are quoted in the records; a null url is written as
+none; an empty table gives an empty table. Payloads without a digest meet none in the join: each has a key of its own.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ BUNDLE_BYTES = 16 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+NO_ID = "%"  # in the place of a null id: what no quoted id is
 INDEX = "record_id string, bundle string, frame int, offset int, length int"
 
 
@@ -162,6 +164,10 @@ def _arrow(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+def _named(who: str | None) -> str:
+    return NO_ID if who is None else quote(who, safe="")
+
+
 def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     writer = BundleWriter(folder)
     names, types = ["record_id", "bundle", "frame", "offset", "length"], [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
@@ -169,7 +175,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
         for who, url, html, keeper in zip(*(b.column(c).to_pylist() for c in ("page", "url", "html", "keeper"))):
             payload = (html or "").encode()
             kind = "response" if keeper is None or keeper == who else "revisit"
-            writer.add(Record(str(who), kind, url, payload, hashlib.sha1(payload).hexdigest(), len(payload), keeper if kind == "revisit" else None))
+            writer.add(Record(_named(who), kind, url, payload, hashlib.sha1(payload).hexdigest(), len(payload), _named(keeper) if kind == "revisit" else None))
         yield _arrow(writer.taken_rows(), names, types)
     writer.close()
     yield _arrow(writer.taken_rows(), names, types)
@@ -179,8 +185,9 @@ def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str
     """Writes bundles into the folder and returns the index, a row for each record."""
     payload = common.text_of(F.col(html))
     lean = pages.select(F.col(key).alias("id"), F.col(url).cast("string").alias("url"), payload.alias("html"))
-    lean = lean.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha2("html", 256)))
-    groups = lean.filter("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    alone = F.concat(F.lit("alone-"), F.monotonically_increasing_id().cast("string"))
+    lean = lean.withColumn("digest", F.when(F.octet_length("html") >= REVISIT_BYTES, F.sha2("html", 256)).otherwise(alone))
+    groups = lean.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
     joined = common.join_same(lean, groups.hint("merge"), ["digest"], "left", nulls=())
     ids = joined.select(F.col("id").cast("string").alias("page"), "url", "html", F.col("keeper").cast("string").alias("keeper"))
     return common.stored(ids.mapInArrow(lambda b: _write(b, folder), INDEX), "warc-index")
@@ -203,6 +210,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Per page, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = common.new_path(pages.sparkSession, "warc")
     kind = pages.schema["page_id"].dataType
-    back = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind)
+    back = lambda c: F.when(F.col(c) != NO_ID, F.url_decode(c)).cast(kind)
     records = read_archive(write_archive(pages, folder), folder)
     return records.select(back("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to"))

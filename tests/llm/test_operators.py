@@ -316,6 +316,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_of_any_characters_and_small_pages(spark):
+    ids = ["None", None, "a\r\nX: y", "%", "é ß+%41", "", "-", ">"]
+    rows = [(i, "u", "y" * 2000) for i in ids] + [(f"s{k}", "u", None) for k in range(300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)).collect()
+    large = {r["page_id"]: r for r in got if r["payload_bytes"]}
+    assert len(got) == len(rows) and set(large) == set(ids) and {r["page_id"] for r in got} == {r[0] for r in rows}
+    first = max(i for i in ids if i is not None)
+    assert all(r["refers_to"] == (None if i == first else first) and r["record_type"] == ("response" if i == first else "revisit") for i, r in large.items())
+
+
 def test_warc_index_finds_single_records(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"page {i} " * 40_000) for i in range(9)]
     folder = f"file://{tmp_path}/bundles"
