@@ -1,11 +1,12 @@
 """Detectors as plug-ins: a named factory gives a function from image bytes to boxes, run in Arrow batches.
 
-No image library is installed here, so a built-in name needs a plug-in to run it (`provide`) and is an error without
-one; an image that can't be read, or a detector that fails, gives an empty list and an error beside it, never a failed job.
+haar runs a cascade that a file holds; the other built-in names are those of libraries that aren't installed here, so
+they need a plug-in to run them (`provide`) and are an error without one; an image that can't be read, or a detector that fails, gives an empty list and an error beside it, never a failed job.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -54,11 +55,34 @@ def create_detector(name: str, **settings: object) -> Detect:
     """The plug-in's function; a built-in name that nothing provides is an error, never a detector that finds nothing."""
     if name in _plugins:
         return _plugins[name](**settings)
+    if name == "haar":
+        return _haar(**settings)
     if name in BUILT_IN:
         raise DetectorError(f"detector {name!r} needs an image library: install one and call detectors.provide({name!r}, factory), or register a detector of your own")
     raise DetectorError(f"unknown detector {name!r}")
 
 
+def _haar(cascade: str | None = None, **_: object) -> Detect:
+    """A function that finds faces by the cascade in a file (an XML; else that of EMULSIA_HAAR_CASCADE); its faces are sure."""
+    from emulsia import photos
+    from emulsia.functions import cascade as C
+
+    path = cascade or os.environ.get("EMULSIA_HAAR_CASCADE")
+    if not path:
+        raise DetectorError("detector 'haar' needs a cascade: give the path of its XML, or set EMULSIA_HAAR_CASCADE")
+    try:
+        with open(path, "rb") as file:
+            trained = C.read(file.read())
+    except OSError as e:
+        raise DetectorError(f"the cascade can't be read: {e}") from e
+
+    def run(data: bytes) -> list[tuple[int, int, int, int, float]]:
+        gray = photos.luma(photos.eight_bits(photos.load(data).image))
+        return [(*box, 1.0) for box in C.faces(trained, gray.round().astype("uint8"))]
+
+    return run
+
+
 def create_hand_detector(name: str | None, **settings: object) -> Detect | None:
     """The plug-in that finds hands, none where none is asked for or provided: hands are then guessed from the faces."""
     if name is None or (name in BUILT_IN and name not in _plugins):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsia import photos, settings, tools
-from emulsia.functions import exif, heif, jpeg, perceptual, png, probe
+from emulsia.functions import cascade, exif, heif, jpeg, perceptual, png, probe
 from emulsia.functions import metadata as M
 from emulsia.functions import pixels as P
 from emulsia.operators import reports
@@ -275,6 +275,20 @@ def perceptual_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grey.select("vec_id", F.round(perceptual.raster_score("g", coarse, F.lit(8)), 6).alias("score"))
 
 
+#: A cascade of two stages over a window of 24 by 24: brighter on the left than on the right, then above than below.
+LIGHT_LEFT_ABOVE = cascade.Cascade(24, 24, [cascade.Stage(0.5, [([(0, -1, k, 0.02)], [0.0, 1.0])]) for k in (0, 1)], [[(0, 0, 24, 24, -1.0), (0, 0, 12, 24, 2.0)], [(0, 0, 24, 24, -1.0), (0, 0, 24, 12, 2.0)]])
+
+
+@query(f"""WITH g AS ({GREY}), w AS (SELECT vec_id, g, [CASE WHEN i IN (0, 7) THEN 2 ELSE 3 END for i in range(8)] AS r FROM g),
+c AS (SELECT vec_id, i, g[i + 1] AS v, r[i // 8 + 1] * r[i % 8 + 1] AS n FROM w, range(64) t(i)),
+s AS (SELECT vec_id, sum(CASE WHEN i % 8 < 4 THEN 9 * v ELSE -9 * v END) AS across, sum(CASE WHEN i < 32 THEN 9 * v ELSE -9 * v END) AS down, 484 * sum(n * v * v) - sum(n * v) * sum(n * v) AS spread FROM c GROUP BY vec_id)
+SELECT vec_id, CAST(CASE WHEN least(across, down) >= 0.02::DOUBLE * CASE WHEN spread > 0 THEN sqrt(CAST(spread AS DOUBLE)) ELSE 1.0::DOUBLE END THEN 1 ELSE 0 END AS INT) AS windows FROM s""")
+def cascade_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of the size of a cascade's window, and whether they pass it."""
+    grey = table(spark, sf_dir, "embeddings").select("vec_id", P.clipped(F.transform("embedding", lambda x: 128 + x.cast("double") * 300), 8).alias("g"))
+    return grey.select("vec_id", cascade.raster_faces(LIGHT_LEFT_ABOVE, 8, 3)("g").alias("windows"))
+
+
 def _middle(image) -> list:
     """Stands for a detector: one face in the middle."""
     height, width = image.shape[:2]
