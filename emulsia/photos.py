@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emulsia import codecs
 from emulsia.errors import ContainerError, EmulsiaError, PlanError, RestoreError, SkipFile
-from emulsia.functions import exif, heif, perceptual, pixels, png, restore
+from emulsia.functions import align, exif, heif, perceptual, pixels, png, restore
 from emulsia.functions.search import QUALITY
 from emulsia.sources import container
 
@@ -261,9 +261,19 @@ def unpack(data: bytes) -> tuple[dict, dict[str, bytes]]:
     return whole, members
 
 
-def rebuild(data: bytes, upscale: Callable[[np.ndarray, int, int], np.ndarray] | None = None, settings: dict[str, object] | None = None) -> Photo:
+@dataclass
+class Enhancer:
+    """A model of faces: `find` gives five landmarks for each face of a picture, `enhance` a better upright face of the same shape."""
+
+    find: Callable[[np.ndarray], list[np.ndarray]]
+    enhance: Callable[[np.ndarray], np.ndarray]
+
+
+def rebuild(data: bytes, upscale: Callable[[np.ndarray, int, int], np.ndarray] | None = None, settings: dict[str, object] | None = None, enhancer: Enhancer | None = None) -> Photo:
     """A photo from its container: the background enlarged (by a model, if one is given), then regions, then faces.
 
+    An enhancer works on the faces that only the background holds: stored crops are laid over what it made.
+
     What a model made is anchored to the stored background and, if asked, moved to shrink to it; a residual replaces the
     model. Grain of the crops' strength is laid over the background.
     """
@@ -295,6 +305,8 @@ def rebuild(data: bytes, upscale: Callable[[np.ndarray, int, int], np.ndarray] |
             out = out + 0.5 * enlarged(background - small, height, width)
     else:
         out = enlarged(background, height, width)
+    if enhancer is not None:
+        out = align.enhanced(out, enhancer.find(np.clip(out, 0, 255)), enhancer.enhance, float(chosen["aggressive.face_enhance_strength"]))
     if chosen["aggressive.restore_grain"]:
         strength = grain_of(patches["faces"] or patches["regions"])
         if strength > 0:
@@ -370,11 +382,11 @@ def compress_photos(files: DataFrame, settings: dict[str, object], detect: Detec
     return _each(files, one)
 
 
-def restore_photos(containers: DataFrame, settings: dict[str, object] | None = None) -> DataFrame:
-    """Containers (path, content) as RESULT rows whose content is a PNG."""
+def restore_photos(containers: DataFrame, settings: dict[str, object] | None = None, upscale: Callable[[np.ndarray, int, int], np.ndarray] | None = None, enhancer: Enhancer | None = None) -> DataFrame:
+    """Containers (path, content) as RESULT rows whose content is a PNG; models are functions that the job takes along."""
 
     def one(path: str, data: bytes) -> tuple:
-        photo = rebuild(data, settings=settings)
+        photo = rebuild(data, upscale, settings, enhancer)
         faces = len(unpack(data)[0].get("faces") or [])
         return "ok", "png", png.encode(photo.image, photo.exif, photo.icc), faces, None
 

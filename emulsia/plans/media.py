@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emulsia import photos, settings, tools
-from emulsia.functions import cascade, exif, heif, jpeg, perceptual, png, probe
+from emulsia.functions import align, cascade, exif, heif, jpeg, perceptual, png, probe
 from emulsia.functions import metadata as M
 from emulsia.functions import pixels as P
 from emulsia.operators import reports
@@ -289,6 +289,23 @@ def cascade_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grey.select("vec_id", cascade.raster_faces(LIGHT_LEFT_ABOVE, 8, 3)("g").alias("windows"))
 
 
+_UP = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, (x, y) in enumerate(align.UPRIGHT.tolist()))
+
+
+@query(f"""WITH u(i, u, v) AS (VALUES {_UP}), p AS (SELECT vec_id, i, u, v, 100 * CAST(embedding[2 * i + 1] AS DOUBLE) AS x, 100 * CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, u),
+m AS (SELECT vec_id, avg(x) AS x, avg(y) AS y, avg(u) AS u, avg(v) AS v FROM p GROUP BY vec_id),
+c AS (SELECT vec_id, sum((p.x - m.x) * (p.u - m.u) + (p.y - m.y) * (p.v - m.v)) / sum(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS re, sum((p.x - m.x) * (p.v - m.v) - (p.y - m.y) * (p.u - m.u)) / sum(pow(p.x - m.x, 2) + pow(p.y - m.y, 2)) AS im
+  FROM p JOIN m USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, round(re, 6) AS re, round(im, 6) AS im, round(u - re * x + im * y, 6) AS dx, round(v - re * y - im * x, 6) AS dy FROM c JOIN m USING (vec_id)""")
+def face_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five points brought nearest to an upright face's; an embedding's first values stand for landmarks."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    value = lambda i: 100 * F.get("embedding", F.lit(i)).cast("double")
+    points, onto = F.array(*[point(value(2 * i), value(2 * i + 1)) for i in range(5)]), F.array(*[point(F.lit(x), F.lit(y)) for x, y in align.UPRIGHT.tolist()])
+    t = table(spark, sf_dir, "embeddings").select("vec_id", align.fit_column(points, onto).alias("t"))
+    return t.select("vec_id", *[F.round(f"t.{c}", 6).alias(name) for c, name in (("re", "re"), ("im", "im"), ("x", "dx"), ("y", "dy"))])
+
+
 def _middle(image) -> list:
     """Stands for a detector: one face in the middle."""
     height, width = image.shape[:2]
