@@ -24,6 +24,7 @@ from emulsia.operators import reports
 from emulsia.plans import batch
 from emulsia.session import build_session
 from emulsia.sources import archive, container, ledger, sinks
+from emulsia.streaming.inbox import Inbox
 
 def plugin(name: str):
     """The object that module:name names."""
@@ -55,7 +56,7 @@ def scanned(spark: SparkSession, folder: str, chosen: dict[str, object], content
 
 def compress(spark: SparkSession, args: argparse.Namespace) -> int:
     chosen = layered(args)
-    kept = ledger.Table(spark, args.ledger, ledger.PROCESSED) if args.ledger else None
+    kept = ledger.processed(spark, args.ledger) if args.ledger else None
     known = kept.read() if kept else spark.createDataFrame([], ledger.PROCESSED)
     outputs = known.select("output_path").distinct()
     flagged = ledger.with_hits(scanned(spark, args.folder, chosen, True), known, outputs)
@@ -70,7 +71,7 @@ def compress(spark: SparkSession, args: argparse.Namespace) -> int:
     if kept:
         stats = flagged.select("path", "size", "mtime")
         with kept:
-            kept.record(done.filter(F.col("status").isin(*ledger.RECORDED)).join(stats, "path").select(*known.columns), ["path"])
+            kept.record(done.filter(F.col("status").isin(*ledger.RECORDED)).join(stats, "path").select(*known.columns))
     rows = reports.totals(done.select("mode", "status", "original_size", "compressed_size"), ["mode"])
     show(rows)
     return 1 if done.filter("status = 'failed'").limit(1).count() else 0
@@ -100,14 +101,17 @@ def bench(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def watch(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Scans until stopped, or --cycles times; a file is taken when two scans in a row agree about it."""
-    before: DataFrame | None = None
+    """Scans until stopped, or --cycles times; a file is taken once, when two scans in a row agree about it."""
+    inbox = Inbox(spark, args.state or f"{args.folder.rstrip('/')}/.emulsia-watch")
     cycle = 0
     while args.cycles is None or cycle < args.cycles:
-        now = spark.createDataFrame([tuple(r) for r in archive.scan_folder(spark, args.folder).select("path", "length", F.unix_micros("modificationTime")).collect()], "path string, size long, mtime long")
-        stable = now.join(before, ["path", "size", "mtime"], "left_semi") if before is not None else now.limit(0)
-        print(json.dumps({"cycle": cycle, "files": now.count(), "stable": stable.count()}), flush=True)
-        before, cycle = now, cycle + 1
+        files = archive.scan_folder(spark, args.folder).select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime"))
+        now, found = inbox.cycle(files)
+        stable = found.count()
+        if stable:
+            inbox.settle(found.withColumn("verdict", F.lit("done")))
+        print(json.dumps({"cycle": cycle, "files": now.count(), "stable": stable}), flush=True)
+        cycle += 1
         if args.cycles is None or cycle < args.cycles:
             time.sleep(args.interval)
     return 0
@@ -184,6 +188,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("folder")
     p.add_argument("--interval", type=float, default=30)
     p.add_argument("--cycles", type=int)
+    p.add_argument("--state", help="a folder that keeps what was taken, also over restarts")
     p = command(restore, "restore the containers of a folder as PNG files")
     p.add_argument("folder")
     p.add_argument("-o", "--output", required=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emulsia.sources.store import Store
+
 #: Statuses that are recorded; others are tried again.
 RECORDED = ("ok", "skipped-larger", "kept-original")
 
@@ -88,48 +90,11 @@ PROCESSED = "path string, content_hash string, fingerprint string, output_path s
 DETECTED = "content_hash string, fingerprint string, boxes string"
 
 
-class Table:
-    """A table that outlives a run: a Parquet folder a version under `path`, of which the last whole one counts.
+def processed(spark: SparkSession, path: str) -> Store:
+    """The ledger under a path."""
+    return Store(spark, path, PROCESSED, ["path"])
 
-    A version is written beside the one that is read, so a run that breaks off changes nothing; columns that an older
-    version lacks are null. Used in a `with`, it removes the versions that are no longer read.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        jvm = spark.sparkContext._jvm
-        self._at = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join((self.path, *p)))
-        self._fs = self._at("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def __enter__(self) -> Table:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.close()
-
-    def versions(self) -> list[int]:
-        """The versions that were written to their end."""
-        found = self._fs.globStatus(self._at("version-*", "_SUCCESS")) or []
-        return sorted(int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found)
-
-    def read(self) -> DataFrame:
-        last = self.versions()
-        if not last:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version-{last[-1]:09}")
-
-    def write(self, rows: DataFrame) -> None:
-        """rows as the next version; they may come from the present one."""
-        taken = [int(f.getPath().getName().rpartition("-")[2]) for f in self._fs.globStatus(self._at("version-*")) or []]
-        rows.select(*self.read().columns).write.parquet(f"{self.path}/version-{max(taken, default=0) + 1:09}")
-
-    def record(self, changes: DataFrame, keys: list[str]) -> None:
-        """The next version, with each changed row in place of those with its keys."""
-        known = self.read().join(changes.select(*keys), keys, "left_anti")
-        self.write(known.unionByName(changes.select(*known.columns)))
-
-    def close(self) -> None:
-        keep = self.versions()[-1:]
-        for f in self._fs.globStatus(self._at("version-*")) or []:
-            if keep and int(f.getPath().getName().rpartition("-")[2]) < keep[0]:
-                self._fs.delete(f.getPath(), True)
+def detected(spark: SparkSession, path: str) -> Store:
+    """The memo of detections under a path."""
+    return Store(spark, path, DETECTED, ["content_hash", "fingerprint"])

@@ -122,26 +122,6 @@ def test_watch_stream_runs(spark, tmp_path):
     assert rows["a", 2] == "done" and rows["b", 3] == "held"
 
 
-def test_a_table_keeps_its_last_whole_version(spark, tmp_path):
-    from emulsia.sources import ledger
-
-    path = str(tmp_path / "ledger")
-    row = lambda p, h: (p, h, "f", "o", 1, 2, "faithful", "ok")
-    rows = lambda *r: spark.createDataFrame(list(r), ledger.PROCESSED)
-    with ledger.Table(spark, path, ledger.PROCESSED) as t:
-        assert t.read().count() == 0 and t.versions() == []
-        t.record(rows(row("a", "1"), row("b", "1")), ["path"])
-        t.record(rows(row("b", "2"), row("c", "1")), ["path"])
-        assert {(r["path"], r["content_hash"]) for r in t.read().collect()} == {("a", "1"), ("b", "2"), ("c", "1")} and len(t.versions()) == 2
-    again = ledger.Table(spark, path, ledger.PROCESSED + ", note string")
-    assert len(again.versions()) == 1 and again.read().filter("note IS NULL").count() == 3
-    # a version that broke off isn't read, and its number isn't used again
-    (tmp_path / "ledger" / "version-000000009").mkdir()
-    assert again.read().count() == 3
-    again.write(again.read().filter("path = 'a'"))
-    assert again.versions()[-1] == 10 and again.read().count() == 1
-
-
 def test_hand_detectors_are_optional():
     from emulsia import detectors
 
