@@ -23,7 +23,7 @@ from emulsia.functions import perceptual
 from emulsia.operators import reports
 from emulsia.plans import batch
 from emulsia.session import build_session
-from emulsia.sources import archive, container, ledger, sinks
+from emulsia.sources import archive, container, container_source, ledger, sinks
 from emulsia.streaming.inbox import Inbox
 
 def plugin(name: str):
@@ -84,7 +84,8 @@ def verify(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def info(spark: SparkSession, args: argparse.Namespace) -> int:
-    show(container.read_folder(spark, args.folder).select("path", "manifest", "error"))
+    found = container_source.manifests(spark, args.folder)
+    show(found.select("path", "size", F.from_json("manifest", container.MANIFEST).alias("manifest"), "error"))
     return 0
 
 
