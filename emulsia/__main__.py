@@ -17,9 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emulsia import codecs, detectors, photos, settings
+from emulsia import clip_runner, codecs, detectors, photos, settings
 from emulsia.errors import EmulsiaError, SettingsError
-from emulsia.functions import perceptual
+from emulsia.functions import perceptual, video
 from emulsia.operators import reports
 from emulsia.plans import batch
 from emulsia.session import build_session
@@ -77,6 +77,20 @@ def compress(spark: SparkSession, args: argparse.Namespace) -> int:
     return 1 if done.filter("status = 'failed'").limit(1).count() else 0
 
 
+def clips(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Clips of a folder through the installed encoder; what isn't smaller, fails or takes too long leaves no file."""
+    chosen = layered(args)
+    local = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    found = archive.scan_folder(spark, args.folder, archive.VIDEO).select(local(F.col("path")).alias("path"))
+    found = found.withColumn("output_path", video.output_path(F.col("path"), F.lit(args.output.rstrip("/"))))
+    done = clip_runner.compress(found, F.lit(int(chosen["video.crf"])), F.lit(int(chosen["video.preset"])), F.lit(True), F.lit(False), limit=args.limit, task_cores=args.cores)
+    target = f"{args.output.rstrip('/')}/runs/clips-{uuid.uuid4().hex[:8]}"
+    done.write.parquet(target)  # encoders run once: what follows reads their results
+    rows = spark.read.schema(clip_runner.RESULT).parquet(target)
+    show(rows.orderBy("path"))
+    return 1 if rows.filter("status IN ('failed', 'timeout')").limit(1).count() else 0
+
+
 def verify(spark: SparkSession, args: argparse.Namespace) -> int:
     audited = container.audit(container.read_folder(spark, args.folder)).orderBy("path")
     show(audited)
@@ -178,6 +192,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", help="a settings file")
     p.add_argument("--preset", choices=sorted(settings.PRESETS))
     p.add_argument("--set", action="append", metavar="KEY=VALUE")
+    p = command(clips, "encode the clips of a folder")
+    p.add_argument("folder")
+    p.add_argument("-o", "--output", required=True)
+    p.add_argument("--limit", type=float, default=6 * 3600, help="seconds that an encoding may take")
+    p.add_argument("--cores", type=int, default=4, help="cores of a task, on a cluster")
+    p.add_argument("--config", help="a settings file")
+    p.add_argument("--preset", choices=sorted(settings.PRESETS))
+    p.add_argument("--set", action="append", metavar="KEY=VALUE")
     for run, text in ((verify, "check the containers of a folder"), (info, "show the manifests of the containers of a folder")):
         command(run, text).add_argument("folder")
     p = command(init, "write a settings file with the defaults", session=False)
