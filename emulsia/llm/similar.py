@@ -8,8 +8,9 @@ and the sign of its largest one. A key is WINNERS of them (one more beyond 2 **
 has a key in each of `KEYS` tables, and texts that share a key share a shard. A pair at 0.8 shares some 14 keys and
 none once in some 300,000 times, a pair at 0.9 shares some 32.
 
-A shard is a BK-tree, searched at the radius NEAR on 128 bits: members without a neighbour leave. Pairs of a shard aren't
-written. The others move once, with their texts, to be a table of sets. A shard's head is the member that meets most others
+A shard is a BK-tree, searched at the radius NEAR on 128 bits: members without a neighbour leave. At that radius a tree
+parts near copies from others, but prunes next to nothing among unrelated texts, so what bounds the work is the size of
+what is searched at once: BLOCK members, and BLOCK of those that ask. Pairs of a shard aren't written. The others move once, with their texts, to be a table of sets. A shard's head is the member that meets most others
 over all shards (of near copies, their original), and each text is first compared with one head, the one of its shards'
 heads that meets most others of those whose fingerprint and size allow the similarity: a question a text, however many
 shards and heads a group of near copies has. Members of another component than the head's are open; any pair that isn't
@@ -111,42 +112,98 @@ def _signed(shingle: int, winners: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _befriended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b) sorted by key: those with a neighbour in the BK-tree of their key; a run may span batches."""
-    held = np.empty((0, 3), dtype=np.int64)
+def _collapsed(rows: np.ndarray) -> np.ndarray:
+    """Sorted rows (key, a, b, n) with equal ones as one, their n added up."""
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)))) if len(rows) else np.zeros(0, dtype=np.int64)
+    return np.column_stack([rows[first, :3], np.add.reduceat(rows[:, 3], first)]) if len(rows) else rows
 
-    def chosen(rows: np.ndarray) -> np.ndarray:
-        bounds = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
-        many = np.flatnonzero(np.diff(bounds) > 1)
-        ok = np.zeros(len(rows), dtype=bool)
-        prints = np.ascontiguousarray(rows[:, 1:]).view(np.uint64)
-        two = bounds[many[np.diff(bounds)[many] == 2]]
-        near = trees.distances(prints[two], prints[two + 1]) <= NEAR
-        ok[two], ok[two + 1] = near, near
-        for x, y in zip(bounds[many].tolist(), bounds[many + 1].tolist()):
-            if y - x > 2:
-                ok[x:y] = trees.befriended(prints[x:y], NEAR)
-        return np.unique(rows[ok], axis=0)
 
-    def batch(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["key", "a", "b"])
+def _befriended(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, a, b) sorted by all three to distinct ones with `sure`: those with a neighbour in the BK-tree of their key.
 
-    kept = [held]
-    for b in batches:
-        rows = np.column_stack([b.column(c).to_numpy() for c in ("key", "a", "b")])
-        if not len(rows):
-            continue
-        if kept[0].size and rows[-1, 0] == kept[0][0, 0]:
-            kept.append(rows)
+    A run may span batches. One of over `block` fingerprints is searched in blocks of as many, so that no task holds or
+    compares a whole crowded shard; its fingerprints without a neighbour in their block are given too, as not sure.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = np.empty((0, 4), dtype=np.int64), None
+
+        def decided(rows: np.ndarray) -> pa.RecordBatch:
+            bounds = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
+            sizes = np.diff(bounds)
+            prints = np.ascontiguousarray(rows[:, 1:3]).view(np.uint64)
+            ok, cut = rows[:, 3] > 1, np.zeros(len(rows), dtype=bool)
+            two = bounds[np.flatnonzero(sizes == 2)]
+            near = trees.distances(prints[two], prints[two + 1]) <= NEAR
+            ok[two] |= near
+            ok[two + 1] |= near
+            for x, y in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
+                for i in range(x, y, block):
+                    j = min(i + block, y)
+                    ok[i:j] |= trees.befriended(prints[i:j], NEAR)
+                cut[x:y] = y - x > block
+            if crowded is not None:
+                cut |= rows[:, 0] == crowded
+            kept = ok | cut
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[kept, k]) for k in range(3)), pa.array(ok[kept])], names=["key", "a", "b", "sure"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.column_stack([*(b.column(c).to_numpy() for c in ("key", "a", "b")), np.ones(b.num_rows, dtype=np.int64)])
+            rows = _collapsed(np.concatenate([held, new]))
+            open_ = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            if open_:
+                yield decided(rows[:open_])
+                crowded = crowded if crowded == rows[-1, 0] else None
+            held = rows[open_:]
+            while len(held) > block:  # the last fingerprint may go on, so a block never ends with it
+                crowded = held[0, 0]
+                yield decided(held[:block])
+                held = held[block:]
+        if len(held):
+            yield decided(held)
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, member, a, b, sign) sorted by key and block to those (key, a, b) that ask and have another member of the block near."""
+    for run in _runs(batches, ["member", "a", "b", "sign"]):
+        if run is None:
             continue
-        rows = np.concatenate([*kept, rows])
-        cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-        if cut:
-            yield batch(chosen(rows[:cut]))
-        kept = [rows[cut:]]
-    rows = np.concatenate(kept)
-    if len(rows):
-        yield batch(chosen(rows))
+        them, us = np.flatnonzero(run["member"]), np.flatnonzero(~run["member"])
+        tree, hit = trees.Tree(run["sign"][them], NEAR), np.zeros(len(us), dtype=bool)
+        for who, point in tree.search(run["sign"][us], hit):
+            other = (tree.points[point] != run["sign"][us][who]).any(axis=1)
+            hit[who[other]] = True
+        if hit.any():
+            yield pa.RecordBatch.from_arrays([pa.array(run[c][us[hit]]) for c in ("key", "a", "b")], names=["key", "a", "b"])
+
+
+def _sharded(rows: DataFrame) -> DataFrame:
+    """(key, a, b) to the distinct ones that have a neighbour in their shard.
+
+    In a crowded shard those that found none in their own block ask all its blocks: a cell is a block of members and a
+    block of those that ask, so both sides of a task are bounded.
+    """
+    found = common.stored(rows.repartition("key").sortWithinPartitions("key", "a", "b").mapInArrow(_befriended(BLOCK), "key long, a long, b long, sure boolean"), "shards")
+    sure = found.filter("sure").drop("sure")
+    lone = found.filter("NOT sure").drop("sure")
+    if lone.isEmpty():
+        return sure
+    asking = lone.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asks"))
+    sizes = common.join_same(found, asking, ["key"]).groupBy("key", "asks").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = common.stored(sizes, "shard-sizes")
+    word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    cell = lambda member, ask: (member * F.col("asks") + ask).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    of = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n))
+    members = common.join_same(found.drop("sure"), sizes, ["key"]).withColumn("other", each("asks")).select("key", cell(of("blocks", "a", "b"), F.col("other")).alias("block"), F.lit(True).alias("member"), "a", "b")
+    asks = common.join_same(lone, sizes, ["key"]).withColumn("other", each("blocks")).select("key", cell(F.col("other"), of("asks", "b", "a")).alias("block"), F.lit(False).alias("member"), "a", "b")
+    cells = members.unionByName(asks).withColumn("sign", F.concat(word("a"), word("b")))
+    more = cells.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_answered, "key long, a long, b long")
+    return sure.unionByName(common.stored(more.distinct(), "shards"))
 
 
 def _hashed(shingle: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -332,7 +389,7 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
     for low in range(0, KEYS[winners], size):
         rows = keyed.select("a", "b", F.posexplode(F.slice("keys", low + 1, size)).alias("table", "key"))
         rows = rows.select((F.shiftleft((F.col("table") + low).cast("long"), 32) + F.col("key")).alias("key"), "a", "b")
-        part = common.stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_befriended, "key long, a long, b long"), "shards")
+        part = _sharded(rows)
         shards = part if shards is None else shards.unionByName(part)
     rows = common.join_same(shards, keyed.select("point", "size", "a", "b"), ["a", "b"])
     counted = rows.groupBy("key").agg(F.count("*").alias("n"))
@@ -357,13 +414,15 @@ def roots(docs: DataFrame, text: Column, shingle: int, similarity: float) -> Dat
     placed = common.join_same(headed.select("key", "point", "n", "head"), found, ["point"], "left").withColumn("root", F.coalesce("root", "point"))
     top = placed.filter("point = head").select("key", F.col("root").alias("top"))
     placed = common.stored(common.join_same(placed, top, ["key"]).withColumn("open", F.col("root") != F.col("top")), "shard-roots")
-    parted = placed.filter("open").select("key").distinct()
-    some = common.join_same(placed, parted, ["key"]).select("key", "point", "root", "open", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    parted = placed.filter("open").groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    some = common.join_same(placed, parted, ["key"]).select("key", "point", "root", "open", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), "parts")
     some = common.stored(some, "shard-open")
-    home = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
-    own = some.select("key", home.alias("block"), F.lit(True).alias("member"), F.col("open").alias("asks"), "point", "root", "n")
+    # a cell is a block of members and a part of the open ones: neither side of a run is unbounded
+    home, part = (F.pmod(F.xxhash64("point", *salt), F.col(c)).cast("int") for c, salt in (("blocks", []), ("parts", ["point"])))
+    each = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = each.select("key", (home * F.col("parts") + F.col("part")).alias("block"), F.lit(True).alias("member"), (F.col("open") & (F.col("part") == part)).alias("asks"), "point", "root", "n")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != home)
-    asking = some.filter("open AND blocks > 1").select("key", F.explode(others).alias("block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "point", "root", "n")
+    asking = some.filter("open AND blocks > 1").withColumn("other", F.explode(others)).select("key", (F.col("other") * F.col("parts") + part).alias("block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "point", "root", "n")
     dealt = lambda rows: rows.repartition("key", "block").sortWithinPartitions("key", "block")
     known = common.join_same(some.groupBy("point").agg(F.collect_list(F.struct("n", "key")).alias("shards")), keyed.select("point", "sign"), ["point"])
     runs = common.join_same(own.unionByName(asking), common.stored(known, "shard-signs"), ["point"])
