@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import boxes, clips, ledgers, measures, media, runs
+from . import boxes, clips, ledgers, measures, media, runs, stored
 
 QUERIES: dict = {}
 SQL: dict = {}
-for part in (ledgers, boxes, measures, clips, runs, media):
+for part in (ledgers, boxes, measures, clips, runs, media, stored):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +29,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     session = builder.config(map=settings).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which the driver and all executors share; a temporary one only on a local master without it."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="emulsia-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = f"file://{own}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -87,12 +87,11 @@ class Store:
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, compacted: bool) -> str:
+    def _write(self, rows: DataFrame) -> str:
         """rows as a folder of the store, a directory a bucket."""
         folder = f"rows-{uuid.uuid4().hex}"
         bloom = {f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}
-        dealt = rows.withColumn(BUCKET, self._bucket())
-        dealt = dealt.repartition(BUCKET) if compacted else dealt
+        dealt = rows.withColumn(BUCKET, self._bucket()).repartition(BUCKET)  # a file a bucket, however many tasks made the rows
         dealt.write.options(**bloom).partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         return folder
 
@@ -125,7 +124,7 @@ class Store:
     def record(self, changes: DataFrame) -> int:
         """Puts each changed row in the place of that with its keys; of several with the same keys one stays. The number of the commit."""
         names = self.spark.createDataFrame([], self.schema).columns
-        folder = self._write(changes.dropDuplicates(self.keys).select(*names), compacted=False)
+        folder = self._write(changes.dropDuplicates(self.keys).select(*names))
         number = self._commit({"kind": "changes", "folder": folder})
         if len(self._state()[1]) >= COMPACT_AFTER:
             self.compact()
@@ -141,7 +140,7 @@ class Store:
         touched = reduce(DataFrame.unionByName, [self._folder(c["folder"]).select(BUCKET) for c in changes]).distinct()
         buckets = sorted(r[0] for r in touched.collect())  # at most as many as there are buckets
         kept = {b: f for b, f in base.items() if b in buckets}
-        folder = self._write(self._merged(kept, changes).drop(BUCKET), compacted=True)
+        folder = self._write(self._merged(kept, changes).drop(BUCKET))
         entry = {"kind": "base", "folder": folder, "buckets": buckets, "through": through}
         number = seen + 1
         while True:

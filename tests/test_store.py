@@ -79,16 +79,16 @@ def test_a_change_during_a_compaction_stays(spark, tmp_path, monkeypatch):
     a.record(rows(spark, x=1, y=1))
     write = a._write
 
-    def interrupted(df, compacted):
-        folder = write(df, compacted)
+    def interrupted(df):
+        folder = write(df)
         b.record(rows(spark, x=9))
         return folder
 
     monkeypatch.setattr(a, "_write", interrupted)
     assert a.compact() and content(a) == content(b) == {"x": 9, "y": 1}
 
-    def overtaken(df, compacted):
-        folder = write(df, compacted)
+    def overtaken(df):
+        folder = write(df)
         assert b.compact()
         return folder
 
@@ -99,7 +99,7 @@ def test_a_change_during_a_compaction_stays(spark, tmp_path, monkeypatch):
 def test_what_broke_off_is_not_read(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"), SCHEMA, ["k"])
     s.record(rows(spark, a=1))
-    s._write(rows(spark, a=2), compacted=False)  # no commit
+    s._write(rows(spark, a=2))  # no commit
     (tmp_path / "s" / "commits" / "000000002.json").write_text('{"kind": "chan')  # a commit that isn't whole
     assert content(s) == {"a": 1}
     assert s.record(rows(spark, a=3)) == 3 and content(s) == {"a": 3}
