@@ -1,22 +1,22 @@
 """A keyed table that outlives a run, as a log of commits over Parquet folders: changes cost what they change.
 
 A record adds a folder of changed rows and one small commit; a read lays the last change of each key over the base. Keys
-are hashed to buckets, and compaction rewrites only buckets that changes touched. Commits are numbered files that are
-created only if absent, so of two writers with one number the second takes the next, and nothing that was written is
-lost; a compaction that another one overtook is dropped. Parquet keeps a Bloom filter for each key column, so that lookups
-by key skip files. A folder without a commit is never read: a run that breaks off changes nothing.
+are hashed to buckets, and compaction rewrites only buckets that changes touched. Commits are numbered files that take
+their places whole and only if these are free, so of two writers with one number the second takes the next, and nothing
+that was written is lost; a compaction that another one overtook is dropped. Parquet keeps a Bloom filter for each key
+column, so that lookups by key skip files. A folder without a commit is never read: a run that breaks off changes nothing.
 
-The store needs a file system that creates a file only if it is absent (HDFS, local disks); an object store without that
+The store needs a file system whose rename doesn't replace a file (HDFS; on local disks it links); an object store
 needs one writer at a time.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +54,21 @@ class Store:
         return sorted(out, key=lambda c: c["number"])
 
     def _create(self, number: int, entry: dict) -> bool:
-        """Writes a commit; false if its number is taken."""
-        try:
-            out = self._fs.create(self._at("commits", f"{number:09}.json"), False)
-        except Py4JJavaError as e:
-            if "FileAlreadyExistsException" in str(e.java_exception.toString()) or "already exists" in str(e.java_exception.toString()):
-                return False
-            raise
+        """Puts a whole commit in its place in one step; false if its number is taken."""
+        place, draft = self._at("commits", f"{number:09}.json"), self._at("commits", f".{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
         out.write(bytearray((json.dumps(entry) + "\n").encode()))
         out.close()
-        return True
+        try:
+            if self._fs.getUri().getScheme() != "file":
+                return self._fs.rename(draft, place)  # false where a file is there
+            try:  # a rename on a local disk would replace it
+                os.link(draft.toUri().getPath(), place.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        finally:
+            self._fs.delete(draft, False)
 
     def _commit(self, entry: dict) -> int:
         number = max((c["number"] for c in self.commits()), default=0) + 1
