@@ -8,7 +8,7 @@ its coordinates: its tree (the number of its group, or TOP for that of the subro
 A leaf knows its index and the size of its group, so the coordinates of the siblings that its proof needs follow by
 arithmetic: leaves explode them, join the written node table, collect and order the digests, concatenate and fold. A node
 of a high level is a sibling of a great part of all leaves; levels of at most SMALL nodes in all are broadcast, and a node
-of a lower level is asked for by at most a 1/8192 of the rows (8 rows out of SMALL). Indices come from a range partition, the
+of a lower level is asked for by at most 1/8192 of the rows (8 of SMALL). Indices come from a range partition, the
 counts of its partitions and the places within them, so no task ranks a group.
 
 Defined results: nulls are fields, groups and keys like any other and come first; a null or empty text is a leaf; a text
@@ -113,7 +113,7 @@ def build(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "doc_id"
     level = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(total).cast("long").alias("n"), "digest")
     for step in range(height, height + levels(total, size) + 1):
         level = common.stored(level, "merkle-level")
-        steps.append(level.withColumn("step", F.lit(step)) if step > height else level.withColumn("step", F.lit(height)))
+        steps.append(level.withColumn("step", F.lit(step)))
         level = parents(level, size)
     # the subroots are nodes of their own trees, and again, one step on, of the top tree
     own = [s.filter("n > 1") for s in steps[: height + 1]]
