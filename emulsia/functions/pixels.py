@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,9 +10,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emulsia.errors import InputError
 
 #: Fixed value: the longest side that WebP takes.
 WEBP_SIDE = 16383
+#: The samples that a function over pictures hands on at once, unless one picture has more.
+SAMPLES_AT_ONCE = 1 << 19
+
+
+def samples(batches: Iterator[pd.Series], decode: Callable[[bytes], np.ndarray]) -> Iterator[pd.Series]:
+    """The samples of each picture in one array, null for what isn't one.
+
+    They are handed on in slices of SAMPLES_AT_ONCE: a batch's rows are counted by the session, and its samples needn't fit.
+    """
+    for b in batches:
+        ready, many = [], 0
+        for data in b:
+            try:
+                ready.append(decode(data or b"").ravel().astype(np.int32))
+                many += len(ready[-1])
+            except InputError:
+                ready.append(None)
+            if many >= SAMPLES_AT_ONCE:
+                yield pd.Series(ready, dtype=object)
+                ready, many = [], 0
+        if ready:
+            yield pd.Series(ready, dtype=object)
 
 
 def mean_square(a: Column, b: Column) -> Column:
