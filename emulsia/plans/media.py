@@ -80,9 +80,9 @@ def clip_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(k % 5 == 0, F.create_map(F.lit("com.apple.QuickTime.content.identifier"), F.concat(F.lit("id-"), k.cast("string"))))
     form = F.to_json(F.struct(F.lit("1234").alias("size"), F.lit("12.5").alias("duration"), F.lit("9000").alias("bit_rate"), tags.alias("tags")))
     text = F.concat(F.lit('{"streams":['), streams, F.lit('],"format":'), form, F.lit("}"))
-    facts = parts(spark, sf_dir).select("p_partkey", probe.clip_facts(text).alias("f")).filter("f IS NOT NULL")
+    found = F.filter(F.array(probe.clip_facts(text)), lambda f: f.isNotNull())  # a filter behind it would be moved before it, and read each text again
     names = ("width", "height", "codec", "bit_depth", "bit_rate", "rotation", "audio_codec", "dynamic_profile", "pair_id")
-    return facts.select("p_partkey", F.round("f.fps", 9).alias("fps"), *[f"f.{c}" for c in names])
+    return parts(spark, sf_dir).select("p_partkey", F.inline(found)).select("p_partkey", F.round("fps", 9).alias("fps"), *names)
 
 
 @query("""WITH v AS (SELECT user_id, list(value ORDER BY value) AS v FROM events GROUP BY user_id)
