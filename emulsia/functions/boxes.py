@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 BOXES = f"array<{BOX}>"
 
@@ -118,8 +120,8 @@ def merge_overlapping(boxes: Column, limit: float, passes: Column) -> Column:
 
     def absorb(kept: Column, e: Column) -> Column:
         hit = F.array_position(F.transform(kept, lambda k: iou(k, e) >= limit), True).cast("int")
-        joined = F.transform(kept, lambda k, i: F.when(i + 1 == hit, merged(k, e)).otherwise(k))
-        return F.when(hit > 0, joined).otherwise(F.concat(kept, F.array(e)))
+        joined = lambda at: F.transform(kept, lambda k, i: F.when(i + 1 == at, merged(k, e)).otherwise(k))
+        return bound(hit, lambda at: F.when(at > 0, joined(at)).otherwise(F.concat(kept, F.array(e))))
 
     def once(a: Column, _: Column) -> Column:
         less = F.aggregate(a["boxes"], F.array().cast(BOXES), absorb)
@@ -141,6 +143,6 @@ def risky_regions(faces: Column, padded: Column, width: Column, height: Column,
 def hand_regions(found: Column, faces: Column, width: Column, height: Column) -> Column:
     """Hands that a detector found, as they are; without any, the bands beside the faces, merged, unless they cover too much."""
     zones = F.flatten(F.transform(faces, lambda b: hand_zones(b, width, height)))
-    merged_zones = merge_overlapping(zones, HAND_MERGE_IOU, F.size(zones))
-    guessed = F.when(coverage(merged_zones, width, height) <= HAND_COVERAGE, merged_zones).otherwise(F.array().cast(BOXES))
+    allowed = lambda m: F.when(coverage(m, width, height) <= HAND_COVERAGE, m).otherwise(F.array().cast(BOXES))
+    guessed = bound(zones, lambda z: bound(merge_overlapping(z, HAND_MERGE_IOU, F.size(z)), allowed))
     return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(guessed)

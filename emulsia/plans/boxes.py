@@ -45,8 +45,8 @@ def frame() -> tuple[Column, Column]:
     return F.lit(WIDTH), F.lit(HEIGHT)
 
 
-def listed(df: DataFrame, column: str = "boxes") -> DataFrame:
-    """A row a box, with its place."""
+def listed(df: DataFrame, column: Column | str = "boxes") -> DataFrame:
+    """A row a box, with its place; a merge given as an expression is computed once, one of a column before it again for a filter."""
     return df.select("image", F.posexplode(column).alias("at", "b")).select("image", "at", "b.*")
 
 
@@ -149,7 +149,7 @@ SELECT image, CAST(i - 1 AS INT) AS at, bs[i].x1 AS x1, bs[i].y1 AS y1, bs[i].x2
 def box_merge_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded boxes merged until no two overlap by a fifth."""
     arrays = ordered(faces(spark, sf_dir)).select("image", F.transform("boxes", lambda b: B.pad_and_clip(b, 1.5, *frame())).alias("boxes"))
-    return listed(arrays.select("image", B.merge_overlapping(F.col("boxes"), B.HAND_MERGE_IOU, F.size("boxes")).alias("boxes")))
+    return listed(arrays, B.merge_overlapping(F.col("boxes"), B.HAND_MERGE_IOU, F.size("boxes")))
 
 
 @query("""WITH RECURSIVE t AS (SELECT vec_id, i, embedding[i + 1] > 0.1::FLOAT AS hot FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings)),
