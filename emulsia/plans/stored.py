@@ -69,7 +69,8 @@ def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers written by the data source, and their names and manifests read back without their members."""
     folder = shared_folder(spark, "containers")
     manifest = F.to_json(F.struct(F.lit(container.VERSION).alias("version"), F.struct(F.concat("p_name", F.lit(".jpg")).alias("filename"), F.col("p_size").alias("width")).alias("original")))
-    rows = parts(spark, sf_dir).select(F.concat(F.col("p_partkey").cast("string"), F.lit(".zip")).alias("path"), manifest.alias("manifest"), F.create_map(F.lit("background.jpg"), F.col("p_name").cast("binary")).alias("members"))
+    dealt = parts(spark, sf_dir).select("p_partkey", "p_name", "p_size").repartition(4 * spark.sparkContext.defaultParallelism)  # a table of few bytes is read by few tasks, and each row becomes a file
+    rows = dealt.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".zip")).alias("path"), manifest.alias("manifest"), F.create_map(F.lit("background.jpg"), F.col("p_name").cast("binary")).alias("members"))
     container_source.register(spark)
     rows.write.format(container_source.NAME).mode("append").save(folder)
     read = spark.read.format(container_source.NAME).schema("path string, names array<string>, manifest string").load(folder)

@@ -8,12 +8,15 @@ each task's files under a folder of the job and moves them when all tasks are do
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import posixpath
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,9 @@ NAME = "photo-container"
 SCHEMA = "path string, size long, names array<string>, manifest string, members map<string,binary>, error string"
 ARROW = {"path": pa.string(), "size": pa.int64(), "names": pa.list_(pa.string()), "manifest": pa.string(), "members": pa.map_(pa.string(), pa.binary()), "error": pa.string()}
 PARTITION_BYTES, PARTITION_FILES = 128 << 20, 1024
+#: The rows that a read hands on at once, fewer where they reach the bytes.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+MOVES_AT_ONCE = 8
 _TEMPORARY = "_temporary-"
 
 
@@ -36,9 +42,10 @@ def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 @dataclass
 class Files(InputPartition):
-    """(path, size) of some files."""
+    """Names and sizes of some files of the folder."""
 
-    files: list[tuple[str, int]]
+    names: list[str]
+    sizes: list[int]
 
 
 def looked_up(file, columns: list[str]) -> dict[str, object]:
@@ -70,21 +77,24 @@ class ContainerReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Files in the order of their paths, some of them a partition."""
         fs, root = _filesystem(self.path)
-        found = [f for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.is_file and fnmatch.fnmatch(f.base_name, self.glob)]
-        out: list[InputPartition] = []
-        taken: list[tuple[str, int]] = []
-        for f in sorted(found, key=lambda f: f.path):
-            if taken and (sum(s for _, s in taken) + f.size > PARTITION_BYTES or len(taken) >= PARTITION_FILES):
-                out.append(Files(taken))
-                taken = []
-            taken.append((f.path, f.size))
-        return [*out, Files(taken)] if taken else out or [Files([])]
+        found = sorted((f.base_name, f.size) for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.is_file and fnmatch.fnmatch(f.base_name, self.glob))
+        out, total = [Files([], [])], 0
+        for name, size in found:
+            if out[-1].names and (total + size > PARTITION_BYTES or len(out[-1].names) >= PARTITION_FILES):
+                out.append(Files([], []))
+                total = 0
+            out[-1].names.append(name)
+            out[-1].sizes.append(size)
+            total += size
+        return out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        fs, _ = _filesystem(self.path)
+        fs, root = _filesystem(self.path)
         schema = pa.schema([(c, ARROW[c]) for c in self.columns])
         opened = not {"path", "size"}.issuperset(self.columns)
-        for path, size in partition.files:
+        rows, held = [], 0
+        for name, size in zip(partition.names, partition.sizes):
+            path = posixpath.join(root, name)
             row: dict[str, object] = {}
             if opened:
                 try:
@@ -93,14 +103,26 @@ class ContainerReader(DataSourceReader):
                 except OSError as e:
                     row = {"error": f"unreadable: {type(e).__name__}"}
             row |= {"path": path, "size": size}
-            yield pa.RecordBatch.from_pylist([{c: row.get(c) for c in self.columns}], schema=schema)
+            rows.append({c: row.get(c) for c in self.columns})
+            held += sum(len(data) for _, data in row.get("members") or []) + len(row.get("manifest") or "")
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Names of a task's files in the job's folder, and where they belong."""
+    """A task's folder in the job's, and a number of each of its files' names."""
+
+    folder: str
+    numbers: bytes
 
-    files: list[tuple[str, str]]
+
+def numbered(name: str) -> bytes:
+    """Eight bytes that tell most names apart."""
+    return hashlib.blake2b(name.encode(), digest_size=8).digest()
 
 
 class ContainerWriter(DataSourceWriter):
@@ -115,39 +137,68 @@ class ContainerWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         fs, root = _filesystem(self.path)
-        folder = posixpath.join(root, self.job)
-        done: list[tuple[str, str]] = []
+        folder = posixpath.join(root, self.job, uuid.uuid4().hex)
+        done: dict[str, bytes] = {}
+        made = False
         try:
             for row in iterator:
                 name = posixpath.basename(row["path"])
                 if not name:
                     raise ContainerError("a container needs a name")
-                at = posixpath.join(folder, uuid.uuid4().hex)
-                done.append((at, posixpath.join(root, name)))
-                with fs.open_output_stream(at) as out:
+                if name in done:
+                    raise ContainerError(f"two rows would be {posixpath.join(root, name)}")
+                if not made:
+                    fs.create_dir(folder, recursive=False)  # not with its parent: that of a job that was given up is gone
+                    made = True
+                done[name] = numbered(name)
+                with fs.open_output_stream(posixpath.join(folder, name)) as out:
                     out.write(container.pack(row["manifest"], dict(row["members"] or {})))
         except BaseException:
-            for at, _ in done:
-                if fs.get_file_info(at).is_file:
-                    fs.delete_file(at)
+            if fs.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+                fs.delete_dir(folder)
             raise
-        return Written(done)
+        return Written(folder, b"".join(done.values()))
+
+    def _twice(self, fs: pyarrow.fs.FileSystem, written: list[Written]) -> str | None:
+        """A name that two tasks wrote: those with an equal number are compared."""
+        found, counts = np.unique(np.frombuffer(b"".join(m.numbers for m in written), dtype=np.uint64), return_counts=True)
+        equal = {n.tobytes() for n in found[counts > 1]}
+        seen: set[str] = set()
+        for m in written if equal else []:
+            for name in self._names(fs, m.folder):
+                if numbered(name) in equal:
+                    if name in seen:
+                        return name
+                    seen.add(name)
+        return None
+
+    @staticmethod
+    def _names(fs: pyarrow.fs.FileSystem, folder: str) -> list[str]:
+        return [f.base_name for f in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if f.is_file]
+
+    @staticmethod
+    def _move(fs: pyarrow.fs.FileSystem, folder: str, root: str, names: list[str]) -> None:
+        for name in names:
+            fs.move(posixpath.join(folder, name), posixpath.join(root, name))
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _filesystem(self.path)
-        files = [f for m in messages if m for f in m.files]
-        ends = [end for _, end in files]
-        twice = next((e for e in ends if ends.count(e) > 1), None) if len(set(ends)) < len(ends) else None
+        written = [m for m in messages if m and m.numbers]
+        twice = self._twice(fs, written)
         if twice is not None:
             self._drop(fs, root)
-            raise ContainerError(f"two rows would be {twice}")
-        for at, end in files:
-            fs.move(at, end)
-        if self.overwrite:
-            kept = {posixpath.basename(e) for e in ends}
-            for f in fs.get_file_info(pyarrow.fs.FileSelector(root)):
-                if f.is_file and f.base_name.endswith(".zip") and f.base_name not in kept:
-                    fs.delete_file(f.path)
+            raise ContainerError(f"two rows would be {posixpath.join(root, twice)}")
+        old = {n for n in self._names(fs, root) if n.endswith(".zip")} if self.overwrite else set()
+        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+            for m in written:
+                names = self._names(fs, m.folder)
+                if len(names) * len(numbered("")) != len(m.numbers):
+                    self._drop(fs, root)
+                    raise ContainerError(f"files of a task are gone from {m.folder}")
+                old.difference_update(names)
+                list(pool.map(lambda some, folder=m.folder: self._move(fs, folder, root, some), [names[i::MOVES_AT_ONCE] for i in range(MOVES_AT_ONCE)]))
+        for name in old:
+            fs.delete_file(posixpath.join(root, name))
         self._drop(fs, root)
 
     def abort(self, messages: list[Written | None]) -> None:

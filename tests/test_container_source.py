@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,28 @@ def test_overwriting(spark, folder):
     assert os.listdir(folder) == ["9.zip"]
     with pytest.raises(Exception, match="no columns"):  # noqa: B017
         spark.read.format(container_source.NAME).schema("path string, other int").load(folder).collect()
+
+
+def test_reads_and_messages_grow_no_faster_than_the_files(spark, tmp_path, monkeypatch):
+    writer = container_source.ContainerWriter({"path": str(tmp_path)}, spark.createDataFrame([], "path string, manifest string, members map<string,binary>").schema, False)
+    said = [writer.write(iter([{"path": f"{'long' * 20}-{k}.zip", "manifest": "{}", "members": {"a": b"x"}} for k in range(n, n + 300)])) for n in (0, 300)]
+    assert all(len(pickle.dumps(m)) < 300 * 8 + 500 for m in said)  # eight bytes a file, no names
+    writer.commit(said)
+    assert len(os.listdir(tmp_path)) == 600
+    reader = container_source.ContainerReader({"path": str(tmp_path)}, spark.createDataFrame([], "path string, names array<string>, members map<string,binary>").schema)
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert len(batches) == 3 and sum(b.num_rows for b in batches) == 600
+    monkeypatch.setattr(container_source, "BATCH_BYTES", 1)
+    assert len(list(reader.read(part))) == 600
+    monkeypatch.setattr(container_source, "PARTITION_BYTES", 300)
+    assert sum(len(p.names) for p in reader.partitions()) == 600 and all(len(p.names) == 1 or sum(p.sizes) <= 300 for p in reader.partitions())
+
+
+def test_equal_numbers_are_no_equal_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(container_source, "numbered", lambda name: bytes(8))
+    writer = container_source.ContainerWriter({"path": str(tmp_path)}, spark.createDataFrame([], "path string, manifest string, members map<string,binary>").schema, False)
+    row = lambda k: {"path": f"{k}.zip", "manifest": "{}", "members": None}
+    writer.commit([writer.write(iter([row(1), row(2)])), writer.write(iter([row(3)])), writer.write(iter([])), None])
+    assert sorted(os.listdir(tmp_path)) == ["1.zip", "2.zip", "3.zip"]
+
