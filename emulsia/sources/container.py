@@ -19,6 +19,9 @@ MANIFEST = (
 )
 LOOKUP = {"background": ("jpg", "avif", "jxl"), "crop": ("png", "avif", "jxl", "jpg"), "residual": ("avif", "jxl", "jpg")}
 VERSION = "1.11.0"
+#: The rows that a task unpacks or packs at once, fewer where they reach the bytes.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
+_TYPES = [pa.string(), pa.string(), pa.map_(pa.string(), pa.binary()), pa.string()]
 MEMBERS = "path string, manifest string, members map<string,binary>, error string"
 
 
@@ -45,9 +48,20 @@ def pack(manifest: str, members: dict[str, bytes]) -> bytes:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [unpack(d) for d in b.column("content").to_pylist()]
-        members = pa.array([list(m.items()) for _, m, _ in rows], pa.map_(pa.string(), pa.binary()))
-        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([m for m, _, _ in rows], pa.string()), members, pa.array([e for _, _, e in rows], pa.string())], names=["path", "manifest", "members", "error"])
+        rows, held = [], 0
+        for path, data in zip(b.column("path"), b.column("content")):
+            manifest, members, wrong = unpack(data.as_py())
+            rows.append((path.as_py(), manifest, list(members.items()), wrong))
+            held += sum(len(d) for d in members.values()) + len(manifest or "")
+            if len(rows) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
+                yield _rows(rows)
+                rows, held = [], 0
+        if rows:
+            yield _rows(rows)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=["path", "manifest", "members", "error"])
 
 
 def read_containers(files: DataFrame) -> DataFrame:
@@ -64,8 +78,12 @@ def read_folder(spark: SparkSession, path: str, suffix: str = "zip") -> DataFram
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        data = [pack(m, dict(x or [])) for m, x in zip(b.column("manifest").to_pylist(), b.column("members").to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(data, pa.binary()), pa.array([len(d) for d in data], pa.int64())], names=["path", "content", "size"])
+        data, begin = [], 0
+        for i, (m, x) in enumerate(zip(b.column("manifest"), b.column("members")), 1):
+            data.append(pack(m.as_py(), dict(x.as_py() or [])))
+            if i == b.num_rows or i - begin >= ROWS_AT_ONCE or sum(map(len, data)) >= BYTES_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([b.column("path").slice(begin, i - begin), pa.array(data, pa.binary()), pa.array([len(d) for d in data], pa.int64())], names=["path", "content", "size"])
+                data, begin = [], i
 
 
 def pack_containers(plans: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from emulsia.functions import metadata as M
@@ -61,3 +62,15 @@ def test_picture_index(spark):
 def test_app1(spark):
     data = bytes(spark.range(1).select(M.app1(F.lit("<x/>"))).first()[0])
     assert data[:2] == b"\xff\xe1" and struct.unpack(">H", data[2:4])[0] == len(data) - 2 and data.endswith(b"\x00<x/>")
+
+
+def test_archives_are_unpacked_and_packed_in_slices():
+    data = C.pack(C.manifest_text("a.jpg", 4, 4, []), {"background.jpg": bytes(1 << 20)})
+    rows = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(20)]), pa.array([data, b"junk"] * 10)], names=["path", "content"])
+    batches = list(C._unpacked(iter([rows, rows.slice(0, 0)])))
+    assert len(batches) == 2 and all(b.nbytes < 10 << 20 for b in batches)
+    table = pa.Table.from_batches(batches)
+    assert table["path"].to_pylist() == [str(k) for k in range(20)] and [e is None for e in table["error"].to_pylist()] == [True, False] * 10
+    plans = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(600)]), pa.array(["{}"] * 600), pa.array([[]] * 600, pa.map_(pa.string(), pa.binary()))], names=["path", "manifest", "members"])
+    packed = list(C._packed(iter([plans])))
+    assert [b.num_rows for b in packed] == [256, 256, 88] and pa.Table.from_batches(packed)["path"].to_pylist() == [str(k) for k in range(600)]
