@@ -202,9 +202,10 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 GREY = "SELECT vec_id, list_transform(embedding, lambda x: CAST(greatest(0, least(255, trunc(128 + CAST(x AS DOUBLE) * 300))) AS INT)) AS g FROM embeddings"
 
 
-def rasters(spark: SparkSession, sf_dir: str, times: int) -> DataFrame:
-    """vec_id, path and a grey PNG of each embedding as an 8x8 raster, enlarged."""
-    grey = table(spark, sf_dir, "embeddings").select("vec_id", P.clipped(F.transform("embedding", lambda x: 128 + x.cast("double") * 300), 8).alias("g"))
+def rasters(spark: SparkSession, sf_dir: str, times: int, tasks: int | None = None) -> DataFrame:
+    """vec_id, path and a grey PNG of each embedding as an 8x8 raster, enlarged; dealt to so many tasks, as few read a table of few bytes."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    grey = (rows.repartition(tasks) if tasks else rows).select("vec_id", P.clipped(F.transform("embedding", lambda x: 128 + x.cast("double") * 300), 8).alias("g"))
     return grey.select("vec_id", F.col("vec_id").cast("string").alias("path"), png.grey_png("g", F.lit(8), F.lit(times)).alias("content"))
 
 
@@ -323,14 +324,13 @@ def photo_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT vec_id, TRUE AS sound, 1 AS faces, 32 AS width, 32 AS height, 0.25::DOUBLE AS scale, 3072 AS samples FROM embeddings")
 def photo_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters as photos into containers, their audit, and what comes back."""
+    """Rasters as photos into containers, their audit, and what comes back: each photo is packed once, and its facts go along with it."""
     chosen = settings.resolve(flags={"aggressive.content_aware": False})
-    packed = photos.compress_photos(rasters(spark, sf_dir, 4), chosen, _middle)
-    read = container.read_containers(packed)
-    sound = container.audit(read).select("path", F.col("ok").alias("sound"))
-    facts = read.select("path", F.size("manifest.faces").alias("faces"), "manifest.original.width", "manifest.original.height", F.col("manifest.settings.bg_scale").alias("scale"))
-    back = photos.restore_photos(packed).select("path", F.size(png.png_values("content")).alias("samples"))
-    return facts.join(sound, "path").join(back, "path").select(F.col("path").cast("long").alias("vec_id"), "sound", "faces", "width", "height", "scale", "samples")
+    packed = photos.compress_photos(rasters(spark, sf_dir, 4, 4 * spark.sparkContext.defaultParallelism), chosen, _middle)
+    facts = F.struct(F.size("manifest.faces").alias("faces"), "manifest.original.width", "manifest.original.height", F.col("manifest.settings.bg_scale").alias("scale"))
+    read = container.read_containers(packed, ["content"]).withColumn("facts", facts)
+    back = photos.restore_photos(container.audit(read, ["content", "facts"]), kept=["ok", "facts"])
+    return back.select(F.col("path").cast("long").alias("vec_id"), F.col("ok").alias("sound"), "facts.*", F.size(png.png_values("content")).alias("samples"))
 
 
 @query("""SELECT p_partkey, 'ffmpeg -y -hide_banner -nostdin -loglevel error -i in/' || p_partkey || '.mov -map 0:v:0 -map 0:a:0? -map_metadata 0 -fps_mode passthrough -c:v libsvtav1 -crf ' || p_size || ' -preset 6 -svtav1-params tune=0 -pix_fmt '

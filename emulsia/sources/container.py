@@ -5,11 +5,12 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The manifest's schema, a superset of all its versions, and the order in which members are looked up.
 MANIFEST = (
@@ -19,7 +20,7 @@ MANIFEST = (
 )
 LOOKUP = {"background": ("jpg", "avif", "jxl"), "crop": ("png", "avif", "jxl", "jpg"), "residual": ("avif", "jxl", "jpg")}
 VERSION = "1.11.0"
-#: The rows that a task unpacks or packs at once, fewer where they reach the bytes.
+#: The rows that a task hands on at once, fewer where they reach the bytes.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 8 << 20
 _TYPES = [pa.string(), pa.string(), pa.map_(pa.string(), pa.binary()), pa.string()]
 MEMBERS = "path string, manifest string, members map<string,binary>, error string"
@@ -46,30 +47,40 @@ def pack(manifest: str, members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows, held = [], 0
+def sliced(b: pa.RecordBatch, rows: Iterable[tuple[tuple, int]], names: list[str], types: list[pa.DataType], kept: Sequence[str] = ()) -> Iterator[pa.RecordBatch]:
+    """What the rows of a batch become, each with its bytes, in slices of ROWS_AT_ONCE or BYTES_AT_ONCE; columns of the batch that are kept go along."""
+    ready, held, begin = [], 0, 0
+    for i, (row, size) in enumerate(rows, 1):
+        ready.append(row)
+        held += size
+        if i == b.num_rows or len(ready) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
+            made = [pa.array(c, t) for c, t in zip(zip(*ready), types)]
+            yield pa.RecordBatch.from_arrays([*made, *(b.column(k).slice(begin, i - begin) for k in kept)], names=[*names, *kept])
+            ready, held, begin = [], 0, i
+
+
+def mapped(files: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, kept: Sequence[str]) -> DataFrame:
+    """files (path, content and columns that are kept) through a function of batches to the schema's columns and those kept."""
+    fields = [*T.StructType.fromDDL(schema).fields, *(files.schema[k] for k in kept)]
+    return files.select(*dict.fromkeys(["path", "content", *kept])).mapInArrow(run, T.StructType(fields))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kept: Sequence[str] = ()) -> Iterator[pa.RecordBatch]:
+    def rows(b: pa.RecordBatch) -> Iterator[tuple[tuple, int]]:
         for path, data in zip(b.column("path"), b.column("content")):
             manifest, members, wrong = unpack(data.as_py())
-            rows.append((path.as_py(), manifest, list(members.items()), wrong))
-            held += sum(len(d) for d in members.values()) + len(manifest or "")
-            if len(rows) >= ROWS_AT_ONCE or held >= BYTES_AT_ONCE:
-                yield _rows(rows)
-                rows, held = [], 0
-        if rows:
-            yield _rows(rows)
-
+            yield (path.as_py(), manifest, list(members.items()), wrong), sum(map(len, members.values())) + len(manifest or "") + (len(data.as_py() or b"") if "content" in kept else 0)
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=["path", "manifest", "members", "error"])
+    for b in batches:
+        yield from sliced(b, rows(b), ["path", "manifest", "members", "error"], _TYPES, kept)
 
 
-def read_containers(files: DataFrame) -> DataFrame:
-    """files (path, content) as path, manifest (a struct), members and error."""
-    raw = files.select("path", "content").mapInArrow(_unpacked, MEMBERS)
+def read_containers(files: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """files (path, content) as path, manifest (a struct), members and error, with the files' columns that are kept."""
+    raw = mapped(files, lambda batches: _unpacked(batches, kept), MEMBERS, kept)
     read = F.from_json("manifest", MANIFEST)
     broken = F.when(F.col("error").isNull() & (F.col("manifest").isNull() | read["version"].isNull()), "manifest.json isn't valid").otherwise(F.col("error"))
-    return raw.select("path", read.alias("manifest"), "members", broken.alias("error"))
+    return raw.select("path", read.alias("manifest"), "members", broken.alias("error"), *kept)
 
 
 def read_folder(spark: SparkSession, path: str, suffix: str = "zip") -> DataFrame:
@@ -96,8 +107,8 @@ def member(members, stem: str, kind: str):
     return F.coalesce(*[F.try_element_at(members, F.lit(f"{stem}.{s}")) for s in LOOKUP[kind]])
 
 
-def audit(containers: DataFrame) -> DataFrame:
-    """path, problems and ok: every declared face and region must be well formed and have its crop."""
+def audit(containers: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """path, problems and ok, with the columns that are kept: every declared face and region must be well formed and have its crop."""
     from emulsia.functions.boxes import well_formed
 
     names = F.coalesce(F.map_keys("members"), F.array().cast("array<string>"))
@@ -113,7 +124,7 @@ def audit(containers: DataFrame) -> DataFrame:
     background = F.array(F.when(F.col("error").isNull() & ~has(F.lit("background"), "background"), F.lit("missing background")))
     unreadable = F.array(F.col("error"))
     problems = F.filter(F.concat(unreadable, background, *entries("faces", "faces"), *entries("regions", "regions")), lambda p: p.isNotNull())
-    return containers.select("path", problems.alias("problems"), (F.size(problems) == 0).alias("ok"))
+    return containers.select("path", problems.alias("problems"), (F.size(problems) == 0).alias("ok"), *kept)
 
 
 def manifest_text(filename: str, width: int, height: int, faces: list[dict], regions: list[dict] | None = None) -> str:

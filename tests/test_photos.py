@@ -6,11 +6,13 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from emulsia import codecs, errors, photos, settings, tools
 from emulsia.functions import exif, png
+from emulsia.plans import catalogue
 from emulsia.sources import container
 
 from .test_media import located
@@ -210,3 +212,26 @@ def test_a_gain_map_is_turned_with_its_photo():
         assert photos.unpack(packed)[0]["gain_map_preserved"] and (photos.rebuild(packed).gain == photo.gain).all()
     finally:
         codecs.unregister("jpg")
+
+
+def test_each_photo_is_packed_once_whatever_its_key(spark, tmp_path):
+    rows = [(k, [0.01 * (i % 40) for i in range(64)]) for k in (7, 7, 8, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = catalogue.QUERIES["photo_containers"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "Join" not in plan
+    assert sorted(tuple(r) for r in df.fillna(-1, ["vec_id"]).collect()) == [(k, True, 1, 32, 32, 0.25, 3072) for k in (-1, 7, 7, 8)]
+
+
+def test_rows_are_handed_on_in_slices_with_what_goes_along(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], names=["k"])
+    slices = list(container.sliced(batch, (((f"{k}",), 1 << 20 if k < 16 else 1) for k in range(600)), ["name"], [pa.string()], ["k"]))
+    assert [s.num_rows for s in slices] == [8, 8, 256, 256, 72]
+    assert all(s["name"].to_pylist() == [f"{k}" for k in s["k"].to_pylist()] for s in slices) and sum((s["k"].to_pylist() for s in slices), []) == list(range(600))
+    files = spark.createDataFrame([(f"{k}.png", png.encode(np.full((8, 8), k, dtype=np.uint8)) if k % 50 else b"junk", k) for k in range(200)], "path string, content binary, k int").coalesce(1)
+    packed = photos.compress_photos(files, settings.resolve(flags={"aggressive.content_aware": False}), lambda image: [])
+    read = container.read_containers(packed, ["status", "content"])
+    assert read.columns == ["path", "manifest", "members", "error", "status", "content"]
+    back = photos.restore_photos(container.audit(read, ["status", "content"]).withColumnRenamed("status", "before"), kept=["ok", "before"])
+    got = {int(r["path"][:-4]): (r["status"], r["ok"], r["before"]) for r in back.collect()}
+    assert got == {k: ("ok", True, "ok") if k % 50 else ("failed", False, "failed") for k in range(200)}
