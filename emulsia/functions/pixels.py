@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from emulsia.errors import InputError
 WEBP_SIDE = 16383
 #: The samples that a function over pictures hands on at once, unless one picture has more.
 SAMPLES_AT_ONCE = 1 << 19
+#: The most weights of a resizing that a task remembers for the next picture.
+KEPT_WEIGHTS = 1 << 14
 
 
 def samples(batches: Iterator[pd.Series], decode: Callable[[bytes], np.ndarray]) -> Iterator[pd.Series]:
@@ -172,8 +175,19 @@ def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
     if image.shape[:2] == (height, width):
         return image
     shrinks = image.shape[0] > height or image.shape[1] > width
-    weights = _area_weights if shrinks else _cubic_weights
-    return weights(image.shape[0], height) @ image @ weights(image.shape[1], width).T
+    return _weights(image.shape[0], height, shrinks) @ image @ _weights(image.shape[1], width, shrinks).T
+
+
+def _weights(n: int, m: int, shrinks: bool) -> np.ndarray:
+    """The weights from n samples to m, those of small pictures from memory."""
+    return (_kept_weights if n * m <= KEPT_WEIGHTS else _kept_weights.__wrapped__)(n, m, shrinks)
+
+
+@functools.lru_cache(64)
+def _kept_weights(n: int, m: int, shrinks: bool) -> np.ndarray:
+    out = (_area_weights if shrinks else _cubic_weights)(n, m)
+    out.setflags(write=False)
+    return out
 
 
 def _area_weights(n: int, m: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emulsia import codecs, errors, photos, settings, tools
-from emulsia.functions import exif, png
+from emulsia.functions import exif, pixels, png, restore
 from emulsia.plans import catalogue
 from emulsia.sources import container
 
@@ -235,3 +235,17 @@ def test_rows_are_handed_on_in_slices_with_what_goes_along(spark):
     back = photos.restore_photos(container.audit(read, ["status", "content"]).withColumnRenamed("status", "before"), kept=["ok", "before"])
     got = {int(r["path"][:-4]): (r["status"], r["ok"], r["before"]) for r in back.collect()}
     assert got == {k: ("ok", True, "ok") if k % 50 else ("failed", False, "failed") for k in range(200)}
+
+
+def test_photos_of_a_size_share_weights_and_noise(monkeypatch):
+    made = []
+    for owner, name in ((pixels, "_cubic_weights"), (pixels, "_area_weights"), (np.random, "default_rng")):
+        plain = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda *a, plain=plain, name=name: made.append((name, *a)) or plain(*a))
+    pixels._kept_weights.cache_clear()
+    restore._noise.cache_clear()
+    chosen = settings.resolve(flags={"aggressive.content_aware": False})
+    for k in range(4):
+        photo = photos.Photo(np.clip(RNG.normal(128, 20, (36, 44, 3)), 0, 255).astype(np.uint8))
+        photos.rebuild(photos.pack("a.png", b"", photo, photos.plan(photo, [(10, 8, 30, 28, 0.9)], chosen), chosen))
+    assert len(made) == len(set(made)) and {"_cubic_weights", "_area_weights", "default_rng"} == {n for n, *_ in made}
