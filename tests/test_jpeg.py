@@ -167,3 +167,12 @@ def test_the_built_in_codec_comes_back_after_a_plug_in():
     assert codecs.decode(codecs.encode(scene(8, 8), "jpg", 80)).shape == (8, 8, 3)
     with pytest.raises(errors.EncodeError):
         codecs.unregister("jpg")
+
+
+def test_values_of_blocks_with_the_same_codes_are_read_together(monkeypatch):
+    calls = []
+    plain = jpeg._values
+    monkeypatch.setattr(jpeg, "_values", lambda *a: calls.append(1) or plain(*a))
+    image = scene(33, 47)
+    back = jpeg.decode(jpeg.encode(image, 100, True))
+    assert len(calls) == 4 and np.abs(back.astype(int) - image.astype(int)).mean() < 12
